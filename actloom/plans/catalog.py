@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actloom.plans import nested
+from actloom.plans import nested, pipeline, retrieval
 
-QUERIES = {**nested.QUERIES}
-SQL = {**nested.SQL}
+QUERIES = {**nested.QUERIES, **pipeline.QUERIES, **retrieval.QUERIES}
+SQL = {**nested.SQL, **pipeline.SQL, **retrieval.SQL}
