@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -144,13 +145,10 @@ def semantic(queries: DataFrame, unique: DataFrame, k: int = DEFAULT_TOP_K, dim:
 
     As in the lexical search, each task keeps the k best of each query.
     """
-    import numpy as np
-
     spark = unique.sparkSession
     kind = dict(queries.dtypes)["query_id"]
     best = None
-    own = queries.select(F.col("query_id").cast("long").alias("id"), vectors.l2_normalized(vectors.hash_embedding(F.col("text"), dim)).alias("vector")).where("id is not null")
-    embedded = unique.select("chunk_id", vectors.l2_normalized(vectors.hash_embedding(F.col("text"), dim)).alias("vector"))
+    own = queries.select(F.col("query_id").cast("long").alias("id"), vectors.hash_embedding(F.col("text"), dim).alias("vector")).where("id is not null")
     for block in vectors.blocks(own):
         sent = spark.sparkContext.broadcast(([x for x, _ in block], np.array([v for _, v in block], dtype=np.float64)))
 
@@ -160,14 +158,15 @@ def semantic(queries: DataFrame, unique: DataFrame, k: int = DEFAULT_TOP_K, dim:
             for pdf in batches:
                 if pdf.empty:
                     continue
-                s = np.round(np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ matrix.T, 6) + 0.0
+                pdf = pdf.sort_values("chunk_id")  # then a stable sort by score breaks ties by id
+                s = np.round(matrix @ vectors.embed(pdf["text"], dim).T, 6) + 0.0
                 names = pdf["chunk_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(names.astype(str), s.T.shape), -s.T), axis=1)[:, :k]
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 for at in range(len(ids)):
-                    kept[at] = sorted(kept[at] + [(-s[j, at], names[j]) for j in order[at]])[:k]
+                    kept[at] = sorted(kept[at] + [(-s[at, j], names[j]) for j in order[at]])[:k]
             yield pd.DataFrame([(ids[at], c, -x) for at, rows in enumerate(kept) for x, c in rows], columns=["query_id", "id", "score"])
 
-        part = embedded.mapInPandas(run, f"query_id {kind}, id string, score double")
+        part = unique.select("chunk_id", "text").mapInPandas(run, f"query_id {kind}, id string, score double")
         best = part if best is None else best.unionByName(part)
     if best is None:
         return spark.createDataFrame([], f"query_id {kind}, id string, score double, rank long")

@@ -73,4 +73,5 @@ def completed(runs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def processing_seconds(created: Column, processed: Column) -> Column:
-    return F.unix_micros(processed) / 1e6 - F.unix_micros(created) / 1e6
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(processed) - micros(created)) / 1e6

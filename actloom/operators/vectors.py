@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from actloom.lineage import Workspace
 
@@ -40,9 +44,9 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def l2_normalized(a: Column) -> Column:
-    """Unit length; a vector without length stays as it is."""
+    """Unit length; a vector without length stays as it is. The length is taken once, not per component."""
     n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return F.zip_with(a, F.array_repeat(F.when(n == 0, 1.0).otherwise(n), F.size(a)), lambda x, y: x.cast("double") / y)
 
 
 def metric_name(name: str | None) -> str:
@@ -51,15 +55,39 @@ def metric_name(name: str | None) -> str:
     return low if low in METRICS else "cosine"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+TOKEN = re.compile(r"[^\W_]+")
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding: tokens hashed to signed buckets, summed, of unit length; zeros for a text without tokens."""
-    hashed = F.transform(tokens(text), lambda t: F.md5(t))
-    bucket = F.transform(hashed, lambda h: F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("b"), F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(bucket, lambda x: x["b"] == k), F.lit(0.0), lambda acc, x: acc + x["s"]))
+@lru_cache(maxsize=1 << 18)
+def token_place(token: str, dim: int) -> tuple[int, float]:
+    """The bucket and sign of a token, from its MD5."""
+    digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+
+
+def embed(texts: Iterable[str | None], dim: int = 64, normalize: bool = True) -> np.ndarray:
+    """Deterministic embeddings: tokens hashed to signed buckets and summed; zeros for a text without tokens or NULL."""
+    rows = []
+    for text in texts:
+        row = [0.0] * dim
+        for token in TOKEN.findall((text or "").lower()):
+            k, sign = token_place(token, dim)
+            row[k] += sign
+        rows.append(row)
+    out = np.array(rows, dtype=np.float64).reshape(-1, dim)
+    if normalize:
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out = out / np.where(length == 0, 1.0, length)
+    return out
+
+
+def hash_embedding(text: Column, dim: int = 64, normalize: bool = True) -> Column:
+    """The hash embedder as a column of array<double>, in Arrow batches."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(list(embed(s, dim, normalize)))
+
+    return F.pandas_udf(run, ArrayType(DoubleType()))(text)
 
 
 def compare(sources: DataFrame, candidates: DataFrame, metrics: list[str] = METRICS) -> DataFrame:

@@ -49,7 +49,7 @@ def dense_topk_scoped(spark, folder):
 
 def hash_embed(spark, folder):
     """The embedding of each search input, as its length and first components."""
-    e = vectors.hash_embedding(F.col("text"))
+    e = vectors.hash_embedding(F.col("text"), normalize=False)
     own = questions(spark, folder).select("query_id", e.alias("e"))
     return own.select("query_id", F.round(vectors.norm(F.col("e")), 6).alias("length"), *[F.col("e")[k].alias(f"e{k}") for k in range(4)])
 
@@ -100,7 +100,7 @@ def rerank(spark, folder):
 
 def requests(spark, folder) -> tuple[DataFrame, DataFrame]:
     """One comparison request: embeddings of the test items of one suite as sources, of another as candidates."""
-    own = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("id"), "suite", vectors.l2_normalized(vectors.hash_embedding(F.col("text"))).alias("vector"))
+    own = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("id"), "suite", vectors.hash_embedding(F.col("text")).alias("vector"))
     return own.where("suite = 'ruling_match'").drop("suite"), own.where("suite = 'port_law_qa'").drop("suite")
 
 
