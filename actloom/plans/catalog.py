@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actloom.plans import nested, pipeline, retrieval
+from actloom.plans import nested, pipeline, retrieval, streams
 
-QUERIES = {**nested.QUERIES, **pipeline.QUERIES, **retrieval.QUERIES}
-SQL = {**nested.SQL, **pipeline.SQL, **retrieval.SQL}
+QUERIES = {**nested.QUERIES, **pipeline.QUERIES, **retrieval.QUERIES, **streams.QUERIES}
+SQL = {**nested.SQL, **pipeline.SQL, **retrieval.SQL, **streams.SQL}
