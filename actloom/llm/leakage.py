@@ -48,7 +48,8 @@ def frequencies(texts: DataFrame, vocabulary: frozenset[str]) -> dict[str, int]:
         for pdf in batches:
             for t in pdf["text"]:
                 counts.update(vocabulary.intersection(words(t)))
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     rows = texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     known.unpersist()

@@ -153,18 +153,17 @@ def html_body(page: str) -> tuple[list[Block], set[int]]:
         if not text:
             continue
         if name:
-            sizes[name] = sizes.get(name, 0) + len(text)
+            sizes[name] = sizes.get(name, 0) + 1
         if any(named_furniture(n) or id(n) in cut for n in chain):
             continue
         linked_trail = b.linked > 0.4 and bool(TRAIL.match(text)) and b.kind == "text"
         if b.kind in ("text", "quote") and (is_prompt(text) or COMMENT.match(text)) or linked_trail:
             if name:
-                dropped[name] = dropped.get(name, 0) + len(text)
+                dropped[name] = dropped.get(name, 0) + 1
             continue
         kept.append(b)
-    total = sum(len(b.text) for b in kept) or 1
-    # Blocks share a class with prompts only where the class is one of prompts.
-    bad = {n for n in dropped if sizes[n] - dropped[n] < 0.3 * total and sizes[n] - dropped[n] < 2 * dropped[n]}
+    # Blocks share a class with prompts only where the class is one of prompts: where most of its blocks are.
+    bad = {n for n in dropped if 2 * dropped[n] >= sizes[n]}
     kept = [b for b in kept if not (b.node is not top and b.node.attrs.get("class", "") in bad)]
     if not any(b.node.tag != "h1" for b in kept) and not any(b.node.tag == "h1" for b in kept):
         return [], set()

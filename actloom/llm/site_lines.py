@@ -31,7 +31,8 @@ def site_of(url: Column) -> Column:
 
 def line_form(line: Column) -> Column:
     """A line without letter case, the digits 0-9 and white space (no-break spaces too)."""
-    return F.regexp_replace(F.lower(F.upper(line)), r"[0-9\p{IsWhite_Space}\x1c-\x1f]+", "")
+    # lower(upper(x)) is simplified to lower(x) by the optimizer, so the one letter with two capitals is written out.
+    return F.regexp_replace(F.replace(F.lower(line), F.lit("ß"), F.lit("ss")), r"[0-9\p{IsWhite_Space}\x1c-\x1f]+", "")
 
 
 def encode(positions: list) -> bytes:
