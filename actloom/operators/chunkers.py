@@ -25,12 +25,12 @@ def sliding_window(documents: DataFrame, key: str, text: str = "text", window: i
     """(key, chunk_index, text): windows of whole words joined by one blank; the last one reaches the end."""
     window, step = max(1, window), max(1, step)
     words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\S+)"), 1)
-    n = F.size("words")
+    n = F.size("_words")
     # The last window is the first that reaches the end.
     last = F.greatest(F.ceil((n - window) / F.lit(step)), F.lit(0))
-    rows = documents.select(F.col(key), words.alias("words")).where("size(words) > 0")
-    return rows.select(key, "words", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk_index")).select(
-        key, "chunk_index", F.array_join(F.slice("words", (F.col("chunk_index") * step + 1).cast("int"), window), " ").alias("text")
+    rows = documents.select(F.col(key), words.alias("_words")).where("size(_words) > 0")
+    return rows.select(key, "_words", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk_index")).select(
+        key, "chunk_index", F.array_join(F.slice("_words", (F.col("chunk_index") * step + 1).cast("int"), window), " ").alias("text")
     )
 
 
@@ -39,16 +39,15 @@ def fixed(documents: DataFrame, key: str, text: str = "text", size: int = DEFAUL
     if overlap > size:
         raise ValueError("the overlap is larger than the size")
     step = max(1, size - overlap)
-    n = F.length(text)
-    rows = documents.select(F.col(key), F.col(text).alias("t"), n.alias("n")).where("n > 0")
-    last = F.greatest(F.ceil((F.col("n") - size) / F.lit(step)), F.lit(0)).cast("long")
-    cut = rows.select(key, "t", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    raw = cut.select(key, "k", F.substring("t", (F.col("k") * step + 1).cast("int"), size).alias("raw"))
-    own = raw.select(key, "k", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "").alias("text"), (F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))).alias("lead")).where("text <> ''")
-    start = F.col("k") * step + F.col("lead")
-    placed = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "text", start.alias("start_offset")))).alias("all"))
-    return placed.select(key, F.posexplode("all").alias("chunk_index", "x")).select(
-        key, F.col("chunk_index").cast("long").alias("chunk_index"), "x.text", "x.start_offset", (F.col("x.start_offset") + F.length("x.text")).alias("end_offset")
+    rows = documents.select(F.col(key), F.col(text).alias("_t")).where("length(_t) > 0")
+    last = F.greatest(F.ceil((F.length("_t") - size) / F.lit(step)), F.lit(0)).cast("long")
+    cut = rows.select(key, "_t", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
+    raw = cut.select(key, "_k", F.substring("_t", (F.col("_k") * step + 1).cast("int"), size).alias("_raw"))
+    own = raw.select(key, "_k", F.regexp_replace("_raw", r"(?U)^\s+|\s+$", "").alias("_text"), (F.length("_raw") - F.length(F.regexp_replace("_raw", r"(?U)^\s+", ""))).alias("_lead")).where("_text <> ''")
+    start = F.col("_k") * step + F.col("_lead")
+    placed = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", "_text", start.alias("_start")))).alias("_all"))
+    return placed.select(key, F.posexplode("_all").alias("_i", "_x")).select(
+        key, F.col("_i").cast("long").alias("chunk_index"), F.col("_x._text").alias("text"), F.col("_x._start").alias("start_offset"), (F.col("_x._start") + F.length("_x._text")).alias("end_offset")
     )
 
 
@@ -81,9 +80,9 @@ def sentences(documents: DataFrame, key: str, text: str = "text", size: int = DE
             (n + F.length(s) + F.when(n > 0, 1).otherwise(0)).alias("n"),
         )
 
-    packed = F.aggregate("parts", zero, pack)
-    rows = documents.select(F.col(key), parts.alias("parts")).where("size(parts) > 0").select(key, packed.alias("p"))
-    final = F.concat("p.out", F.array(joined(F.col("p.now"))))
+    packed = F.aggregate("_parts", zero, pack)
+    rows = documents.select(F.col(key), parts.alias("_parts")).where("size(_parts) > 0").select(key, packed.alias("_p"))
+    final = F.concat("_p.out", F.array(joined(F.col("_p.now"))))
     return rows.select(key, F.posexplode(final).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 

@@ -54,6 +54,11 @@ def triples(field: str, source: str | None) -> Iterator[tuple]:
     if source is None:
         return
     top = opened(source)
+    if isinstance(top, str) and top.strip().startswith('"'):  # the whole field is a string of JSON
+        try:
+            top = opened(json.loads(top))
+        except ValueError:
+            return
     if not isinstance(top, (list, dict)):
         return
     stack: list[tuple] = [(top, field, None, field, 1)]
