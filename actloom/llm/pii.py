@@ -213,7 +213,7 @@ def names(text: str) -> list[tuple[int, int]]:
             start = before.start()
         else:
             after = GIVEN_AFTER.match(low, end)
-            if after and not re.match(r"\s(?:\d|tee\b|tn\b|pst\b)", text[after.end() : after.end() + 6]):
+            if after and not re.match(r" (?:\d|tee\b|tn\b|pst\b)", text[after.end() : after.end() + 6]):
                 end = after.end()
             if text[start:end].islower() and not after:
                 # A lone surname in small letters is a name only under a title.
