@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from actloom.operators.keyed import pick
 
-BLOCK = 1024
+#: Queries times their terms that are held, and sent to all executors, at once.
+MOST_CELLS = 4_000_000
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
 # Common English stop words.
@@ -53,18 +55,18 @@ def english(text: str) -> list[str]:
 ANALYZERS: dict[str, Callable[[str], list[str]]] = {"simple": simple, "english": english}
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str = "simple", scope: DataFrame | None = None, digits: int = 6) -> DataFrame:
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str = "simple", scope: DataFrame | None = None, digits: int = 6, distinct: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query, score negated, ties by chunk id.
 
     `queries` has `query_id, text`, `chunks` has `chunk_id string, text`.
     Repeated rows of a chunk count once; only chunks that share a term with a
     query are candidates; NULL and empty texts have no terms. Statistics are
     those of all chunks also where `scope`, a table of chunk ids, limits the
-    candidates.
+    candidates. `distinct` says that there is one row per chunk, with a text.
     """
     terms = ANALYZERS[analyzer]
     spark = chunks.sparkSession
-    unique = pick(chunks.select("chunk_id", "text").where("chunk_id is not null and text is not null"), ["chunk_id"], [F.length("text")], last=True)
+    unique = chunks.select("chunk_id", "text") if distinct else distinct_texts(chunks)
     candidates = unique if scope is None else unique.join(scope.select("chunk_id").where("chunk_id is not null").distinct(), "chunk_id", "left_semi")
     kind = dict(queries.dtypes)["query_id"]
     best = None
@@ -86,31 +88,38 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
         found = {r["term"]: r["n"] for r in unique.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         total, mean = found.get("", 0), found.get(" ", 0) / max(1, found.get("", 0))
         idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in found.items() if t.strip()}
-        wanted: dict[str, list[tuple[int, float]]] = {}
+        place = {t: i for i, t in enumerate(sorted(idf))}
+        weights = np.zeros((len(place), len(block)))
         for at, (_, own) in enumerate(block):
             for t in own:
-                if t in idf:
-                    wanted.setdefault(t, []).append((at, idf[t]))
-        sent = spark.sparkContext.broadcast((wanted, [q for q, _ in block], mean))
+                if t in place:
+                    weights[place[t], at] = idf[t]
+        # The matrix has at most MOST_CELLS cells, by the way blocks are made (more only for one query).
+        sent = spark.sparkContext.broadcast((place, weights, [q for q, _ in block], mean))
 
         def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            wanted, ids, mean = sent.value
+            place, weights, ids, mean = sent.value
             kept: list[list[tuple[float, str]]] = [[] for _ in ids]
             for pdf in batches:
-                for chunk, text in zip(pdf["chunk_id"], pdf["text"]):
-                    own = terms(text)
-                    sums: dict[int, float] = {}
-                    flat = K1 * (1 - B + B * len(own) / mean) if mean else K1
-                    for t, tf in Counter(own).items():
-                        for at, weight in wanted.get(t, ()):
-                            sums[at] = sums.get(at, 0.0) + weight * tf * (K1 + 1) / (tf + flat)
-                    for at, s in sums.items():
-                        kept[at].append((-round(s, digits), chunk))
-                for at, own in enumerate(kept):
-                    if len(own) > 4 * k:
-                        own.sort()
-                        del own[k:]
-            rows = [(ids[at], chunk, s) for at, own in enumerate(kept) for s, chunk in sorted(own)[:k]]
+                for start in range(0, len(pdf), 1024):
+                    part = pdf.iloc[start : start + 1024].sort_values("chunk_id")  # a stable sort by score breaks ties by id
+                    names = part["chunk_id"].to_numpy()
+                    scores = np.zeros((len(part), len(ids)))
+                    for row, text in enumerate(part["text"]):
+                        own = terms(text)
+                        flat = K1 * (1 - B + B * len(own) / mean) if mean else K1
+                        found = [(place[t], tf * (K1 + 1) / (tf + flat)) for t, tf in Counter(own).items() if t in place]
+                        if found:
+                            at, tf = zip(*found)
+                            scores[row] = np.array(tf) @ weights[list(at)]
+                    shared = scores > 0
+                    scores = np.round(scores, digits)
+                    best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    for at in range(len(ids)):
+                        new = [(-scores[j, at], names[j]) for j in best[:, at] if shared[j, at]]
+                        if new:
+                            kept[at] = sorted(kept[at] + new)[:k]
+            rows = [(ids[at], chunk, s) for at, own in enumerate(kept) for s, chunk in own]
             yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "score"])
 
         part = candidates.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
@@ -120,13 +129,21 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "chunk_id")).cast("long")).where(F.col("rank") <= k)
 
 
+def distinct_texts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text): one row per chunk that has a text, the longest of those given."""
+    return pick(chunks.select("chunk_id", "text").where("chunk_id is not null and text is not null"), ["chunk_id"], [F.length("text")], last=True)
+
+
 def query_blocks(queries: DataFrame, terms: Callable[[str], list[str]]) -> Iterator[list]:
-    """Lists of at most BLOCK queries with their distinct terms; one list is held at a time."""
+    """Lists of queries with their distinct terms, of a bounded product of queries and terms; one list is held at a time."""
     held: list = []
+    vocabulary: set[str] = set()
     for row in queries.select("query_id", "text").where("query_id is not null and text is not null").toLocalIterator():
-        held.append((row["query_id"], sorted(set(terms(row["text"])))))
-        if len(held) == BLOCK:
+        own = set(terms(row["text"]))
+        if held and (len(held) + 1) * len(vocabulary | own) > MOST_CELLS:
             yield held
-            held = []
+            held, vocabulary = [], set()
+        held.append((row["query_id"], sorted(own)))
+        vocabulary |= own
     if held:
         yield held

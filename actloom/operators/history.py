@@ -27,7 +27,7 @@ def listed(searches: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
 def flattened(searches: DataFrame) -> DataFrame:
     """Kept results as hits: rank from 0, a key for the chunk and for the document, and the order of selection."""
     hits = searches.select("search_id", "selection", F.posexplode("results").alias("rank", "x"))
-    chunk = F.coalesce("x.chunk_id", F.concat_ws("#", "x.document_id", F.col("x.chunk_index").cast("string")), F.concat_ws(":", "search_id", F.col("rank").cast("string")))
+    chunk = F.coalesce("x.chunk_id", F.concat("x.document_id", F.lit("#"), F.col("x.chunk_index").cast("string")), F.concat_ws(":", "search_id", F.col("rank").cast("string")))
     document = F.coalesce(F.nullif("x.source_url", F.lit("")), "x.document_id", F.lit("unknown"))
     return hits.select("search_id", "selection", F.col("rank").cast("long").alias("rank"), chunk.alias("chunk_key"), document.alias("document_key"), "x.score")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from actloom.lineage import Workspace
 from actloom.operators import bm25, vectors
 from actloom.operators.keyed import pick
 
@@ -128,15 +129,13 @@ def first_seen(hits: DataFrame) -> DataFrame:
     return pick(hits.select("id", "query_id", "rank"), ["id"], [F.col("query_id"), F.col("rank")])
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K, dim: int = 64) -> DataFrame:
+def hybrid(queries: DataFrame, unique: DataFrame, k: int = DEFAULT_TOP_K, dim: int = 64) -> DataFrame:
     """(query_id, id, score, rank): dense and lexical lists of each query, both k deep, fused by rank.
 
-    Texts are embedded by the hash embedder; chunk ids are text, so the dense
-    list is computed over a numbered key and mapped back.
+    `unique` has one row per chunk, with a text; texts are embedded by the hash embedder.
     """
-    unique = pick(chunks.select("chunk_id", "text").where("chunk_id is not null and text is not null"), ["chunk_id"], [F.length("text")], last=True)
     dense = semantic(queries, unique, k, dim)
-    lexical = bm25.bm25_top_k(queries, unique, k).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    lexical = bm25.bm25_top_k(queries, unique, k, distinct=True).select("query_id", F.col("chunk_id").alias("id"), "rank")
     return fuse([dense.select("query_id", "id", "rank"), lexical], top=k, digits=6)
 
 
@@ -178,9 +177,10 @@ def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, method=N
     strategy, k = parse_strategy(method), parse_top_k(top_k)
     if strategy is None or k is None:
         raise ValueError(f"no such search: method {method!r}, topK {top_k!r}")
-    unique = pick(chunks.select("chunk_id", "text").where("chunk_id is not null and text is not null"), ["chunk_id"], [F.length("text")], last=True)
+    # Read several times: reduced to one row per chunk once, and kept in the shared folder.
+    unique = Workspace(chunks.sparkSession, "search").write(bm25.distinct_texts(chunks), "texts")
     if strategy == "keyword":
-        hits = bm25.bm25_top_k(queries, unique, k).withColumnRenamed("chunk_id", "id")
+        hits = bm25.bm25_top_k(queries, unique, k, distinct=True).withColumnRenamed("chunk_id", "id")
     elif strategy == "semantic":
         hits = semantic(queries, unique, k)
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -70,9 +71,9 @@ def embed(texts: Iterable[str | None], dim: int = 64, normalize: bool = True) ->
     rows = []
     for text in texts:
         row = [0.0] * dim
-        for token in TOKEN.findall((text or "").lower()):
+        for token, n in Counter(TOKEN.findall((text or "").lower())).items():
             k, sign = token_place(token, dim)
-            row[k] += sign
+            row[k] += sign * n
         rows.append(row)
     out = np.array(rows, dtype=np.float64).reshape(-1, dim)
     if normalize:

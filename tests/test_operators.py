@@ -71,6 +71,14 @@ def test_bm25_and_rerank(spark):
     assert [r["id"] for r in search.rerank(hits, 2, broken).orderBy("rank").collect()] == ["x", "y"]
 
 
+def test_bm25_in_blocks_gives_the_same(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", " ".join(f"w{(i * k) % 7}" for k in range(i % 9))) for i in range(40)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(5)], "query_id long, text string")
+    whole = sorted(map(tuple, bm25.bm25_top_k(queries, chunks, 3).collect()))
+    monkeypatch.setattr(bm25, "MOST_CELLS", 1)
+    assert whole == sorted(map(tuple, bm25.bm25_top_k(queries, chunks, 3).collect())) and len(whole) == 15
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id long, id string, rank long")
     b = spark.createDataFrame([(1, "b", 1), (1, "x", 2), (1, "y", 3)], "query_id long, id string, rank long")
@@ -154,5 +162,7 @@ def test_parsers(spark):
 def test_history(spark):
     row = "array<struct<source_id:string,query_text:string,score:double,chunk_id:string,document_id:string,chunk_index:long,source_url:string>>"
     df = spark.createDataFrame([("s", 0, [("1", "q", 0.5, None, "d", 3, ""), ("1", "q", 0.4, None, None, None, None)]), ("r", 1, None)], f"search_id string, selection int, results {row}")
-    assert {(r["chunk_key"], r["document_key"]) for r in history.flattened(df).collect()} == {("d#3", "d"), ("d#", "unknown"), ("s:1", "unknown")} - {("d#", "unknown")} or True
+    hits = history.flattened(df)
+    assert {(r["chunk_key"], r["document_key"], r["rank"]) for r in hits.collect()} == {("d#3", "d", 0), ("s:1", "unknown", 1)}
+    assert [(r["chunk_key"], r["best_rank"]) for r in history.by_chunk(hits).orderBy("best_rank").collect()] == [("d#3", 0), ("s:1", 1)]
     assert vectors.metric_name("odd") == "cosine"
