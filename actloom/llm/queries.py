@@ -112,6 +112,12 @@ kept AS (SELECT site, k FROM (SELECT site, k, count(DISTINCT document_id) AS n F
 SELECT DISTINCT chunk_id, CAST(line_no AS INT) AS line_no FROM placed JOIN kept USING (site, k)
 """
 
+P5_CLEAN_SQL = f"""
+WITH found AS ({P5_SQL}), cut AS (SELECT chunk_id, list(line_no) AS cut FROM found GROUP BY 1), c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1)
+SELECT c.chunk_id, CAST(coalesce(len(cut), 0) AS INT) AS n_removed, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(string_split(text, chr(10)))), lambda i: NOT list_contains(cut, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text
+FROM c LEFT JOIN cut USING (chunk_id)
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": pieces_of,
@@ -128,4 +134,4 @@ QUERIES = {
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL}
+SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL}
