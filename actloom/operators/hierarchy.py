@@ -30,8 +30,8 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
     rows are reduced to one (the largest parent of those given); rows with a
     NULL node are left out; a parent that is no node of the table makes its
     child a root. A node whose chain of parents runs into a loop has no root:
-    its root_id is the smallest node of that loop, depth and path are NULL, and
-    n_descendants counts, on a loop, what hangs off its node alone. With
+    its root_id is the smallest node of that loop, depth and path are NULL; on
+    a loop, whose nodes are each other's descendants, n_descendants is NULL. With
     `paths`, path is the array of nodes from the root to the node itself.
     """
     spark = edges.sparkSession
@@ -70,7 +70,8 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
         resolved = work.write(expand(removed, resolved, cut, paths), f"resolved{k}")
         if k:
             work.drop(f"resolved{k - 1}")
-    return resolved.withColumnRenamed("id", node)
+    counted = resolved.withColumn("n_descendants", F.when(~F.col("on_loop"), F.col("n_descendants")))
+    return counted.withColumnRenamed("id", node)
 
 
 def first_messages(rows: DataFrame) -> DataFrame:

@@ -143,6 +143,20 @@ SELECT e.target_id, down.root_id FROM e JOIN down USING (target_id) WHERE e.dept
 UNION ALL SELECT target_id, root_id FROM looped
 """
 
+ANCESTORS_SQL = f"""
+WITH RECURSIVE {EDGES_SQL},
+down(target_id, root_id, depth, path) AS (SELECT target_id, target_id, CAST(0 AS BIGINT), target_id FROM e WHERE parent_id IS NULL
+  UNION ALL SELECT e.target_id, down.root_id, down.depth + 1, down.path || '/' || e.target_id FROM e JOIN down ON e.parent_id = down.target_id),
+anc(target_id, a) AS (SELECT target_id, parent_id FROM e WHERE parent_id IS NOT NULL UNION SELECT anc.target_id, e.parent_id FROM anc JOIN e ON e.target_id = anc.a WHERE e.parent_id IS NOT NULL)
+"""
+P3_HIERARCHY_SQL = f"""{ANCESTORS_SQL},
+onloop AS (SELECT target_id FROM anc WHERE target_id = a), n AS (SELECT a, count(*) AS n FROM anc WHERE target_id <> a GROUP BY 1),
+entered AS (SELECT target_id, min(a) AS root_id FROM anc WHERE a IN (SELECT target_id FROM onloop) GROUP BY 1)
+SELECT e.target_id, coalesce(down.root_id, entered.root_id) AS root_id, down.depth, down.path, CASE WHEN l.target_id IS NULL THEN coalesce(n.n, 0) END AS n_descendants, l.target_id IS NOT NULL AS on_loop, down.root_id IS NOT NULL AS has_root
+FROM e LEFT JOIN down USING (target_id) LEFT JOIN entered USING (target_id) LEFT JOIN onloop l USING (target_id) LEFT JOIN n ON n.a = e.target_id
+"""
+P3_DESCENDANTS_SQL = f"{ANCESTORS_SQL} SELECT a AS ancestor_id, anc.target_id, d.depth - u.depth AS steps FROM anc JOIN down d ON d.target_id = anc.target_id JOIN down u ON u.target_id = anc.a"
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
@@ -156,4 +170,4 @@ QUERIES = {
     "p3_hierarchy": p3_hierarchy,
     "p3_descendants": p3_descendants,
 }
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_hierarchy": P3_HIERARCHY_SQL, "p3_descendants": P3_DESCENDANTS_SQL}

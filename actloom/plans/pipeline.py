@@ -304,6 +304,20 @@ STATUS_SQL = f"SELECT t.pipeline_id, c.status, count(*) AS n_chunks FROM {CHUNKS
 LINK_MD = "(SELECT source_chunk_id, string_agg(m, '' ORDER BY link_id) AS text FROM (SELECT DISTINCT link_id, source_chunk_id, 'see [' || anchor_text || '](' || raw_url || '), ' AS m FROM links WHERE source_chunk_id IS NOT NULL AND raw_url IS NOT NULL AND coalesce(anchor_text, '') <> '') GROUP BY 1)"
 EXTRACT = rf"SELECT source_chunk_id, i - 1 AS pos, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 1) AS label, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM (SELECT source_chunk_id, regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)') AS m FROM {LINK_MD}), LATERAL unnest(range(1, len(m) + 1)) AS u(i)"
 
+# The walk keeps the next sentence i, the first one s of the chunk being packed, and its length n.
+SENTENCE_SQL = rf"""
+WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+walk(doc_id, p, i, s, n, chunk) AS (
+  SELECT doc_id, p, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM parts WHERE len(p) > 0
+  UNION ALL
+  SELECT doc_id, p, i + 1, s2, n2 + length(p[i]) + CASE WHEN n2 > 0 THEN 1 ELSE 0 END, CASE WHEN flush THEN array_to_string(p[s:i - 1], ' ') END
+  FROM (SELECT *, CASE WHEN NOT flush THEN n WHEN s2 = i THEN 0 ELSE length(array_to_string(p[s2:i - 1], ' ')) END AS n2
+    FROM (SELECT *, CASE WHEN NOT flush THEN s ELSE coalesce(list_min(list_filter(range(s, i), lambda j: length(array_to_string(p[j:i - 1], ' ')) <= {OVERLAP})), i) END AS s2
+      FROM (SELECT *, i > s AND n + length(p[i]) + 1 > {SIZE} AS flush FROM walk WHERE i <= len(p))))),
+cut AS (SELECT doc_id, i, 0 AS last, chunk FROM walk WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, i, 1, array_to_string(p[s:len(p)], ' ') FROM walk WHERE i = len(p) + 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS chunk_index, chunk AS text FROM cut
+"""
+
 SQL = {
     "url_normalize": f"SELECT DISTINCT u AS raw_url, norm AS url, s0 || '://' || n AS origin FROM {url_sql('(SELECT raw_url AS u FROM links WHERE raw_url IS NOT NULL)')}",
     "url_origin_gate": rf"""SELECT link_id, coalesce(lower(regexp_extract(d.source_url, '{PARTS}', 1)) || '://' || lower(regexp_extract(d.source_url, '{PARTS}', 2)) = lower(regexp_extract(l.u, '{PARTS}', 1)) || '://' || lower(regexp_extract(l.u, '{PARTS}', 2)), false) AS allowed
@@ -329,6 +343,7 @@ LATERAL unnest(range(0, CAST(greatest(ceil((len(w) - 200) / 100.0), 0) AS BIGINT
     "chunk_fixed": r"""WITH raw AS (SELECT doc_id, k, substr(text, CAST(k * 1050 + 1 AS BIGINT), 1200) AS r FROM documents, LATERAL unnest(range(0, CAST(greatest(ceil((length(text) - 1200) / 1050.0), 0) AS BIGINT) + 1)) AS u(k) WHERE length(text) > 0),
 cut AS (SELECT doc_id, k, regexp_replace(r, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS text, k * 1050 + length(r) - length(regexp_replace(r, '^[\s\x{85}\p{Z}]+', '')) AS start_offset FROM raw)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, text, start_offset, start_offset + length(text) AS end_offset FROM cut WHERE text <> ''""",
+    "chunk_sentence": SENTENCE_SQL,
     "chunk_stats_report": f"SELECT chunk_type, count(*) AS n, min(t) AS least, round(avg(t), 1) AS mean, max(t) AS most, count(*) FILTER (t < 100) AS under_100 FROM (SELECT chunk_type, {TOKENS} AS t FROM {CHUNKS}) GROUP BY 1",
     "chunk_largest": f"SELECT chunk_id, {TOKENS} AS tokens FROM {CHUNKS} ORDER BY tokens DESC, chunk_id LIMIT 10",
     "metadata_merge": f"""WITH j AS (SELECT c.chunk_id, coalesce(d.parser_metadata, '{{}}') AS a, coalesce(c.chunk_metadata, '{{}}') AS b FROM {CHUNKS} c JOIN {DOCS} d USING (document_id)),
