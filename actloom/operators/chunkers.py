@@ -194,6 +194,12 @@ def chunk_with(documents: DataFrame, key: str, split: Callable[[str, str | None]
     return source.mapInPandas(run, f"key {kind}, {CHUNK}").withColumnRenamed("key", key)
 
 
+def check_format(chunker: str, accepted: tuple[str, ...], parser_format: str) -> None:
+    """Raises ValueError where a chunker accepts certain parser formats and this is none of them."""
+    if accepted and parser_format not in accepted:
+        raise ValueError(f"the chunker {chunker} takes {', '.join(accepted)}, not {parser_format}")
+
+
 def recursive_splitter(size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP, separators: tuple[str, ...] = RECURSIVE):
     if overlap > size:
         raise ValueError("the overlap is larger than the size")

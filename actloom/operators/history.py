@@ -55,3 +55,10 @@ def document_label(url: Column, document_id: Column) -> Column:
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/+([^?#]*)", 1)
     return F.coalesce(F.when(F.regexp_replace(path, "/", "") != "", last), F.nullif(host, F.lit("")), F.concat(F.lit("document "), F.substring(document_id, 1, 8)))
+
+
+def compatible(searches: DataFrame, first: str, any_query: bool = False) -> DataFrame:
+    """Searches that may stand beside the first selected one: of the same dataset and, unless relaxed, the same query."""
+    anchor = searches.where(F.col("search_id") == first).select(F.col("dataset_name").alias("d"), F.col("query_text").alias("t"))
+    same = F.col("dataset_name") == F.col("d")
+    return searches.join(F.broadcast(anchor.limit(1)), same if any_query else same & (F.col("query_text") == F.col("t")), "left_semi")

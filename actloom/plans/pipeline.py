@@ -194,7 +194,45 @@ def pending_links(spark, folder):
     return own.where("status in ('pending', 'discovered')").groupBy("source_document_id").agg(F.count("*").alias("n_pending"))
 
 
+def schedule_links(spark, folder):
+    """One frontier event for each pending link of a run that follows links, and the status the link gets."""
+    own = keyed.pick(q(spark, folder, "links").select("link_id", "source_document_id", "normalized_url", "status", "created_at").where("link_id is not null"), ["link_id"], [F.col("created_at")])
+    targets = state.current(q(spark, folder, "targets").select("target_id", "pipeline_id", "document_id", "updated_at", "created_at"))
+    owner = keyed.pick(targets.select(F.col("document_id").alias("source_document_id"), "pipeline_id").where("document_id is not null"), ["source_document_id"], [F.col("pipeline_id")])
+    follows = q(spark, folder, "runs").select("pipeline_id", (runs.setting("schedule_discovered_links.settings.follow_child_links", "true") == "true").alias("follows"))
+    waiting = own.where("status = 'pending'").join(owner, "source_document_id").join(follows, "pipeline_id").where("follows")
+    return waiting.select(F.concat(F.lit("frontier:"), "link_id").alias("dedup_key"), "pipeline_id", "normalized_url", F.lit("scheduled").alias("status"))
+
+
 # --- state ---------------------------------------------------------------------
+def run_counters(spark, folder):
+    """Embeddings scheduled and completed by run, derived from what is there: chunks, and those embedded."""
+    counts = status_counts(spark, folder)
+    done = F.when(F.col("status") == "embedded", F.col("n_chunks")).otherwise(0)
+    return counts.groupBy("pipeline_id").agg(F.sum("n_chunks").alias("scheduled"), F.sum(done).alias("completed"))
+
+
+def mark_embedded(spark, folder):
+    """Chunk statuses after the chunks of all documents under the first hex digit 0 to 7 were embedded."""
+    own = state.unique_chunks(q(spark, folder, "chunks").select("chunk_id", "document_id", "status", "created_at"))
+    done = own.where(F.substring("document_id", 1, 1) < "8").select("chunk_id").withColumn("hit", F.lit(True))
+    return own.join(done, "chunk_id", "left").select("chunk_id", F.when(F.col("hit"), "embedded").otherwise(F.col("status")).alias("status"))
+
+
+def filter_stage(spark, folder):
+    """The filter stage over raw pages: the include and exclude gates over content before it is parsed, and the status each gets."""
+    own = keyed.pick(q(spark, folder, "fetches").select("target_id", "content", "fetched_at").where("target_id is not null and content is not null"), ["target_id"], [F.col("fetched_at")], last=True)
+    passed = T.relevant(F.lit(""), F.col("content"), True, INCLUDE, EXCLUDE)
+    return own.select("target_id", F.when(passed, "fetched").otherwise("skipped").alias("status"), F.when(~passed, "not_relevant").alias("skip_reason"))
+
+
+def vector_upsert(spark, folder):
+    """A collection after new vectors replaced those of the same id: every tenth one negated."""
+    old = q(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
+    new = old.where("vec_id % 10 = 0").select("vec_id", "label", (-F.col("first")).alias("first"))
+    return keyed.upsert(old, new, ["vec_id"]).select("vec_id", "label", F.round("first", 6).alias("first"))
+
+
 def status_counts(spark, folder):
     return state.status_counts(q(spark, folder, "targets"), q(spark, folder, "chunks"))
 
@@ -289,7 +327,7 @@ QUERIES = {
         url_normalize, url_origin_gate, seed_scheme, dedup_targets, mime_classify, http_failure_class, content_hash, log_slug, run_folders, keyword_filter,
         chunk_sliding_window, chunk_fixed, chunk_sentence, chunk_stats_report, chunk_largest, metadata_merge, link_extract, link_dedup, crawl_frontier_bfs, pending_links,
         status_counts, embedding_rollup, targets_page, target_chunks, active_targets, finalize_targets, documents_embedded, run_completion, outbox_dedup, outbox_pending,
-        latest_status, upsert_chunks, upsert_fetches, embed_batches, html_to_text, xml_parse, xml_titles, chunk_legal_xml,
+        latest_status, upsert_chunks, schedule_links, run_counters, mark_embedded, filter_stage, vector_upsert, upsert_fetches, embed_batches, html_to_text, xml_parse, xml_titles, chunk_legal_xml,
     )
 } | {f"chunk_{n}": chunk_by(f"text_{n}") for n in ("recursive", "markdown", "section")}
 
@@ -369,6 +407,14 @@ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1""",
     "upsert_chunks": f"SELECT document_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN sha256(sha256(text) || 'new') ELSE sha256(text) END AS text_hash, status FROM {CHUNKS} WHERE document_id IS NOT NULL",
     "upsert_fetches": "SELECT target_id, content_hash, http_status, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY fetched_at DESC NULLS LAST) AS rn FROM fetches WHERE target_id IS NOT NULL) WHERE rn = 1",
     "embed_batches": f"SELECT 'embed:' || document_id || ':' || CAST(CAST(floor(chunk_index / 32) * 32 AS BIGINT) AS VARCHAR) AS event_key, count(*) AS n_chunks FROM {CHUNKS} WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY 1",
+    "schedule_links": f"""SELECT 'frontier:' || l.link_id AS dedup_key, o.pipeline_id, l.normalized_url, 'scheduled' AS status FROM (SELECT link_id, arg_min(source_document_id, created_at) AS source_document_id, arg_min(normalized_url, created_at) AS normalized_url, arg_min(status, created_at) AS status FROM links WHERE link_id IS NOT NULL GROUP BY 1) l
+JOIN (SELECT document_id, min(pipeline_id) AS pipeline_id FROM {CURRENT} WHERE document_id IS NOT NULL GROUP BY 1) o ON o.document_id = l.source_document_id JOIN runs r ON r.pipeline_id = o.pipeline_id
+WHERE l.status = 'pending' AND coalesce(json_extract_string(r.actor_configs, '$.schedule_discovered_links.settings.follow_child_links'), 'true') = 'true'""",
+    "run_counters": f"SELECT pipeline_id, CAST(sum(n_chunks) AS BIGINT) AS scheduled, CAST(coalesce(sum(n_chunks) FILTER (status = 'embedded'), 0) AS BIGINT) AS completed FROM ({STATUS_SQL}) GROUP BY 1",
+    "mark_embedded": f"SELECT chunk_id, CASE WHEN substr(document_id, 1, 1) < '8' THEN 'embedded' ELSE status END AS status FROM {CHUNKS}",
+    "filter_stage": rf"""SELECT target_id, CASE WHEN ok THEN 'fetched' ELSE 'skipped' END AS status, CASE WHEN NOT ok THEN 'not_relevant' END AS skip_reason FROM (SELECT target_id, regexp_matches(content, '{KW(INCLUDE)}', 'i') AND NOT regexp_matches(content, '{KW(EXCLUDE)}', 'i') AS ok
+FROM (SELECT target_id, arg_max(content, fetched_at) AS content FROM fetches WHERE target_id IS NOT NULL AND content IS NOT NULL GROUP BY 1))""",
+    "vector_upsert": "SELECT vec_id, label, round(CASE WHEN vec_id % 10 = 0 THEN -1 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
     "xml_titles": r"SELECT act_id, regexp_replace(coalesce(title, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title FROM (SELECT act_id, arg_max(title, received_at) AS title FROM legal_acts WHERE act_id IS NOT NULL GROUP BY 1)",
 }
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actloom.operators import bm25, history, keyed, links, registry, runs, running, search, state, vectors
+from actloom.operators import bm25, chunkers, history, keyed, links, registry, runs, running, search, state, store, vectors
 from actloom.sources import fetch, files, parsers
 
 
@@ -166,3 +166,28 @@ def test_history(spark):
     assert {(r["chunk_key"], r["document_key"], r["rank"]) for r in hits.collect()} == {("d#3", "d", 0), ("s:1", "unknown", 1)}
     assert [(r["chunk_key"], r["best_rank"]) for r in history.by_chunk(hits).orderBy("best_rank").collect()] == [("d#3", 0), ("s:1", 1)]
     assert vectors.metric_name("odd") == "cosine"
+
+
+def test_store(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path))
+    a, b = own.create("runs", {"name": "first"}), own.create("runs", {"name": "second"})
+    own.create("searches", {"pipeline_id": a}), own.create("searches", {"pipeline_id": b})
+    assert own.update("runs", a, {"status": "running"}) == {"name": "first", "status": "running"} == own.get("runs", a)
+    assert [r["name"] for r in own.listed("runs").collect()] == ["second", "first"]
+    own.delete("runs", a)
+    assert own.table("runs").count() == 1 and own.table("searches").count() == 1
+    for bad in (a, "no uuid", None):
+        with pytest.raises(store.NotFound):
+            own.get("runs", bad)
+    with pytest.raises(ValueError):
+        own.table("other")
+
+
+def test_compatible_searches_and_formats(spark):
+    df = spark.createDataFrame([("a", "d", "q"), ("b", "d", "q"), ("c", "d", "other"), ("e", "x", "q"), ("f", None, "q")], "search_id string, dataset_name string, query_text string")
+    assert {r["search_id"] for r in history.compatible(df, "a").collect()} == {"a", "b"}
+    assert {r["search_id"] for r in history.compatible(df, "a", any_query=True).collect()} == {"a", "b", "c"}
+    assert history.compatible(df, "none").count() == 0
+    chunkers.check_format("any", (), "text")
+    with pytest.raises(ValueError):
+        chunkers.check_format("legal_xml", ("xml",), "html")
