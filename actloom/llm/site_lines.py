@@ -86,7 +86,8 @@ def chunk_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     chunk's line keys, 96 bits a line.
     """
     key = lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))
-    keys = F.transform(F.split("text", "\n", -1), lambda x: F.when(line_form(x) != "", key(line_form(x))))
+    forms = F.transform(F.split("text", "\n", -1), line_form)  # once a line, then hashed twice
+    keys = F.transform(forms, lambda x: F.when(x != "", key(x)))
     own = chunks.where("text is not null and document_id is not null").select("chunk_id", "document_id", keys.alias("keys"))
     placed = own.join(documents, "document_id")
     lines = placed.select("chunk_id", "site", "bucket", "position", F.posexplode("keys").alias("line_no", "key"))
