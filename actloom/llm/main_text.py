@@ -44,6 +44,7 @@ BYLINE = re.compile(r"^(?:\d{1,2}[./]\s?\d{1,2}[./]\s?\d{2,4}|\d{4}-\d\d-\d\d)\s
 TRAIL = re.compile(r"^[^.!?;:]{1,40}(?:\s[›»>→/]\s[^.!?;]{1,60}){1,6}$")
 COMMENT = re.compile(r"^[a-zõäöü]+_?[a-zõäöü]*\d+\s*:\s", re.I)
 COMMENT_COUNT = re.compile(r"^\d+ (?:comments?|kommentaari?|kommentare?)$", re.I)
+INNER_STOP = re.compile(r"[.,;?!]\s")
 ENDED = re.compile(r"[.!?:;…”\"»)]\s*$")
 
 
@@ -227,21 +228,30 @@ def text_body(page: str) -> set[int]:
 
 
 def after_teasers(lines: list[str], kind: list[str], start: int) -> int:
-    """First line after a list of teasers: where furniture of another kind, or the title of the body, begins."""
+    """First line after a list of teasers: where furniture of another kind, or the title of the body, begins.
+
+    Teasers are titles, and texts that end in an ellipsis. The body begins
+    with the last title before a line that can be neither: a whole sentence, a
+    wrapped one (it has an inner stop or comma, or goes on in small letters), a
+    list item, a table row, or a prompt, which only a body has.
+    """
     title = -1
     k = start
     while k < len(lines):
+        x = lines[k]
         if kind[k] in ("x", "t", "h", "c", "s"):
             return k
+        if kind[k] in ("b", "p") and title >= 0:
+            return title
         if kind[k] == "b":
-            return title if title >= 0 else k
+            return k
         if kind[k] in (" ", "p"):
             k += 1
             continue
-        x = lines[k]
+        goes_on = k + 1 < len(lines) and lines[k + 1][:1].islower()
         if x.endswith("…"):
             title = -1
-        elif is_title(x):
+        elif is_title(x) and not goes_on and not INNER_STOP.search(x):
             title = k
         else:
             return title if title >= 0 else k
