@@ -70,6 +70,10 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
         resolved = work.write(expand(removed, resolved, cut, paths), f"resolved{k}")
         if k:
             work.drop(f"resolved{k - 1}")
+    # Only the last table is read from here on.
+    for k in range(len(done)):
+        work.drop(f"raked{k}")
+        work.drop(f"spliced{k}")
     counted = resolved.withColumn("n_descendants", F.when(~F.col("on_loop"), F.col("n_descendants")))
     return counted.withColumnRenamed("id", node)
 
