@@ -40,7 +40,16 @@ class Workspace:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
+    def _place(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def has(self, name: str) -> bool:
+        """Whether a table, or a part of one, was written; a part without rows is not."""
+        files, path = self._place(name)
+        return files.exists(path)
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._place(name)
+        files.delete(path, True)

@@ -43,13 +43,15 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
     for k in range(max_rounds):
         raked = work.write(rake(alive), f"raked{k}", partition_by="part")
         work.drop("alive" if k == 0 else f"spliced{k - 1}/part=kept")
-        records.append((False, raked.where("part = 'leaf'")))
+        if work.has(f"raked{k}/part=leaf"):
+            records.append((False, raked.where("part = 'leaf'")))
         spliced = work.write(splice(raked.where("part = 'kept'"), k, paths), f"spliced{k}", partition_by="part")
         work.drop(f"raked{k}/part=kept")
-        records.append((True, spliced.where("part = 'cut'")))
+        if work.has(f"spliced{k}/part=cut"):
+            records.append((True, spliced.where("part = 'cut'")))
         done.append(spliced.where("part = 'end'"))
         alive = spliced.where("part = 'kept'").drop("part")
-        if alive.isEmpty():
+        if not work.has(f"spliced{k}/part=kept"):
             break
     else:
         raise RuntimeError(f"a hierarchy was not contracted in {max_rounds} rounds")

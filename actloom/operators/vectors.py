@@ -128,9 +128,11 @@ def scores(metric: str, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
         a, b = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.nan_to_num((queries @ vectors.T) / np.outer(a, b), nan=-np.inf)
-    if metric == "euclid":
-        return -np.sqrt(np.maximum(0, ((queries[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)))
-    return -np.abs(queries[:, None, :] - vectors[None, :, :]).sum(axis=2)
+    out = np.zeros((len(queries), len(vectors)))
+    for d in range(queries.shape[1]):  # a component at a time, so no more than queries times vectors is held
+        apart = queries[:, d : d + 1] - vectors[:, d][None, :]
+        out += apart * apart if metric == "euclid" else np.abs(apart)
+    return -np.sqrt(out) if metric == "euclid" else -out
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", digits: int = 6) -> DataFrame:
@@ -140,17 +142,21 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     go in blocks of bounded size; each task keeps the k best of each query of
     what it has read, so k rows a query and task are shuffled. Scores are
     rounded before they are ranked; ties go by id; distances come as they are
-    (smaller is nearer). Vectors that are NULL, or without length under cosine,
-    are no neighbours; queries that are NULL have none.
+    (smaller is nearer). Vectors that are NULL, hold a NULL or NaN, have another
+    dimension than the query, or no length under cosine, are no neighbours;
+    queries that are NULL or hold a NULL have none.
     """
     metric = metric_name(metric)
     spark = vectors.sparkSession
     work = Workspace(spark, "dense")
-    kept = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("id is not null and vector is not null")
+    whole = "id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
+    kept = vectors.select(F.col("id").cast("long").alias("id"), "vector").where(whole)
     best = None
-    for number, block in enumerate(blocks(queries)):
-        found = work.write(block_top_k(spark, block, kept, k, metric, digits), f"block{number}")
-        best = found if best is None else best.unionByName(found)
+    for number, block in enumerate(blocks(queries.select(F.col("id").cast("long").alias("id"), "vector").where(whole))):
+        for dim in sorted({len(v) for _, v in block}):
+            own = [(i, v) for i, v in block if len(v) == dim]
+            found = work.write(block_top_k(spark, own, kept.where(F.size("vector") == dim), k, metric, digits), f"block{number}-{dim}")
+            best = found if best is None else best.unionByName(found)
     if best is None:
         return spark.createDataFrame([], "query_id long, id long, score double, rank long")
     return best

@@ -45,7 +45,7 @@ def test_dense_equals_brute_force(spark, metric):
     data = rng.normal(size=(60, 8)).round(3)
     data[7] = data[8] = data[9]  # ties
     data[5] = 0
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(None, [0.0] * 8), (99, None)], "id long, vector array<float>")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(None, [0.0] * 8), (99, None), (98, [1.0] * 7), (97, [None] * 8), (96, [float("nan")] * 8)], "id long, vector array<float>")
     got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in vectors.dense_top_k(df.where("id < 12"), df, 4, metric).collect()}
     f = data.astype(np.float32).astype(np.float64)
     for q in range(12):
