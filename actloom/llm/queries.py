@@ -69,6 +69,13 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each test item with the number of documents it leaked into and the longest run of its words there; 0 for none."""
+    found = p6_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))
+    items = table(spark, folder, "eval_items").groupBy("item_id").agg(F.max("suite").alias("suite"))
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of each mixture with their tokens and repeats."""
     return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
@@ -128,6 +135,7 @@ QUERIES = {
     "p5_clean_chunks": p5_clean_chunks,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
+    "p6_items": p6_items,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
