@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from actloom.io import table
 from actloom.operators import bm25, history, search, vectors
 from actloom.operators.state import current, unique_chunks
+from actloom.plans.pipeline import CHUNKS, CURRENT
 
 TOP_K = 10
 
@@ -228,8 +229,6 @@ s AS (SELECT query_id, chunk_id, round(-sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM s) WHERE rank <= {TOP_K}"""
 
 
-CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST) AS rn FROM targets WHERE target_id IS NOT NULL) WHERE rn = 1)"
-CHUNKS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
 SCOPE = f"WHERE chunk_id IN (SELECT c.chunk_id FROM chunks c JOIN {CURRENT} t USING (document_id) WHERE t.pipeline_id = (SELECT min(pipeline_id) FROM runs))"
 NEIGHBOURS = f"SELECT a.document_id, CAST(a.chunk_index AS BIGINT) AS chunk_index, CAST(b.chunk_index AS BIGINT) AS neighbour_index, b.chunk_id FROM {CHUNKS} a JOIN {CHUNKS} b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) = 1"
 
