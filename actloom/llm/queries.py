@@ -119,6 +119,17 @@ kept AS (SELECT site, k FROM (SELECT site, k, count(DISTINCT document_id) AS n F
 SELECT DISTINCT chunk_id, CAST(line_no AS INT) AS line_no FROM placed JOIN kept USING (site, k)
 """
 
+# Entities other than these two, and letters that fold to several, don't occur in the texts that this is compared on.
+WORDS_SQL = r"""regexp_extract_all(replace(lower(strip_accents(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '&nbsp;', ' '), '&amp;', '&'),
+  '</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>', '', 'g'), '[\x{ad}\x{34f}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]', '', 'g'), '(\p{L})[-\x{2010}\x{2011}][ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"""
+P6_SQL = f"""
+WITH items AS (SELECT item_id, w, least(12, len(w)) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM eval_items) WHERE len(w) > 0),
+passages AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM items, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k)),
+docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+windows AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM items) AS sizes, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k))
+SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (n, s)
+"""
+
 P5_CLEAN_SQL = f"""
 WITH found AS ({P5_SQL}), cut AS (SELECT chunk_id, list(line_no) AS cut FROM found GROUP BY 1), c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1)
 SELECT c.chunk_id, CAST(coalesce(len(cut), 0) AS INT) AS n_removed, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(string_split(text, chr(10)))), lambda i: NOT list_contains(cut, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text
@@ -142,4 +153,4 @@ QUERIES = {
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL}
+SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL}
