@@ -124,6 +124,17 @@ walk(act_id, path, j, obj) AS (
 SELECT DISTINCT act_id, path AS node_path FROM walk WHERE obj AND json_type(j) = 'OBJECT'
 """
 
+
+def flat_sql(group: str, columns: tuple[str, ...]) -> str:
+    """The flat table of a group, from the walk: plain fields as text, lists of plain values as compact JSON, none for objects and lists of them."""
+    path = "^" + r"/\d+/".join(group.split("/")) + r"/\d+$"
+    top = "/" not in group
+    one = "CASE json_type(j, '$.\"@\"') WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN CASE WHEN contains(CAST(json_extract(j, '$.\"@\"') AS VARCHAR), '{') THEN NULL ELSE CAST(json_extract(j, '$.\"@\"') AS VARCHAR) END ELSE json_extract_string(j, '$.\"@\"') END AS \"@\""
+    picked = ", ".join(one.replace("@", c) for c in columns)
+    parent = "CAST(NULL AS VARCHAR)" if top else r"regexp_replace(path, '/[^/]+/\d+$', '')"
+    head = P1_SQL.rpartition("SELECT DISTINCT act_id")[0]
+    return rf"{head} SELECT DISTINCT act_id, path AS node_path, {parent} AS parent_path, CAST(regexp_extract(path, '(\d+)$', 1) AS INT) AS ordinal, {picked} FROM walk WHERE obj AND json_type(j) = 'OBJECT' AND regexp_matches(path, '{path}')"
+
 EDGES_SQL = """
 t AS (SELECT target_id, max(depth) AS depth, max(parent_document_id) AS pd, max(parent_chunk_id) AS pc FROM targets WHERE target_id IS NOT NULL GROUP BY 1),
 c AS (SELECT chunk_id, max(document_id) AS cd FROM chunks GROUP BY 1),
@@ -157,17 +168,20 @@ FROM e LEFT JOIN down USING (target_id) LEFT JOIN entered USING (target_id) LEFT
 """
 P3_DESCENDANTS_SQL = f"{ANCESTORS_SQL} SELECT a AS ancestor_id, anc.target_id, d.depth - u.depth AS steps FROM anc JOIN down d ON d.target_id = anc.target_id JOIN down u ON u.target_id = anc.a"
 
+FLAT = {
+    "p1_sections": ("sections", ("number", "display", "title", "intro_text")),
+    "p1_subsections": ("sections/subsections", ("index", "display", "text")),
+    "p1_clauses": ("sections/subsections/clauses", ("number", "display", "text")),
+    "p1_amendments": ("amendments", ("rt_part", "published", "article", "in_force")),
+    "p1_metadata": ("metadata", ("publisher", "documentKind", "validFrom", "documentStatus", "keywords")),
+}
 QUERIES = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
     "p1_groups": p1_groups,
-    "p1_sections": flat("sections", ("number", "display", "title", "intro_text")),
-    "p1_subsections": flat("sections/subsections", ("index", "display", "text")),
-    "p1_clauses": flat("sections/subsections/clauses", ("number", "display", "text")),
-    "p1_amendments": flat("amendments", ("rt_part", "published", "article", "in_force")),
-    "p1_metadata": flat("metadata", ("publisher", "documentKind", "validFrom", "documentStatus", "keywords")),
+    **{name: flat(*own) for name, own in FLAT.items()},
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
     "p3_descendants": p3_descendants,
 }
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_hierarchy": P3_HIERARCHY_SQL, "p3_descendants": P3_DESCENDANTS_SQL}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_hierarchy": P3_HIERARCHY_SQL, "p3_descendants": P3_DESCENDANTS_SQL} | {name: flat_sql(*own) for name, own in FLAT.items()}
