@@ -342,9 +342,9 @@ STATUS_SQL = f"SELECT t.pipeline_id, c.status, count(*) AS n_chunks FROM {CHUNKS
 LINK_MD = "(SELECT source_chunk_id, string_agg(m, '' ORDER BY link_id) AS text FROM (SELECT DISTINCT link_id, source_chunk_id, 'see [' || anchor_text || '](' || raw_url || '), ' AS m FROM links WHERE source_chunk_id IS NOT NULL AND raw_url IS NOT NULL AND coalesce(anchor_text, '') <> '') GROUP BY 1)"
 EXTRACT = rf"SELECT source_chunk_id, i - 1 AS pos, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 1) AS label, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM (SELECT source_chunk_id, regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)') AS m FROM {LINK_MD}), LATERAL unnest(range(1, len(m) + 1)) AS u(i)"
 
-# The walk keeps the next sentence i, the first one s of the chunk being packed, and its length n.
+# Sentence ends are marked by a private character: control characters stand in some texts. The walk keeps the next sentence i, the first one s of the chunk being packed, and its length n.
 SENTENCE_SQL = rf"""
-WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
 walk(doc_id, p, i, s, n, chunk) AS (
   SELECT doc_id, p, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM parts WHERE len(p) > 0
   UNION ALL
