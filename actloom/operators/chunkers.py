@@ -8,6 +8,7 @@ in Arrow batches. Texts that are NULL or blank give no chunks.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -173,24 +174,32 @@ def sections(text: str) -> list[str]:
     return own
 
 
-def chunk_with(documents: DataFrame, key: str, split: Callable[[str, str | None], list[tuple]], text: str = "text", raw: str | None = None) -> DataFrame:
+def with_known(metadata: str, known: dict[str, str]) -> str:
+    """Metadata as JSON with what is known of the document; what the chunk says itself stays."""
+    return json.dumps({**known, **json.loads(metadata)}, ensure_ascii=False, separators=(",", ":")) if known else metadata
+
+
+def chunk_with(documents: DataFrame, key: str, split: Callable[[str, str | None], list[tuple]], text: str = "text", raw: str | None = None, source_url: str | None = None, language: str | None = None) -> DataFrame:
     """Chunks of each document by a Python splitter, in Arrow batches.
 
     `split` takes the text and the raw content (None without a raw column)
-    and gives (text, start, end, type, metadata as JSON) in order.
+    and gives (text, start, end, type, metadata as JSON) in order. Columns for
+    the source's URL and the language join the metadata where they are not empty.
     """
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for k, t, r in zip(pdf["key"], pdf["text"], pdf["raw"]):
+            for k, t, r, url, lang in zip(pdf["key"], pdf["text"], pdf["raw"], pdf["url"], pdf["lang"]):
                 if t is not None and t.strip():
-                    rows.extend((k, i, *x) for i, x in enumerate(split(t, r)))
+                    known = {name: v for name, v in (("sourceUrl", url), ("language", lang)) if v}
+                    rows.extend((k, i, *x[:4], with_known(x[4], known)) for i, x in enumerate(split(t, r)))
             out = pd.DataFrame(rows, columns=["key", "chunk_index", "text", "start_offset", "end_offset", "chunk_type", "metadata"])
             yield out.astype({"start_offset": "Int64", "end_offset": "Int64"})
 
-    source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(raw) if raw else F.lit(None).cast("string")).alias("raw"))
+    column = lambda c, name: (F.col(c) if c else F.lit(None)).cast("string").alias(name)
+    source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), column(raw, "raw"), column(source_url, "url"), column(language, "lang"))
     return source.mapInPandas(run, f"key {kind}, {CHUNK}").withColumnRenamed("key", key)
 
 

@@ -125,7 +125,7 @@ def chunk_by(name):
 
 def act_xml(spark, folder) -> DataFrame:
     """Legal acts written out as act XML, from their latest records: the input of the act chunker."""
-    acts = keyed.pick(q(spark, folder, "legal_acts").select("act_id", "title", "sections", "received_at").where("act_id is not null"), ["act_id"], [F.col("received_at")], last=True)
+    acts = keyed.pick(q(spark, folder, "legal_acts").select("act_id", "title", "sections", "source_url", "lang", "received_at").where("act_id is not null"), ["act_id"], [F.col("received_at")], last=True)
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;")
     section = "array<struct<number:string,display:string,title:string,intro_text:string,subsections:array<struct<index:string,display:string,text:string>>>>"
     parsed = F.coalesce(F.from_json("sections", section), F.array().cast(section))
@@ -135,11 +135,11 @@ def act_xml(spark, folder) -> DataFrame:
         F.array_join(F.transform(F.coalesce(s["subsections"], F.array().cast("array<struct<index:string,display:string,text:string>>")), sub), ""), F.lit("</paragrahv>"),
     )
     xml = F.concat(F.lit("<oigusakt><pealkiri>"), esc(F.col("title")), F.lit("</pealkiri><sisu>"), F.array_join(F.transform(F.filter(parsed, lambda s: s.isNotNull()), one), ""), F.lit("</sisu></oigusakt>"))
-    return acts.select("act_id", F.coalesce("title", F.lit("act")).alias("text"), xml.alias("raw"))
+    return acts.select("act_id", F.coalesce("title", F.lit("act")).alias("text"), xml.alias("raw"), "source_url", F.coalesce("lang", F.lit("en")).alias("lang"))
 
 
 def chunk_legal_xml(spark, folder):
-    return chunkers.chunk_with(act_xml(spark, folder), "act_id", chunkers.act_splitter(Config()), raw="raw")
+    return chunkers.chunk_with(act_xml(spark, folder), "act_id", chunkers.act_splitter(Config()), raw="raw", source_url="source_url", language="lang")
 
 
 def chunk_stats_report(spark, folder):

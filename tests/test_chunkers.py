@@ -87,3 +87,9 @@ def test_act_chunker_falls_back(spark):
     df = spark.createDataFrame([(1, "text", None), (2, "t", ACT.format(a="a", b="b", c="c")), (3, None, "x"), (4, " ", "x")], "k long, text string, raw string")
     got = chunkers.chunk_with(df, "k", chunkers.act_splitter(), raw="raw").collect()
     assert {r["k"] for r in got} == {1, 2} and [r["text"] for r in got if r["k"] == 1] == ["text"]
+
+
+def test_known_of_the_document_joins_the_metadata(spark):
+    df = spark.createDataFrame([(1, "text", "http://a", "et"), (2, "text", None, "")], "k long, text string, url string, lang string")
+    got = {r["k"]: r["metadata"] for r in chunkers.chunk_with(df, "k", chunkers.recursive_splitter(), source_url="url", language="lang").collect()}
+    assert got == {1: '{"sourceUrl":"http://a","language":"et"}', 2: "{}"}
