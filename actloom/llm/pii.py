@@ -3,12 +3,12 @@
 Mentions of five types are found in one narrow pass (no shuffle): e-mail
 addresses, phone numbers, identity numbers, street addresses and names. The
 text can be written anew with typed placeholders, or with keyed surrogates of
-the same type, gender, script and format: a name part is replaced through a
-keyed permutation of its own list, so distinct names stay distinct and the
-short and full forms of one name stay forms of one name; digits go through a
-keyed Feistel permutation of all strings of their length, so distinct numbers
-stay distinct; where another entity of the text already has a surrogate, the
-key is stepped until there is no collision.
+the same type, gender, script and format: a word of a list is replaced through
+a keyed cycle of its own list, any other word and digits through a keyed cycle
+of all strings of their form (Feistel rounds). Each of these is one to one and
+has no fixed point, so without a look at other texts distinct entities of a
+corpus stay distinct, none stays as it is, and the short and full forms of one
+name or address stay forms of it. An e-mail is keyed by its whole address.
 
 Defined cases: NULL text gives no mention and stays NULL; an empty text stays
 empty; mentions don't overlap (e-mail, then identity number, phone, address,
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from math import prod
 
 import ahocorasick
 import pandas as pd
@@ -263,35 +265,89 @@ def with_placeholders(text: str | None, found: list[tuple[int, int, str]]) -> st
     return "".join([*parts, text[at:]])
 
 
+DIGITS = "0123456789"
+#: Letters are replaced by letters of the same of these kinds; ß and ÿ have no capital of their length.
+KINDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "õäöü", "àáâãåæèéêëìíîïòóôøùúûý", "çðñþšž", "ß", "ÿ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", DIGITS)
+KIND_OF = {c: kind for kind in KINDS for c in kind}
+SPELT_DOT = re.compile(r"\s?(?:\[dot\]|\(dot\)|\{dot\})\s?")
+GERMAN_STREET = re.compile(r"(?<=.)(?:straße|strasse|str|gasse|weg|allee|ufer|platz|damm|ring|graben|steig)\Z")
+KIND_OF_STREET = re.compile(
+    r"tn|tänav|tee|pst|puiestee|mnt|maantee|vald|Straße|Weg|Allee|Platz|Gasse|Ufer|Road|Street|Lane|Close|Avenue|Terrace|Way|Drive|Square|Row|Court|Crescent|Place|Gardens|Hill"
+)
+ADDRESS_PART = re.compile(r"(?P<word>[^\W\d_]{2,})|(?P<number>\d+)(?P<unit>[A-Za-z](?![^\W\d_]))?")
+
+
+@lru_cache(4096)
+def alphabet_of(c: str) -> str:
+    """The letters that may stand for a letter: those of its kind, or of its script's neighbourhood; another character stays."""
+    if c in KIND_OF or not c.isalnum():
+        return KIND_OF.get(c, c)
+    near = map(chr, range(ord(c) // 32 * 32, ord(c) // 32 * 32 + 32))
+    return "".join(x for x in near if x.isalnum() and x not in KIND_OF and (x.isalpha(), x.islower(), x.isupper()) == (c.isalpha(), c.islower(), c.isupper()))
+
+
 class Surrogates:
     """Keyed, deterministic replacements; one object serves all texts under one key."""
 
     def __init__(self, key: str):
         self.key = key.encode()
-        self.given = {g: self.shuffled(sorted(names), g) for g, names in (("f", GIVEN_F), ("m", GIVEN_M))}
-        self.rank = {g: {x.lower(): k for k, x in enumerate(sorted(names))} for g, names in (("f", GIVEN_F), ("m", GIVEN_M))}
-        self.surnames = self.shuffled(SURNAMES, "surname")
-        self.surname_rank = {x: k for k, x in enumerate(SURNAMES)}
+        pools = {"f": GIVEN_F, "m": GIVEN_M, "surname": SURNAMES, "street": STREETS, "place": PLACES}
+        self.pools = {salt: self.shuffled(sorted(x.lower() for x in pool), salt) for salt, pool in pools.items()}
+        self.at = {salt: {x: k for k, x in enumerate(pool)} for salt, pool in self.pools.items()}
+        self.orders: dict[tuple[str, str], list[str]] = {}
+        self.word = lru_cache(1 << 16)(self.word)
 
     def number(self, *parts: str) -> int:
         return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode(), key=self.key[:64], digest_size=8).digest(), "big")
 
-    def shuffled(self, items: list[str], salt: str) -> list[str]:
+    def shuffled(self, items: Sequence[str], salt: str) -> list[str]:
         return sorted(items, key=lambda x: self.number("order", salt, x))
 
-    def digits(self, value: str, salt: str) -> str:
-        """A keyed permutation of all digit strings of one length (four Feistel rounds on two halves)."""
-        n = len(value)
-        if n < 2:
-            return str((int(value) + self.number(salt, "one")) % 10) if value else value
-        cut = n // 2
-        a, b = value[:cut], value[cut:]
-        for k in range(4):
-            if k % 2 == 0:
-                a = str((int(a) + self.number(salt, str(k), b)) % 10 ** len(a)).zfill(len(a))
-            else:
-                b = str((int(b) + self.number(salt, str(k), a)) % 10 ** len(b)).zfill(len(b))
-        return a + b
+    def cycled(self, value: str, alphabets: list[str], salt: str) -> str:
+        """The next of all strings over these alphabets in one keyed cycle: distinct for distinct strings, and never the string itself.
+
+        Four Feistel rounds on two halves give the keyed order; they are undone, one is added, and they are done again.
+        """
+        order = [self.order(x, salt) for x in alphabets]
+        moving = [k for k, x in enumerate(alphabets) if len(x) > 1]
+        if not moving:
+            return value
+        halves = moving[: len(moving) // 2], moving[len(moving) // 2 :]
+        sizes = [prod(len(order[k]) for k in half) for half in halves]
+        x = [0, 0]
+        for side, half in enumerate(halves):
+            for k in half:
+                x[side] = x[side] * len(order[k]) + order[k].index(value[k])
+        shape = f"{salt}/{'/'.join(map(str, sizes))}"
+        rounds = (0, 1, 0, 1) if halves[0] else ()
+        for n in reversed(range(len(rounds))):
+            x[rounds[n]] = (x[rounds[n]] - self.number(shape, str(n), str(x[1 - rounds[n]]))) % sizes[rounds[n]]
+        carry, x[1] = divmod(x[1] + 1, sizes[1])
+        x[0] = (x[0] + carry) % sizes[0]
+        for n in range(len(rounds)):
+            x[rounds[n]] = (x[rounds[n]] + self.number(shape, str(n), str(x[1 - rounds[n]]))) % sizes[rounds[n]]
+        new = list(value)
+        for side, half in enumerate(halves):
+            for k in reversed(half):
+                x[side], i = divmod(x[side], len(order[k]))
+                new[k] = order[k][i]
+        return "".join(new)
+
+    def order(self, alphabet: str, salt: str) -> list[str]:
+        if (alphabet, salt) not in self.orders:
+            if len(self.orders) > 10_000:
+                self.orders.clear()
+            self.orders[alphabet, salt] = self.shuffled(alphabet, salt)
+        return self.orders[alphabet, salt]
+
+    def digits(self, value: str, salt: str, lead: bool = False) -> str:
+        """A keyed permutation of all digit strings of one length; with `lead`, of those that start with 0 and of the others."""
+        new = value
+        while value:
+            new = self.cycled(new, [DIGITS] * len(new), salt)
+            if not lead or len(value) == 1 and new != "0" or len(value) > 1 and (new[0] == "0") == (value[0] == "0"):
+                break
+        return new
 
     def same_format(self, value: str, salt: str, keep: int = 0) -> str:
         """Other digits in the same places; the first `keep` digits and everything else as they are."""
@@ -299,68 +355,80 @@ class Surrogates:
         new = iter(figures[:keep] + list(self.digits("".join(figures[keep:]), salt)))
         return "".join(next(new) if c.isdigit() else c for c in value)
 
-    def letters(self, value: str, salt: str) -> str:
-        out = []
-        for k, c in enumerate(value):
-            if c.isalpha():
-                base = "bcdfghklmnprstvz" if c.lower() not in "aeiouõäöü" else "aeiou"
-                x = base[self.number(salt, value.lower(), str(k)) % len(base)]
-                out.append(x.upper() if c.isupper() else x)
-            elif c.isdigit():
-                out.append(str((int(c) + self.number(salt, value.lower(), str(k))) % 10))
-            else:
-                out.append(c)
-        return "".join(out)
+    def letters(self, low: str, salt: str) -> str:
+        """Other letters and digits of the same kinds in the same places; distinct for distinct values."""
+        return self.cycled(low, [alphabet_of(c) for c in low], salt)
 
     @staticmethod
     def cased(new: str, like: str) -> str:
-        return new.upper() if like.isupper() and len(like) > 1 else new.lower() if like.islower() else new[:1].upper() + new[1:].lower()
-
-    def part(self, word: str, step: int) -> str:
+        if len(new) != len(like):
+            return new.upper() if like.isupper() and len(like) > 1 else new.lower() if like.islower() else new[:1].upper() + new[1:].lower()
+        return "".join(x.upper() if c.isupper() and len(x.upper()) == 1 else x for x, c in zip(new, like))
+
+    def word(self, low: str, pools: tuple[str, ...], salt: str) -> str:
+        """A word of a list becomes the next one of its list in keyed order; any other word other letters, and no word of a list."""
+        for pool in pools:
+            if (k := self.at[pool].get(low)) is not None:
+                return self.pools[pool][(k + 1) % len(self.pools[pool])]
+        new = self.letters(low, salt)
+        while any(new in self.at[pool] for pool in pools):
+            new = self.letters(new, salt)
+        return new
+
+    def part(self, word: str, step: int = 0) -> str:
+        new = self.word(lowered(word), ("f", "m", "surname"), "name")
+        for _ in range(step):
+            new = self.word(new, ("f", "m", "surname"), "name")
         low = word.lower()
-        if (g := GENDER.get(low)) is not None:
-            pool = self.given[g]
-            return self.cased(pool[(self.rank[g][low] + step) % len(pool)], word)
-        if low in self.surname_rank:
-            return self.cased(self.surnames[(self.surname_rank[low] + step) % len(self.surnames)], word)
-        return self.cased(self.letters(low, f"name{step}"), word)
-
-    def replace(self, kind: str, value: str, step: int) -> str:
-        salt = f"{kind}{step}"
+        if any(low in self.at[pool] for pool in ("f", "m", "surname")) and not word.isupper() and not word.islower():
+            return new[:1].upper() + new[1:]
+        return new.upper() if word.isupper() and len(word) > 1 else self.cased(new, word)
+
+    def email(self, value: str) -> str:
+        """Keyed by the whole address, however it is spelt; one domain stays one domain, under .example."""
+        mark = AT.search(value)
+        local, domain = lowered(value[: mark.start()]), lowered(value[mark.end() :])
+        dot = SPELT_DOT.search(domain)
+        domain = SPELT_DOT.sub(".", domain)
+        new = f"{self.letters(domain, 'domain')}.example"
+        return self.letters(local, f"email/{domain}") + mark[0] + (new.replace(".", dot[0]) if dot else new)
+
+    def address(self, value: str) -> str:
+        """Every street, place and number; the words for kinds of streets, parishes and flats stay."""
+
+        def one(m: re.Match) -> str:
+            if m["number"]:
+                return self.digits(m["number"], "number", lead=True) + (self.cased(self.letters(m["unit"].lower(), "unit"), m["unit"]) if m["unit"] else "")
+            word, after = m["word"], value[m.end() : m.end() + 2]
+            if KIND_OF_STREET.fullmatch(word) and (word.islower() or m.start() and value[m.start() - 1] in " \n\xa0" and value[m.start() - 2].isalpha() and not (after[:1] in ("-", " ", "\xa0") and after[1:].isupper())):
+                return word
+            if word == "Flat" and not m.start() and after[1:].isdigit():
+                return word
+            kept = ""
+            if not m.start(1) and (end := GERMAN_STREET.search(word)) and (after[:1] == "." or after[1:].isdigit()):
+                word, kept = word[: end.start()], word[end.start() :]
+            new = self.word(lowered(word), ("street", "place"), "address")
+            return (new[:1].upper() + new[1:] if not word.isupper() and len(new) != len(word) else self.cased(new, word)) + kept
+
+        return ADDRESS_PART.sub(one, value)
+
+    def replace(self, kind: str, value: str) -> str:
         if kind == "name":
-            return re.sub(r"[^\W\d_]+(?!\.)", lambda m: self.part(m[0], step) if len(m[0]) > 1 else m[0], value)
+            return re.sub(r"[^\W\d_]+(?!\.)", lambda m: self.part(m[0]) if len(m[0]) > 1 else m[0], value)
         if kind == "email":
-            m = AT.search(value)
-            return self.letters(value[: m.start()].lower(), salt) + m[0] + ("mail [dot] example" if "dot" in value[m.end() :].lower() else "mail.example")
+            return self.email(value)
         if kind == "phone":
-            figures = sum(c.isdigit() for c in value)
-            return self.same_format(value, salt, keep=max(0, figures - 7))
+            return self.same_format(value, kind, keep=max(0, sum(c.isdigit() for c in value) - 7))
         if kind == "id_number":
-            if value[0].isalpha():
-                return value[:2] + self.same_format(value[2:], salt)
-            return self.same_format(value, salt, keep=1)
-        kept = re.sub(r"\d+", lambda m: self.digits(m[0], salt) if len(m[0]) > 1 else m[0], value)
-        pools = {x: self.shuffled(pool, f"address{step}") for pool in (STREETS, PLACES) for x in pool}
-        return re.sub(rf"{'|'.join(STREETS + PLACES)}", lambda m: pools[m[0]][(STREETS if m[0] in STREETS else PLACES).index(m[0])], kept)
+            return self.same_format(value, kind, keep=0 if value[0].isalpha() else 1)
+        return self.address(value)
 
     def rewrite(self, text: str | None, found: list[tuple[int, int, str]]) -> str | None:
         if not found:
             return text
-        given: dict[tuple[str, str], str] = {}
-        used: dict[tuple[str, str], str] = {}
         parts, at = [], 0
         for s, e, kind in found:
-            value = text[s:e]
-            same = re.sub(r"\W", "", value.lower()) if kind in ("phone", "id_number") else " ".join(value.lower().split())
-            step = 0
-            while True:
-                new = given.get((kind, value)) or self.replace(kind, value, step)
-                mark = re.sub(r"\W", "", new.lower()) if kind in ("phone", "id_number") else new.lower()
-                if used.get((kind, mark), same) == same and (new != value or step > 40) or step > 60:
-                    break
-                step += 1
-            given[(kind, value)], used[(kind, mark)] = new, same
-            parts += [text[at:s], new]
+            parts += [text[at:s], self.replace(kind, text[s:e])]
             at = e
         return "".join([*parts, text[at:]])
 

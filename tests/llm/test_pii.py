@@ -68,3 +68,29 @@ def test_frame(spark):
     got = {r["doc_id"]: r for r in pii.redact(df).collect()}
     assert got[3]["clean_text"] is None and got[2]["clean_text"] == "" and got[None]["clean_text"] == "[EMAIL]"
     assert pii.find_mentions(df.limit(0)).count() == 0 and pii.redact(df, secret="k").count() == 5
+
+
+@pytest.mark.parametrize("secret", ["k", "other"])
+def test_every_street_place_and_number_is_replaced(secret):
+    s = pii.Surrogates(secret)
+    for old in ("Müllerstraße 3a", "5B Linden Road", "Flat 4, 17 Cooper's Lane, Fernhaven 83740", "Savikoja tn 6-5, 88277 Marjasoo", "Lange Straße 5, 12345 Altdorf"):
+        new = s.rewrite(f"at {old}.", [(3, 3 + len(old), "address")])[3:-1]
+        parts = lambda x: [p for p in pii.re.findall(r"\d+|[^\W\d_]{2,}", x) if p not in ("Straße", "Road", "Lane", "Flat", "tn")]
+        assert len(parts(old)) == len(parts(new)) and all(a.removesuffix("straße") != b.removesuffix("straße") for a, b in zip(parts(old), parts(new))), new
+        assert found(f"at {new}.") == [("address", new)]
+
+
+def test_surrogates_are_distinct_over_all_texts():
+    s = pii.Surrogates("k")
+    domains = ["a.example", "b.example", "c.example", "a.test", "b.test", "a.b.example", "sadamapost.example"]
+    many = {
+        "email": [f"{x}@{d}" for x in ("desk", "info", "a1", "a2", "b1") for d in domains],
+        "address": [f"{x} {n}{u}" for x in ("Müllerstraße", "Millerstraße", "Kaevu tee", "Kaevo tee", "Kaevu") for n in range(1, 130) for u in ("", "a", "b")],
+        "name": [f"{x} {y}" for x in ("Anton", "Artur", "Anno", "Unto", "A.") for y in ("Smith", "Smyth", "Sookivist", "Bo", "Ba")],
+        "phone": [f"555-{n:04}" for n in range(3000)],
+    }
+    for kind, values in many.items():
+        new = [s.rewrite(x, [(0, len(x), kind)]) for x in values]
+        assert len(set(new)) == len(values) and not any(x == y for x, y in zip(new, values)), kind
+    spelt = "desk [at] a [dot] example"
+    assert s.replace("email", spelt).replace(" [at] ", "@").replace(" [dot] ", ".") == s.replace("email", "DESK@a.example") != s.replace("email", "desk@b.example")
