@@ -16,6 +16,7 @@ node. NULL keys are records of their own key NULL.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -25,6 +26,47 @@ from pyspark.sql import functions as F
 TRIPLES = "rec string, node_path string, parent_path string, node_group string, ordinal int, depth int, name string, value string"
 
 
+TOKEN = re.compile(r'[ \t\n\r]*([\[\]{},:]|"(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+)[ \t\n\r]*', re.S)
+
+
+def parsed_deep(text: str):
+    """JSON of any depth, from its tokens and an explicit stack; json.loads stops where its recursion does."""
+    top: list = []
+    stack: list = [top]  # the open lists and objects; an object's key waits in `names`
+    names: list = []
+    wants, at = "value", 0
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no token at {at}")
+        token, at, here = m[1], m.end(), stack[-1]
+        if wants in ("key", "first key") and token[0] == '"':
+            names.append(json.loads(token))
+            wants = ":"
+        elif wants == ":" and token == ":":
+            wants = "value"
+        elif wants == "," and token == "," and here is not top:
+            wants = "key" if isinstance(here, dict) else "value"
+        elif here is not top and (token == "]" and isinstance(here, list) and wants in (",", "first") or token == "}" and isinstance(here, dict) and wants in (",", "first key")):
+            stack.pop()
+            wants = ","
+        elif wants in ("value", "first") and token not in tuple("]},:"):
+            value = [] if token == "[" else {} if token == "{" else json.loads(token)
+            if isinstance(here, dict):
+                here[names.pop()] = value
+            else:
+                here.append(value)
+            wants = ","
+            if token in ("[", "{"):
+                stack.append(value)
+                wants = "first" if token == "[" else "first key"
+        else:
+            raise ValueError(f"{token} at {at}")
+    if len(stack) > 1 or not top:
+        raise ValueError("the text ends within a value")
+    return top[0]
+
+
 def opened(value):
     """A string that holds a JSON array or object, as that; anything else as it is."""
     while isinstance(value, str):
@@ -33,7 +75,12 @@ def opened(value):
             return value
         try:
             value = json.loads(text)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = parsed_deep(text)
+            except ValueError:
+                return value
+        except ValueError:
             return value
     return value
 
@@ -140,9 +187,34 @@ def columns_of(found: DataFrame) -> DataFrame:
     return found.where(F.col("name").isNotNull()).groupBy("node_group", "name").agg(F.count("*").alias("n_nodes"))
 
 
+def all_columns(found: DataFrame, known: dict[str, tuple[str, ...]] | None = None) -> dict[str, tuple[str, ...]]:
+    """The columns of each group met: those known first, then all others that hold a value, by name.
+
+    A name whose objects are a group of their own gives a column only if it
+    also holds plain text somewhere; NULL, nothing and an empty list are then
+    missing children. The driver holds names only.
+    """
+    value = F.when(F.col("name").isNotNull(), F.col("value"))
+    held = found.groupBy("node_group", "name").agg(F.count(value).alias("n"), F.count(F.when(~value.isin("", "[]"), 1)).alias("n_text"))
+    rows = sorted(held.collect(), key=lambda r: (r["node_group"], r["name"] or ""))
+    out = dict(known or {})
+    for r in rows:
+        out.setdefault(r["node_group"], ())
+    for r in rows:
+        group, name = r["node_group"], r["name"]
+        if name is not None and name not in out[group] and r["n_text" if f"{group}/{name}" in out else "n"]:
+            out[group] = (*out[group], name)
+    return out
+
+
+def flat_tables(found: DataFrame, key: str = "rec", known: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
+    """One flat table for each group met, with all its columns."""
+    return {group: flat_table(found, group, columns, key) for group, columns in all_columns(found, known).items()}
+
+
 def subtree_sizes(node_rows: DataFrame) -> DataFrame:
     """(rec, node_path, n_children): direct children of each node, from the parent links."""
     return node_rows.where(F.col("parent_path").isNotNull()).groupBy("rec", F.col("parent_path").alias("node_path")).agg(F.count("*").alias("n_children"))
 
 
-__all__ = ["triples", "to_triples", "latest", "nodes", "flat_table", "columns_of", "subtree_sizes"]
+__all__ = ["triples", "to_triples", "latest", "nodes", "flat_table", "flat_tables", "all_columns", "columns_of", "subtree_sizes"]

@@ -40,12 +40,20 @@ def p1_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def flat(group: str, columns: tuple[str, ...]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return flatten.flat_table(act_triples(spark, folder), group, columns, key="act_id")
+        found = act_triples(spark, folder)
+        met = flatten.all_columns(found, dict((FLAT | MORE_FLAT).values()))[group]
+        return flatten.flat_table(found, group, met, key="act_id")
 
-    query.__doc__ = f"The flat table of the group {group}, one row per object, linked to its parent and act."
+    query.__doc__ = f"The flat table of the group {group}, one row per object, linked to its parent and act; fields met besides the known ones come last."
     return query
 
 
+def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat tables of all groups met, whatever they are, as one long table: a row per object and field, and one with name NULL per object."""
+    found = act_triples(spark, folder)
+    return found.select(F.col("rec").alias("act_id"), "node_group", "node_path", "parent_path", "ordinal", "name", "value").distinct()
+
+
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The groups and fields met, from which the flat tables are made."""
     return flatten.columns_of(act_triples(spark, folder))
@@ -175,11 +183,26 @@ FLAT = {
     "p1_amendments": ("amendments", ("rt_part", "published", "article", "in_force")),
     "p1_metadata": ("metadata", ("publisher", "documentKind", "validFrom", "documentStatus", "keywords")),
 }
+#: Groups without SQL. Those of other data have their flat tables by `flatten.flat_tables`, and their rows in p1_tables.
+MORE_FLAT = {
+    "p1_paths": ("sections/path", ("chapter_number", "chapter_title", "part_number")),
+    "p1_divisions": ("sections/path/division", ("number", "title")),
+    "p1_clauses2": ("sections/subsections/clauses/clauses", ("number", "display", "text")),
+    "p1_clauses3": ("sections/subsections/clauses/clauses/clauses", ("number", "display", "text")),
+    "p1_notes": ("sections/subsections/clauses/notes", ("kind", "text")),
+    "p1_notes2": ("sections/subsections/clauses/clauses/notes", ("kind", "text")),
+    "p1_notes3": ("sections/subsections/clauses/clauses/clauses/notes", ("kind", "text")),
+    "p1_contexts": ("amendments/context", ("chapter", "section")),
+    "p1_publications": ("metadata/publications", ("part", "year")),
+    "p1_publication_items": ("metadata/publications/items", ("article",)),
+    "p1_valid_until": ("metadata/validUntil", ("date", "note")),
+}
 QUERIES = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
     "p1_groups": p1_groups,
-    **{name: flat(*own) for name, own in FLAT.items()},
+    "p1_tables": p1_tables,
+    **{name: flat(*own) for name, own in (FLAT | MORE_FLAT).items()},
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
     "p3_descendants": p3_descendants,

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from actloom.operators import flatten
@@ -36,3 +37,31 @@ def test_latest_and_tables(spark):
     table = flatten.flat_table(found, "f/s", ["t", "ordinal"]).collect()
     assert [(r["t"], r["ordinal_value"], r["ordinal"]) for r in table] == [("u", None, 0)]
     assert flatten.flat_table(found, "nowhere", ["t"]).count() == 0
+
+
+def test_depth_is_bounded_by_nothing():
+    source = '[{"a": "x\\"]", "k": ' * 60_000 + '{"n": -1.5e3, "t": [true, null]}' + "}]" * 60_000
+    assert sum(t[5] is None for t in flatten.triples("f", source)) == 60_001
+    assert list(flatten.triples("f", source[:-1] + "}")) == []
+    for x in ('{"a": [1, {}, [], "b, c"], "d": null}', "[]", '[[ ] , {"e":{} } ]'):
+        assert flatten.parsed_deep(x) == json.loads(x)
+    for x in ("[1,]", '{"a" 1}', '{"a":}', "[1 2]", "[", "]", "[1]]", '{"a":1,}', "[tru]", "1,2"):
+        with pytest.raises(ValueError):
+            flatten.parsed_deep(x)
+
+
+def test_every_group_and_field_met_has_its_table(spark, tmp_path):
+    from actloom.plans import nested
+
+    section = {"number": "1", "new": "n", "path": {"chapter_number": "2", "division": {"number": "3"}}, "subsections": [], "unheard": [{"of": 1}, {}]}
+    columns = "act_id string, received_at int, sections string, amendments string, metadata string"
+    spark.createDataFrame([("a", 1, json.dumps([section]), None, json.dumps({"publications": [{"part": "I", "items": [{"article": 4}]}]}))], columns).write.parquet(f"{tmp_path}/legal_acts.parquet")
+    run = lambda name: nested.QUERIES[name](spark, str(tmp_path))
+    assert run("p1_sections").columns == ["act_id", "node_path", "parent_path", "ordinal", "number", "display", "title", "intro_text", "new"]
+    assert [(r["parent_path"], r["chapter_number"]) for r in run("p1_paths").collect()] == [("sections/0", "2")]
+    assert [r["article"] for r in run("p1_publication_items").collect()] == ["4"] and run("p1_divisions").count() == 1
+    long = run("p1_tables").collect()
+    assert {(r["node_path"], r["name"], r["value"]) for r in long if r["node_group"] == "sections/unheard"} == {("sections/0/unheard/0", None, None), ("sections/0/unheard/0", "of", "1"), ("sections/0/unheard/1", None, None)}
+    assert sum(r["name"] is None for r in long) == run("p1_found").count() == 8
+    tables = flatten.flat_tables(nested.act_triples(spark, str(tmp_path)))
+    assert set(tables) == {r["node_group"] for r in long} and tables["sections/unheard"].count() == 2 and "of" in tables["sections/unheard"].columns
