@@ -232,6 +232,49 @@ def names(text: str) -> list[tuple[int, int]]:
         if m[1].split()[0] in NOT_NAMES or any(a < e and s < b for a, b in out) or FIRM.match(text, e):
             continue
         out.append((s, e))
+    return out + unlisted_names(text, low, out)
+
+
+# Names that no list has: after a title, after initials, after a listed given name; then these names again.
+SURNAME = rf"(?:(?:von|van|zu|de|der|den|ter|da|di|du|la|le|af|av)[ \xa0])*(?:(?:Mc|Mac|O'|D')?{WORD}|[{UPPER}]{{2,}})(?:-(?:{WORD}|[{UPPER}]{{2,}}))?"
+INITIAL = rf"[{UPPER}]\.(?:[ \n\xa0-]?[{UPPER}]\.)*"
+TITLED_NAME = re.compile(rf"(?<![\w-])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Judge|Herrn?|Frau|Hr|Pr|Härra|Proua)\.?[ \n\xa0]((?:{INITIAL}[ \n\xa0]?)?{SURNAME}(?:[ \n\xa0]{INITIAL})?(?:[ \xa0]{SURNAME})?)(?!\w)")
+INITIALED_NAME = re.compile(rf"(?<![\w.@-])({INITIAL}[ \n\xa0]?{SURNAME})(?!\w)")
+GIVEN_NAME = "|".join(sorted((x for g in GIVEN_F + GIVEN_M for x in (g, g.upper())), key=len, reverse=True))
+GIVEN_CONTEXT = re.compile(rf"(?<![\w-])((?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?(?:[ \n\xa0]{INITIAL})?[ \n\xa0]{SURNAME})(?!\w)")
+REVERSED_NAME = re.compile(rf"(?<![\w.@-])({WORD}(?:-{WORD})?,[ \n\xa0](?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?)(?![\w-]|[ \n\xa0][{UPPER}])")
+NO_SURNAMES = NOT_NAMES | frozenset(
+    "And But By For From He Her His If In It Its No Not Of On Or She So Then There They To We When With You Section Article Annex Part Chapter Court Road Street Lane Avenue "
+    "Er Sie Es Wir Und Aber Im Am Auf Bei Von Zu Für Mit Ja Ei Ja Kui See Ta Nad Me Aga Siis".split()
+)
+
+
+def unlisted_names(text: str, low: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+
+    def person(s: int, e: int) -> bool:
+        if any(a < e and s < b for a, b in found) or any(a < e and s < b for a, b in out):
+            return False
+        if FIRM.match(text, e) or STREET_SUFFIX.match(low, e) or VESSEL_NUMBER.match(text, e) or BEFORE_NOT_A_PERSON.search(text, max(0, s - 8), s):
+            return False
+        parts = text[s:e].split()
+        return not any(x.strip(",") in NO_SURNAMES for x in parts) and not (len(parts) > 1 and FIRM.match(text, s + len(parts[0])))
+
+    for rule in (TITLED_NAME, GIVEN_CONTEXT, INITIALED_NAME, REVERSED_NAME):
+        for m in rule.finditer(text):
+            s, e = m.span(1)
+            if rule is TITLED_NAME and not person(s, e) and " " in m[1]:
+                e = s + m[1].rindex(" ")  # the second word may be no part of the name
+            if person(s, e):
+                out.append((s, e))
+    # The same persons again, by their full name or surname alone, also without a title.
+    forms = {text[s:e] for s, e in out}
+    forms |= {x for form in forms if len(x := form.split(",")[0].split()[-1]) > 2 and x[0].isupper()}
+    if forms:
+        again = re.compile(rf"(?<![\w@.-])(?:{'|'.join(sorted(map(re.escape, forms), key=len, reverse=True))})(?![\w@]|-\w)", re.I)
+        for m in again.finditer(text):
+            if m[0][0].isupper() and person(*m.span()):
+                out.append(m.span())
     return out
 
 
