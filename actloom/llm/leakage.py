@@ -6,7 +6,8 @@ prefix is its rarest word, so a text without any of these words has no passage.
 The texts give only the places of prefix words, each with the words around it
 that a passage could reach; these are joined with the items' places of the same
 word, held to the bounds of length and position, and verified word by word over
-windows of the item's size.
+windows of the item's size. Every passage of a longer shared run is verified so, and
+verified stretches that overlap or touch at one distance of text and item are that run.
 """
 
 from __future__ import annotations
@@ -68,12 +69,13 @@ def prefixes(item: list[str], size: int, rank: dict[str, int]) -> list[int]:
 
 
 def leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", size: int = 12) -> DataFrame:
-    """(key, item_id, n_words, n_places): the longest shared run of each text and item that share a passage.
+    """(key, item_id, n_words, n_places): the words of the longest shared run of each text and item that share a passage, and the number of such runs.
 
     Texts and items that are NULL or without a word share nothing; repeated
-    rows of a text or an item give one row.
+    rows of a text or an item give one row; the runs of different texts with
+    one key are counted apart.
     """
-    texts = texts.select(F.col(key).alias("key"), "text").where("key is not null and length(text) > 0")
+    texts = texts.select(F.col(key).alias("key"), "text", F.xxhash64("text").alias("version")).where("key is not null and length(text) > 0")
     listed = item_words(items).dropDuplicates(["item_id"])
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     held = 0
@@ -99,8 +101,8 @@ def leaks_of_block(texts: DataFrame, block: list[tuple[int, list[str]]], size: i
         for k in prefixes(own, size, {w: rank.get(w, 0) for w in own}):
             # A word that no text has can start no candidate, but it may be a passage's rarest: then the passage leaks nowhere.
             if rank.get(own[k], 0):
-                around.append((own[k], item, n, own[max(0, k - size + 1) : k], own[k : k + size]))
-    wanted = spark.createDataFrame(around, "word string, item_id long, n int, before array<string>, after array<string>")
+                around.append((own[k], item, n, k, own[max(0, k - size + 1) : k], own[k : k + size]))
+    wanted = spark.createDataFrame(around, "word string, item_id long, n int, item_at int, before array<string>, after array<string>")
     asked = spark.sparkContext.broadcast(frozenset(x[0] for x in around))
     reach = size - 1
     kind = dict(texts.dtypes)["key"]
@@ -109,14 +111,14 @@ def leaks_of_block(texts: DataFrame, block: list[tuple[int, list[str]]], size: i
         wanted = asked.value
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["key"], pdf["text"]):
+            for key, version, text in zip(pdf["key"], pdf["version"], pdf["text"]):
                 own = words(text)
                 if wanted.isdisjoint(own):
                     continue
-                rows.extend((key, w, own[max(0, k - reach) : k], own[k : k + reach + 1]) for k, w in enumerate(own) if w in wanted)
-            yield pd.DataFrame(rows, columns=["key", "word", "left", "right"])
+                rows.extend((key, version, k, w, own[max(0, k - reach) : k], own[k : k + reach + 1]) for k, w in enumerate(own) if w in wanted)
+            yield pd.DataFrame(rows, columns=["key", "version", "text_at", "word", "left", "right"])
 
-    candidates = texts.mapInPandas(places, f"key {kind}, word string, left array<string>, right array<string>").join(wanted, "word")
+    candidates = texts.mapInPandas(places, f"key {kind}, version long, text_at int, word string, left array<string>, right array<string>").join(wanted, "word")
     # Bounds of length: the words around must suffice for a passage of the item's size.
     candidates = candidates.where(F.least(F.size("left"), F.size("before")) + F.least(F.size("right"), F.size("after")) >= F.col("n"))
 
@@ -134,8 +136,21 @@ def leaks_of_block(texts: DataFrame, block: list[tuple[int, list[str]]], size: i
                         break
                     right += 1
                 if left + right >= x.n:
-                    rows.append((x.key, x.item_id, left + right))
-            yield pd.DataFrame(rows, columns=["key", "item_id", "n_words"])
-
-    verified = candidates.select("key", "item_id", "n", "left", "right", "before", "after").mapInPandas(verify, f"key {kind}, item_id long, n_words long")
-    return verified.groupBy("key", "item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_places"))
+                    rows.append((x.key, x.item_id, x.version, x.text_at - x.item_at, x.text_at - left, x.text_at + right))
+            yield pd.DataFrame(rows, columns=["key", "item_id", "version", "apart", "start", "end"])
+
+    verified = candidates.select("key", "version", "text_at", "item_id", "item_at", "n", "left", "right", "before", "after").mapInPandas(
+        verify, f"key {kind}, item_id long, version long, apart int, start int, end int"
+    )
+    # The stretches of one distance are as many as the item has words at most.
+    placed = verified.groupBy("key", "item_id", "version", "apart").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("stretches"))
+    grown = lambda runs, x: F.concat(
+        F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(runs, F.lit(-1))["end"], x["end"]).alias("end")))
+    )
+    merged = F.aggregate(
+        "stretches",
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda runs, x: F.when((F.size(runs) > 0) & (F.coalesce(F.try_element_at(runs, F.lit(-1))["end"], F.lit(-1)) >= x["start"]), grown(runs, x)).otherwise(F.concat(runs, F.array(x))),
+    )
+    runs = placed.select("key", "item_id", F.explode(merged).alias("run"))
+    return runs.groupBy("key", "item_id").agg(F.max(F.col("run.end") - F.col("run.start")).cast("long").alias("n_words"), F.count("*").alias("n_places"))

@@ -41,3 +41,30 @@ def test_blocks_give_the_same(spark, monkeypatch):
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert leakage.leaks(docs, items).count() == 0 and leakage.leaks(spark.createDataFrame([(1, "a")], "doc_id long, text string"), items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 12])
+def test_whole_runs_and_their_number(spark, size):
+    rnd = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(90)) for i in range(4)] + [(4, text(2)), (5, ["w1"] * 30)]
+    docs = [(i, text(9) + items[i % 4][1][i : i + 20 + 9 * i] + text(5) + items[(i + 1) % 4][1][40:60] + text(3) + items[i % 4][1][:15]) for i in range(8)] + [(9, ["w1"] * 34), (10, items[0][1])]
+    rows = [(k, " ".join(x)) for k, x in docs]
+    d = spark.createDataFrame(rows + rows[:2] + [(10, "other " + rows[-1][1])], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_places"]) for r in leakage.leaks(d, spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string"), size=size).collect()}
+    expected = {}
+    for k, a in docs:
+        for i, b in items:
+            lengths = []
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                        n = 0
+                        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                            n += 1
+                        if n >= min(size, len(b)):
+                            lengths.append(n)
+            if lengths:
+                expected[k, i] = (max(lengths), len(lengths) * (2 if k == 10 else 1))
+    assert got == expected and got[10, 0][0] == 90
