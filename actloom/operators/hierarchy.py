@@ -193,3 +193,26 @@ def expand(removed: DataFrame, resolved: DataFrame, cut: bool, paths: bool) -> D
             *([F.when(F.col("has_root"), F.concat("up_path", "inner", F.array("id"))).alias("path")] if paths else []),
         )
     )
+
+
+def descendants(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(ancestor_id, node, steps): each node under each of its ancestors, once; nodes of one loop are each other's.
+
+    Pairs under a root come from the paths. What is left hangs on loops: each
+    loop is cut above its smallest node, which makes it the top of a chain and
+    gives paths again; the loop's nodes that a path lacks are reached over the cut.
+    """
+    work = Workspace(edges.sparkSession, "descendants")
+    rows = edges.select(F.col(node).cast("string").alias("id"), F.col(parent).cast("string").alias("parent")).where("id is not null")
+    rows = work.write(rows.groupBy("id").agg(F.max("parent").alias("parent")), "edges")
+    found = hierarchy(rows, "id", "parent", paths=True)
+    lost = work.write(found.where("not has_root").select("id", F.col("root_id").alias("loop"), "on_loop"), "lost")
+    cut = lost.join(rows, "id").select("id", F.when(F.col("id") != F.col("loop"), F.col("parent")).alias("parent"))
+    placed = work.write(hierarchy(cut, "id", "parent", paths=True).select("id", "depth", "path").join(lost, "id"), "placed")
+    members = placed.where("on_loop").select("loop", F.col("id").alias("ancestor_id"), F.col("depth").alias("at"))
+    lengths = members.groupBy("loop").agg(F.count("*").alias("length"))
+    over = placed.join(members.join(lengths, "loop"), "loop").where("not array_contains(path, ancestor_id)")
+    within = found.where("has_root").select("id", "depth", "path").unionByName(placed.select("id", "depth", "path"))
+    up = within.select("id", "depth", F.posexplode("path").alias("at", "ancestor_id")).where("ancestor_id <> id")
+    pairs = up.select("ancestor_id", "id", (F.col("depth") - F.col("at")).alias("steps"))
+    return pairs.unionByName(over.select("ancestor_id", "id", (F.col("depth") + F.col("length") - F.col("at")).alias("steps"))).withColumnRenamed("id", node)

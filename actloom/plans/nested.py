@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actloom.io import table
 from actloom.operators import flatten
-from actloom.operators.hierarchy import hierarchy
+from actloom.operators.hierarchy import descendants, hierarchy
 
 FIELDS = ("sections", "amendments", "metadata")
 
@@ -94,11 +94,13 @@ def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """(ancestor_id, target_id, steps): every target under every ancestor that has a root, from the paths."""
-    found = hierarchy(target_parents(spark, folder), "target_id", "parent_id", paths=True).where("has_root")
-    return found.select("target_id", "depth", F.posexplode("path").alias("at", "ancestor_id")).where("ancestor_id <> target_id").select(
-        "ancestor_id", "target_id", (F.col("depth") - F.col("at")).alias("steps")
-    )
+    """(ancestor_id, target_id, steps): every target under every ancestor; targets of one loop are each other's descendants.
+
+    `steps` is the number of parents from the target to the ancestor: below a
+    loop that to its entry and on along the loop, each ancestor once.
+    """
+    edges = target_parents(spark, folder)
+    return descendants(edges, "target_id", "parent_id")
 
 
 P1_SQL = """

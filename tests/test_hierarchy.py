@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from actloom.operators.hierarchy import hierarchy
+from actloom.operators.hierarchy import descendants, hierarchy
 
 
 def by_hand(parents):
@@ -51,3 +51,20 @@ def test_one_parent_of_most_nodes_and_a_long_chain(spark):
 
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "id string, parent string"), "id", "parent").count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_descendants_of_trees_and_loops(spark, seed):
+    rnd = random.Random(seed)
+    parents = {f"n{i:02}": f"n{rnd.randrange(80):02}" if rnd.random() < 0.93 else None for i in range(80)}
+    parents |= {f"l{i}": f"l{(i + 1) % 5}" for i in range(5)} | {"t1": "l3", "t2": "t1", "s": "s", "u": "s", "o": "gone"}
+    expected = set()
+    for k in parents:
+        seen, x = [k], parents[k]
+        while x in parents and x not in seen:
+            expected.add((x, k, len(seen)))
+            seen.append(x)
+            x = parents[x]
+    got = descendants(spark.createDataFrame(list(parents.items()) + [("s", "s"), (None, "s")], "id string, parent string"), "id", "parent").collect()
+    assert len(got) == len(expected) and {(r["ancestor_id"], r["id"], r["steps"]) for r in got} == expected
+    assert {("l0", "l3", 2), ("l3", "l0", 3), ("l2", "t2", 6), ("s", "u", 1)} <= expected
