@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ def same_origin(parent_url, child_url):
     return F.coalesce(origin(parent_url) == origin(child_url), F.lit(False))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int = 50) -> DataFrame:
+def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(url, depth): all URLs reached from the seeds over edges (source, target), each at its least depth.
 
-    A round joins the newly reached URLs with the edges and drops those known;
+    Rounds go on until none finds a new URL; only a caller's `most_depth` ends them before. A round joins the newly reached URLs with the edges and drops those known;
     only the new ones are written. Edges are reduced first, so a target of a
     third of all links is one row per source. NULL ends are left out.
     """
@@ -39,7 +41,7 @@ def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int = 50) -> DataFr
     links = work.write(edges.select("source", "target").where("source is not null and target is not null and source <> target").distinct(), "links")
     new = work.write(seeds.select(F.col("url")).where("url is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "reached0")
     reached = new
-    for k in range(1, most_depth + 1):
+    for k in count(1) if most_depth is None else range(1, most_depth + 1):
         step = links.join(new.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
         new = work.write(step.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(k).cast("long")), f"reached{k}")
         if new.isEmpty():
