@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
+    """A session on this machine; its checkpoint folder is one of this machine too."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("actloom")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="actloom-"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
