@@ -1,156 +1,196 @@
-"""Test items that stand, fully or partly, in a corpus: a prefix-filtered set join.
-
-A passage is `size` consecutive words, or a whole item that has fewer. The words
-of the items are ordered by their rarity in the corpus; a passage's necessary
-prefix is its rarest word, so a text without any of these words has no passage.
-The texts give only the places of prefix words, each with the words around it
-that a passage could reach; these are joined with the items' places of the same
-word, held to the bounds of length and position, and verified word by word over
-windows of the item's size. Every passage of a longer shared run is verified so, and
-verified stretches that overlap or touch at one distance of text and item are that run.
+"""Test items that stand, fully or partly, in a corpus: a prefix-filtered set join over word shingles.
+
+A passage is `size` consecutive words, or a whole item that has fewer. Its
+tokens are its shingles of five words (of as many as it has, if fewer), which a
+text with the passage has all, one after another. One pass over the corpus
+keeps the runs of shingles that any item may have, by a filter of bounded size,
+drops those too short for a passage (the bound of length), and counts the
+shingles met. The items' shingles are ordered by rarity in the corpus; the
+necessary prefix of a passage, as all its shingles must be met, is its rarest
+one, and passages with a shingle that the corpus lacks are left out. Prefixes
+are joined with the runs, an item and a run at each distance of their places
+once (the bound of position), and verified word by word, which gives the whole
+shared runs. How often the corpus is read does not depend on the items.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from actloom.lineage import Workspace
 from actloom.llm.words import words
 
-#: Words of items sent to all executors at once; more items are joined in blocks of at most so many words.
-BLOCK_WORDS = 200_000
+SHINGLE = 5
+#: Parameter: the filter sent to all executors has at most 2 to this number of bits (64 MB); more items let more runs pass, which later steps reject.
+FILTER_BITS = 29
+#: Parameter: tasks over which one shingle, or one item, of many texts is spread.
+SALTS = 16
+#: Characters of texts whose words are held at once; a longer text is held alone.
+BLOCK_CHARS = 2_000_000
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+ITEM = "item_id long, words array<string>, n int, width int, hashes array<long>"
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, words) of each item that has a word."""
+def shingles(hashed: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` words, from those of the words."""
+    total = np.full(max(0, len(hashed) - width + 1), np.uint64(width), dtype=np.uint64)
+    for k in range(width):
+        total += (hashed[k : len(total) + k] ^ (hashed[k : len(total) + k] >> np.uint64(31))) * FACTORS[k]
+    total ^= total >> np.uint64(29)
+    return total * FACTORS[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"item_id": pdf["item_id"], "words": [words(t) for t in pdf["text"]]})
 
-    return items.select("item_id", "text").where("item_id is not null").mapInPandas(run, "item_id long, words array<string>").where("size(words) > 0")
+def hashes_of(own: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(own, dtype=object)) if own else np.empty(0, dtype=np.uint64)
 
 
-def frequencies(texts: DataFrame, vocabulary: frozenset[str]) -> dict[str, int]:
-    """In how many texts of the whole corpus each word of the vocabulary stands.
+def item_rows(items: DataFrame, size: int) -> DataFrame:
+    """Each item that has a word, once: its words, the length of its passages, and its shingles."""
 
-    Counted within each task first; what leaves a task, and what the driver
-    gets, is bounded by the vocabulary of a block of items.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for item, text in zip(pdf["item_id"], pdf["text"]):
+                own = words(text)
+                if own:
+                    n = min(size, len(own))
+                    width = min(SHINGLE, n)
+                    rows.append((item, own, n, width, shingles(hashes_of(own), width).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "n", "width", "hashes"])
+
+    return items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).mapInPandas(run, ITEM)
+
+
+def filter_of(items: DataFrame) -> np.ndarray:
+    """Bits set at the places of the items' shingles; their number is a power of two, at most 2 to FILTER_BITS."""
+    number = items.agg(F.sum(F.size("hashes"))).first()[0] or 1
+    bits = min(FILTER_BITS, max(10, math.ceil(math.log2(16 * number))))
+    at = items.select(F.explode("hashes").alias("h")).select((F.col("h").bitwiseAND((1 << bits) - 1)).alias("at"))
+    held = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros((1 << bits) // 64, dtype=np.int64)
+    out[held["place"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def blocks(pdf: pd.DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
+    """(rows, all their words, where each row's words end), of texts of a bounded length together."""
+    rows: list = []
+    flat: list[str] = []
+    ends: list[int] = []
+    held = 0
+    for key, version, text in zip(pdf["key"], pdf["version"], pdf["text"]):
+        if rows and held + len(text) > BLOCK_CHARS:
+            yield rows, flat, np.array(ends)
+            rows, flat, ends, held = [], [], [], 0
+        held += len(text)
+        rows.append((key, version))
+        flat += words(text)
+        ends.append(len(flat))
+    if rows:
+        yield rows, flat, np.array(ends)
+
+
+def met(texts: DataFrame, mask: np.ndarray, widths: dict[int, int]) -> DataFrame:
+    """The corpus pass: runs of shingles in the filter that are long enough for a passage, and numbers of the shingles met.
+
+    `widths` has, by width of shingles, the least number of them in a passage.
     """
-    known = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = texts.sparkSession.sparkContext.broadcast(mask)
+    kind = dict(texts.dtypes)["key"]
+    columns = ["part", "key", "version", "width", "at", "words", "hashes", "h", "n"]
+    typed = {"version": "Int64", "width": "Int32", "at": "Int32", "h": "Int64", "n": "Int64"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        vocabulary = known.value
+        mask = sent.value
+        last = np.uint64(len(mask) * 64 - 1)
         for pdf in batches:
-            for t in pdf["text"]:
-                counts.update(vocabulary.intersection(words(t)))
-        if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-
-    rows = texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    known.unpersist()
-    return {r["word"]: r["n"] for r in rows}
-
-
-def prefixes(item: list[str], size: int, rank: dict[str, int]) -> list[int]:
-    """Places of the rarest word of each passage of an item, without repeats."""
-    n = min(size, len(item))
-    out: list[int] = []
-    for start in range(len(item) - n + 1):
-        if out and out[-1] >= start and not (rank[item[start + n - 1]], item[start + n - 1]) < (rank[item[out[-1]]], item[out[-1]]):
-            continue  # the window still holds its rarest word
-        out.append(min(range(start, start + n), key=lambda k: (rank[item[k]], item[k], -k)))
-    return sorted(set(out))
+            for rows, flat, ends in blocks(pdf):
+                out: list[tuple] = []
+                hashed = hashes_of(flat)
+                starts = np.concatenate([[0], ends[:-1]])
+                owner = np.repeat(np.arange(len(rows)), ends - starts)
+                for width, least in widths.items():
+                    own = shingles(hashed, width)
+                    if not len(own):
+                        continue
+                    place = own & last
+                    hit = (mask[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                    hit &= owner[: len(own)] == owner[width - 1 :]
+                    seen, n = np.unique(own[hit], return_counts=True)
+                    out += [("count", None, None, None, None, None, None, h, c) for h, c in zip(seen.view(np.int64).tolist(), n.tolist())]
+                    at = np.flatnonzero(hit)
+                    if not len(at):
+                        continue
+                    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner[at]) > 0)) + 1
+                    for run_at in np.split(at, cut):
+                        if len(run_at) >= least:
+                            a, b = int(run_at[0]), int(run_at[-1]) + 1
+                            key, version = rows[owner[a]]
+                            out.append(("run", key, version, width, a - int(starts[owner[a]]), flat[a : b + width - 1], own[a:b].view(np.int64), None, None))
+                # Whole numbers stay whole beside NULLs only in columns of their own type.
+                yield pd.DataFrame({c: pd.array([x[k] for x in out], dtype=typed[c]) if c in typed else pd.Series([x[k] for x in out], dtype=object) for k, c in enumerate(columns)})
+
+    return texts.mapInPandas(run, f"part string, key {kind}, version long, width int, at int, words array<string>, hashes array<long>, h long, n long")
+
+
+def salted(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """A join whose keys may each be of very many rows of one side: these are spread by a salt, the other side is repeated for each salt."""
+    a = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    b = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [*on, "_salt"], how).drop("_salt")
+
+
+def prefixes(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """(h, width, item_id, item_at): the rarest shingle of each passage of the items; none of passages that the corpus can't have."""
+    every = items.select("item_id", "width", (F.size("words") - F.col("n")).alias("last"), F.posexplode("hashes").alias("item_at", "h"))
+    known = salted(every, counts, ["h"], ["item_id", "item_at"], "left")
+    ahead = W.partitionBy("item_id").orderBy("item_at").rowsBetween(0, size - min(SHINGLE, size))
+    rarest = known.withColumn("best", F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h"), F.col("item_at"))).over(ahead))
+    found = rarest.where("item_at <= last and best.n > 0")
+    return found.select("best.h", "width", "item_id", "best.item_at").distinct()
 
 
 def leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", size: int = 12) -> DataFrame:
     """(key, item_id, n_words, n_places): the words of the longest shared run of each text and item that share a passage, and the number of such runs.
 
     Texts and items that are NULL or without a word share nothing; repeated
-    rows of a text or an item give one row; the runs of different texts with
-    one key are counted apart.
+    rows of a text or an item give one row (of an item with several texts the
+    largest counts); the runs of different texts with one key are counted
+    apart. The corpus is read once, while the result is planned.
     """
-    texts = texts.select(F.col(key).alias("key"), "text", F.xxhash64("text").alias("version")).where("key is not null and length(text) > 0")
-    listed = item_words(items).dropDuplicates(["item_id"])
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    held = 0
-    for row in listed.toLocalIterator():  # one block at a time is held
-        if held and held + len(row["words"]) > BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], row["words"]))
-        held += len(row["words"])
-    out = None
-    for block in blocks:
-        found = leaks_of_block(texts, block, size)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("key", key)
-
-
-def leaks_of_block(texts: DataFrame, block: list[tuple[int, list[str]]], size: int) -> DataFrame:
-    spark = texts.sparkSession
-    rank = frequencies(texts, frozenset(w for _, own in block for w in own)) if block else {}
-    around: list[tuple] = []
-    for item, own in block:
-        n = min(size, len(own))
-        for k in prefixes(own, size, {w: rank.get(w, 0) for w in own}):
-            # A word that no text has can start no candidate, but it may be a passage's rarest: then the passage leaks nowhere.
-            if rank.get(own[k], 0):
-                around.append((own[k], item, n, k, own[max(0, k - size + 1) : k], own[k : k + size]))
-    wanted = spark.createDataFrame(around, "word string, item_id long, n int, item_at int, before array<string>, after array<string>")
-    asked = spark.sparkContext.broadcast(frozenset(x[0] for x in around))
-    reach = size - 1
-    kind = dict(texts.dtypes)["key"]
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = asked.value
-        for pdf in batches:
-            rows = []
-            for key, version, text in zip(pdf["key"], pdf["version"], pdf["text"]):
-                own = words(text)
-                if wanted.isdisjoint(own):
-                    continue
-                rows.extend((key, version, k, w, own[max(0, k - reach) : k], own[k : k + reach + 1]) for k, w in enumerate(own) if w in wanted)
-            yield pd.DataFrame(rows, columns=["key", "version", "text_at", "word", "left", "right"])
-
-    candidates = texts.mapInPandas(places, f"key {kind}, version long, text_at int, word string, left array<string>, right array<string>").join(wanted, "word")
-    # Bounds of length: the words around must suffice for a passage of the item's size.
-    candidates = candidates.where(F.least(F.size("left"), F.size("before")) + F.least(F.size("right"), F.size("after")) >= F.col("n"))
+    work = Workspace(texts.sparkSession, "leakage")
+    own = work.write(item_rows(items.select("item_id", "text"), size), "items")
+    widths = {r["width"]: r["least"] for r in own.groupBy("width").agg(F.min(F.col("n") - F.col("width") + 1).alias("least")).collect()}
+    source = texts.select(F.col(key).alias("key"), "text", F.xxhash64("text").alias("version")).where("key is not null and length(text) > 0")
+    found = work.write(met(source, filter_of(own), widths), "met", partition_by="part")
+    counts = found.where("part = 'count'").groupBy("h").agg(F.sum("n").alias("n"))
+    place = ["key", "version", "width", "at"]
+    runs = found.where("part = 'run'").select(*place, "words", "hashes")
+    tokens = runs.select(*place, F.posexplode("hashes").alias("k", "h"))
+    pairs = salted(tokens, prefixes(own, counts, size), ["h", "width"], ["key", "at", "k"])
+    apart = pairs.groupBy(*place, "item_id").agg(F.collect_set(F.col("item_at") - F.col("k")).alias("apart"))
+    with_item = salted(apart, own.select("item_id", "n", F.col("words").alias("item_words")), ["item_id"], ["key", "at"])
+    with_both = with_item.join(runs.dropDuplicates(place).select(*place, "words"), place)
+    kind = dict(source.dtypes)["key"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for x in pdf.itertuples(index=False):
-                left = right = 0
-                for a, b in zip(reversed(x.left), reversed(x.before)):
-                    if a != b:
-                        break
-                    left += 1
-                for a, b in zip(x.right, x.after):
-                    if a != b:
-                        break
-                    right += 1
-                if left + right >= x.n:
-                    rows.append((x.key, x.item_id, x.version, x.text_at - x.item_at, x.text_at - left, x.text_at + right))
-            yield pd.DataFrame(rows, columns=["key", "item_id", "version", "apart", "start", "end"])
-
-    verified = candidates.select("key", "version", "text_at", "item_id", "item_at", "n", "left", "right", "before", "after").mapInPandas(
-        verify, f"key {kind}, item_id long, version long, apart int, start int, end int"
-    )
-    # The stretches of one distance are as many as the item has words at most.
-    placed = verified.groupBy("key", "item_id", "version", "apart").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("stretches"))
-    grown = lambda runs, x: F.concat(
-        F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(runs, F.lit(-1))["end"], x["end"]).alias("end")))
-    )
-    merged = F.aggregate(
-        "stretches",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda runs, x: F.when((F.size(runs) > 0) & (F.coalesce(F.try_element_at(runs, F.lit(-1))["end"], F.lit(-1)) >= x["start"]), grown(runs, x)).otherwise(F.concat(runs, F.array(x))),
-    )
-    runs = placed.select("key", "item_id", F.explode(merged).alias("run"))
-    return runs.groupBy("key", "item_id").agg(F.max(F.col("run.end") - F.col("run.start")).cast("long").alias("n_words"), F.count("*").alias("n_places"))
+                text, item = np.asarray(x.words, dtype=object), np.asarray(x.item_words, dtype=object)
+                for d in x.apart:
+                    low, high = max(0, -d), min(len(text), len(item) - d)
+                    same = np.concatenate([[0], (text[low:high] == item[low + d : high + d]).astype(np.int8), [0]])
+                    turns = np.flatnonzero(np.diff(same))
+                    rows += [(x.key, x.item_id, int(e - s)) for s, e in zip(turns[::2], turns[1::2]) if e - s >= x.n]
+            yield pd.DataFrame(rows, columns=["key", "item_id", "n_words"])
+
+    stretches = with_both.select("key", "words", "item_id", "n", "item_words", "apart").mapInPandas(verify, f"key {kind}, item_id long, n_words long")
+    return stretches.groupBy("key", "item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_places")).withColumnRenamed("key", key)

@@ -122,13 +122,21 @@ SELECT DISTINCT chunk_id, CAST(line_no AS INT) AS line_no FROM placed JOIN kept
 # Entities other than these two, and letters that fold to several, don't occur in the texts that this is compared on.
 WORDS_SQL = r"""regexp_extract_all(replace(lower(strip_accents(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '&nbsp;', ' '), '&amp;', '&'),
   '</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>', '', 'g'), '[\x{ad}\x{34f}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]', '', 'g'), '(\p{L})[-\x{2010}\x{2011}][ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"""
-P6_SQL = f"""
+PASSAGES = f"""
 WITH items AS (SELECT item_id, w, least(12, len(w)) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM eval_items) WHERE len(w) > 0),
-passages AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM items, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k)),
+passages AS (SELECT item_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM items, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k)),
 docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-windows AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM items) AS sizes, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k))
-SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (n, s)
+windows AS (SELECT doc_id, n, k AS i, array_to_string(w[k:k + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM items) AS sizes, LATERAL unnest(range(1, len(w) - n + 2)) AS u(k))
 """
+P6_SQL = f"{PASSAGES} SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (n, s)"
+# Passages that follow one another at one distance of text and item are one shared run.
+P6_LEAKS_SQL = f"""{PASSAGES},
+met AS (SELECT doc_id, item_id, n, i, k - i AS apart FROM windows JOIN passages USING (n, s)),
+runs AS (SELECT doc_id, item_id, count(*) + any_value(n) - 1 AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, apart ORDER BY i) AS island FROM met) GROUP BY doc_id, item_id, apart, island)
+SELECT doc_id, item_id, max(length) AS n_words, count(*) AS n_places FROM runs GROUP BY 1, 2
+"""
+P6_ITEMS_SQL = f"""SELECT item_id, suite, coalesce(n_documents, 0) AS n_documents, coalesce(longest, 0) AS longest FROM (SELECT item_id, max(suite) AS suite FROM eval_items GROUP BY 1)
+LEFT JOIN (SELECT item_id, count(*) AS n_documents, max(n_words) AS longest FROM ({P6_LEAKS_SQL}) GROUP BY 1) USING (item_id)"""
 
 P5_CLEAN_SQL = f"""
 WITH found AS ({P5_SQL}), cut AS (SELECT chunk_id, list(line_no) AS cut FROM found GROUP BY 1), c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1)
@@ -153,4 +161,4 @@ QUERIES = {
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL}
+SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}

@@ -10,6 +10,9 @@ TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 LINE_END = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
+LATIN_MARKS = re.compile("[\u0300-\u036f]+")
+# Where other combining characters lie; only texts with a character from here are looked through one by one.
+OTHER_MARKS = re.compile("[\u0483-\u1dff\u20d0-\u20ff\u2cef-\u302f\u3099\u309a\ua66f-\uabed\ufb1e\ufe20-\ufe2f\U000101fd-\U0001ffff]")
 
 
 def words(text: str | None) -> list[str]:
@@ -29,5 +32,7 @@ def words(text: str | None) -> list[str]:
     if "\n" in text:
         text = LINE_END.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = LATIN_MARKS.sub("", unicodedata.normalize("NFKD", text))
+        if OTHER_MARKS.search(text):
+            text = "".join(c for c in text if not unicodedata.combining(c))
     return WORD.findall(text.casefold())

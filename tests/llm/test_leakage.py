@@ -1,5 +1,7 @@
 import random
+import unicodedata
 
+import numpy as np
 import pytest
 
 from actloom.llm import leakage
@@ -8,6 +10,8 @@ from actloom.llm.words import words
 
 def test_words():
     assert words("Caf&eacute; <b>Tìme</b>s re­turn hyph-\n en​d x_y 3D &lt;em&gt;z&lt;/em&gt; a < b > c") == "cafe times return hyphend x y 3d z a b c".split()
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    assert all(words(f"a{c}b") == ["ab"] for c in marks)
     assert words(None) == [] and words("") == [] and words("​") == []
 
 
@@ -30,12 +34,13 @@ def test_against_brute_force(spark, size):
     assert all(r["n_words"] >= 1 for r in got)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e")], "doc_id long, text string")
+def test_a_full_filter_and_small_blocks_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e"), (3, "c x d"), (4, "d e c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c"), (2, "c d"), (3, "x")], "item_id long, text string")
     whole = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()}
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 1)
-    assert whole == {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()} == {(1, 1), (1, 2), (2, 2)}
+    monkeypatch.setattr(leakage, "filter_of", lambda items: np.full(16, -1, dtype=np.int64).view(np.uint64))
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1)
+    assert whole == {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()} == {(1, 1), (1, 2), (2, 2), (3, 3), (4, 2)}
 
 
 def test_empty(spark):
