@@ -7,6 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Parameter: rows that a bucket of a running total holds on average.
+BUCKET_ROWS = 50_000
+
+
+def bucket_bits(rows: int) -> int:
+    """How many leading bits of a hash make as many buckets as so many rows need; at least 1, so that a shift by the rest is one."""
+    return max(1, (max(1, rows) // BUCKET_ROWS).bit_length())
+
+
 def running_total(df: DataFrame, group: list[str], bucket: Column, order: list[str], value: str, out: str = "before") -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group that come before a row.
 
