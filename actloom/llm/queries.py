@@ -48,9 +48,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The repeated lines of each site: documents that have them, documents of the site, containers of the bitmap."""
-    _, bitmaps = site_bitmaps(spark, folder)
-    return bitmaps.groupBy("site", "key").agg(F.max("n_docs").alias("n_docs"), F.max("site_docs").alias("site_docs"), F.count("*").alias("n_containers"), F.sum(F.length("container")).alias("n_bytes"))
+    """The repeated lines of each site: their form, one spelling, the documents that have them, the documents of the site."""
+    lines, bitmaps = site_bitmaps(spark, folder)
+    return site_lines.line_texts(table(spark, folder, "chunks"), lines, bitmaps)
 
 
 def p5_clean_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +112,7 @@ WHERE length(c.text) > coalesce(cfg.size, 1200)
 P5_SQL = r"""
 WITH docs AS (SELECT document_id, regexp_replace(lower(regexp_extract(source_url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '^www\.', '') AS site FROM documents WHERE source_url IS NOT NULL),
 sizes AS (SELECT site, count(*) AS site_docs FROM docs WHERE site <> '' GROUP BY 1),
-lines AS (SELECT chunk_id, document_id, i - 1 AS line_no, regexp_replace(lower(replace(parts[i], 'ß', 'ss')), '[0-9\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', '', 'g') AS k
+lines AS (SELECT chunk_id, document_id, i - 1 AS line_no, parts[i] AS raw, regexp_replace(lower(replace(parts[i], 'ß', 'ss')), '[0-9\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', '', 'g') AS k
   FROM (SELECT chunk_id, document_id, string_split(text, chr(10)) AS parts FROM chunks WHERE text IS NOT NULL), LATERAL unnest(range(1, len(parts) + 1)) AS u(i)),
 placed AS (SELECT l.*, site FROM lines l JOIN docs USING (document_id) WHERE k <> '' AND site <> ''),
 kept AS (SELECT site, k FROM (SELECT site, k, count(DISTINCT document_id) AS n FROM placed GROUP BY 1, 2) JOIN sizes USING (site) WHERE n >= 3 AND n >= 0.1 * site_docs - 1e-9)
@@ -138,6 +138,9 @@ SELECT doc_id, item_id, max(length) AS n_words, count(*) AS n_places FROM runs G
 P6_ITEMS_SQL = f"""SELECT item_id, suite, coalesce(n_documents, 0) AS n_documents, coalesce(longest, 0) AS longest FROM (SELECT item_id, max(suite) AS suite FROM eval_items GROUP BY 1)
 LEFT JOIN (SELECT item_id, count(*) AS n_documents, max(n_words) AS longest FROM ({P6_LEAKS_SQL}) GROUP BY 1) USING (item_id)"""
 
+P5_LINES_SQL = P5_SQL.partition("kept AS (")[0] + """kept AS (SELECT site, k, count(DISTINCT document_id) AS n_docs, arg_min(raw, (chunk_id, line_no)) AS example FROM placed GROUP BY 1, 2)
+SELECT site, k AS form, example, n_docs, site_docs FROM kept JOIN sizes USING (site) WHERE n_docs >= 3 AND n_docs >= 0.1 * site_docs - 1e-9
+"""
 P5_CLEAN_SQL = f"""
 WITH found AS ({P5_SQL}), cut AS (SELECT chunk_id, list(line_no) AS cut FROM found GROUP BY 1), c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1)
 SELECT c.chunk_id, CAST(coalesce(len(cut), 0) AS INT) AS n_removed, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(string_split(text, chr(10)))), lambda i: NOT list_contains(cut, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text
@@ -161,4 +164,4 @@ QUERIES = {
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}
+SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_lines": P5_LINES_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
+from actloom.lineage import Workspace
+from actloom.operators.running import bucket_bits, running_total
+
 BITS = 15
 ARRAY_MOST = (1 << BITS) // 8 // 2  # positions up to which an array of 16-bit numbers is the smaller form
 
@@ -72,25 +75,35 @@ def holds(container: pd.Series, position: pd.Series) -> pd.Series:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """(document_id, site, bucket, position) of each document of a site; repeated rows are reduced."""
-    own = documents.select("document_id", site_of(F.col("source_url")).alias("site"), "doc_id").where("document_id is not null and site is not null")
-    own = own.groupBy("document_id").agg(F.min(F.struct("doc_id", "site")).alias("x"))
-    number = F.coalesce("x.doc_id", F.xxhash64("document_id"))
-    return own.select("document_id", "x.site", F.shiftright(number, BITS).alias("bucket"), number.bitwiseAND((1 << BITS) - 1).cast("int").alias("position"))
+    """(document_id, site, bucket, position) of each document of a site, numbered from 0 within its site; repeated rows are reduced.
+
+    Numbers without gaps fill the containers whatever the ids look like. They
+    are counted over buckets of a hash, as many as the documents need.
+    """
+    work = Workspace(documents.sparkSession, "sites")
+    own = documents.select("document_id", site_of(F.col("source_url")).alias("site")).where("document_id is not null and site is not null")
+    own = work.write(own.groupBy("document_id").agg(F.min("site").alias("site")), "own")
+    hashed = own.select("document_id", "site", F.xxhash64("document_id").alias("h"), F.lit(1).cast("long").alias("one"))
+    counted = running_total(hashed, ["site"], F.shiftright("h", 64 - bucket_bits(own.count())), ["h", "document_id"], "one", "number")
+    placed = counted.select("document_id", "site", F.shiftright("number", BITS).alias("bucket"), F.col("number").bitwiseAND((1 << BITS) - 1).cast("int").alias("position"))
+    return work.write(placed, "numbered")
 
 
 def chunk_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, line_no, site, key, bucket, position): each line with something left of it.
 
     Texts stay where they are read: what is joined with the documents are a
-    chunk's line keys, 96 bits a line.
+    chunk's line keys, 128 bits a line (two hashes of independent seeds), so
+    among n lines of a site two differing ones meet with a chance of n² / 2^129.
+    The keys are written once and read by all later steps.
     """
-    key = lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))
+    key = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
     forms = F.transform(F.split("text", "\n", -1), line_form)  # once a line, then hashed twice
     keys = F.transform(forms, lambda x: F.when(x != "", key(x)))
     own = chunks.where("text is not null and document_id is not null").select("chunk_id", "document_id", keys.alias("keys"))
-    placed = own.join(documents, "document_id")
-    lines = placed.select("chunk_id", "site", "bucket", "position", F.posexplode("keys").alias("line_no", "key"))
+    placed = own.join(documents, "document_id").select("chunk_id", "site", "bucket", "position", "keys")
+    kept = Workspace(chunks.sparkSession, "lines").write(placed, "keys")
+    lines = kept.select("chunk_id", "site", "bucket", "position", F.posexplode("keys").alias("line_no", "key"))
     return lines.where("key is not null")
 
 
@@ -114,6 +127,19 @@ def occurrences(lines: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return met.select("chunk_id", "line_no", "site", "n_docs").distinct()
 
 
+def line_texts(chunks: DataFrame, lines: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(site, form, example, n_docs, site_docs) of each repeated line: its form, and how it is written where it stands first by chunk and line.
+
+    Only the chunks of these examples are looked up for their texts.
+    """
+    kept = bitmaps.groupBy("site", "key").agg(F.max("n_docs").alias("n_docs"), F.max("site_docs").alias("site_docs"))
+    first = lines.join(kept, ["site", "key"]).groupBy("site", "key").agg(F.min(F.struct("chunk_id", "line_no")).alias("x"), F.max("n_docs").alias("n_docs"), F.max("site_docs").alias("site_docs"))
+    first = first.select("site", "n_docs", "site_docs", "x.*").where("chunk_id is not null")
+    texts = chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    example = F.split("text", "\n", -1)[F.col("line_no")]
+    return first.join(texts, "chunk_id").select("site", line_form(example).alias("form"), example.alias("example"), "n_docs", "site_docs")
+
+
 def without_lines(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """(chunk_id, n_removed, text) of each chunk, without its repeated lines; NULL texts stay NULL."""
     cut = found.groupBy("chunk_id").agg(F.collect_set("line_no").alias("cut"))
