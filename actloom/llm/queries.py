@@ -23,6 +23,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces_of(spark, folder).where("piece_no = 0").select("document_id", "chunk_index").distinct()
 
 
+def p2_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cut chunk put together again from its pieces less their overlaps: the hash of its text, its longest piece and the overlap of all its pieces."""
+    own = pieces_of(spark, folder)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(text, overlap + 1)").alias("new")))), lambda x: x["new"]), "")
+    shared = F.when(F.col("piece_no") > 0, F.col("overlap"))
+    done = own.groupBy("document_id", "chunk_index", "chunk_id").agg(F.sha2(whole, 256).alias("text_hash"), F.max(F.length("text")).alias("longest"), F.min(shared).alias("least_overlap"), F.max(shared).alias("most_overlap"), F.max("n_pieces").alias("n_pieces"), F.count("*").alias("n"))
+    limits = split.limits(table(spark, folder, "documents"), table(spark, folder, "targets"), table(spark, folder, "runs"), CHUNK_SIZE, CHUNK_OVERLAP)
+    size = F.coalesce("chunk_size", F.lit(CHUNK_SIZE))
+    kept = F.least(F.coalesce("chunk_overlap", F.lit(CHUNK_OVERLAP)), size - 1)
+    joined = done.join(limits, "document_id", "left")
+    return joined.select(
+        "document_id", "chunk_index", "chunk_id", "text_hash", (F.col("longest") <= size).alias("fits"),
+        ((F.col("least_overlap") == kept) & (F.col("most_overlap") == kept)).alias("overlaps"), (F.col("n_pieces") == F.col("n")).alias("numbered"),
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(target_id, line_no) of each line with text of the page's main body."""
     found = main_text.extract_main_text(table(spark, folder, "fetches"))
@@ -109,6 +125,8 @@ SELECT DISTINCT c.document_id, c.chunk_index FROM chunks c LEFT JOIN documents d
 WHERE length(c.text) > coalesce(cfg.size, 1200)
 """
 
+P2_REBUILT_SQL = P2_SQL.replace("SELECT DISTINCT c.document_id, c.chunk_index", "SELECT DISTINCT c.document_id, c.chunk_index, c.chunk_id, sha256(c.text) AS text_hash, true AS fits, true AS overlaps, true AS numbered")
+
 P5_SQL = r"""
 WITH docs AS (SELECT document_id, regexp_replace(lower(regexp_extract(source_url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '^www\.', '') AS site FROM documents WHERE source_url IS NOT NULL),
 sizes AS (SELECT site, count(*) AS site_docs FROM docs WHERE site <> '' GROUP BY 1),
@@ -150,6 +168,7 @@ FROM c LEFT JOIN cut USING (chunk_id)
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": pieces_of,
+    "p2_rebuilt": p2_rebuilt,
     "p4_found": p4_found,
     "p4_main_text": p4_main_text,
     "p5_found": p5_found,
@@ -164,4 +183,4 @@ QUERIES = {
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_lines": P5_LINES_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}
+SQL = {"p2_found": P2_SQL, "p2_rebuilt": P2_REBUILT_SQL, "p5_found": P5_SQL, "p5_lines": P5_LINES_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}

@@ -4,8 +4,9 @@ Boundaries are ends of lines, sentences and table cells. At each, the words of
 a block before and a block after are compared; a valley of this similarity is
 the depth by which it lies under the peaks on both sides. Within the size
 window of a piece the deepest valley is the cut (ends of lines and sentences
-before those of words); without a boundary, the last white space; without that,
-the limit itself. The next piece begins the overlap before the cut.
+before those of words), in the upper half of the window where it has a boundary,
+else in the lower; without a boundary, the last white space; without that, the
+limit itself. The next piece begins the overlap before the cut.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actloom.lineage import Workspace
 from actloom.operators.running import running_total
 
 BOUNDARY = re.compile(r"\n+|(?<=[.!?…])[\"'”’)\]]*[ \t ]+|(?<=[。！？；])|(?<= \|) ")
@@ -69,13 +71,13 @@ def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     start, k = 0, 0
     while len(text) - start > size:
-        least, most = start + max(overlap + 1, size // 2), start + size
+        least, middle, most = start + overlap + 1, start + max(overlap + 1, size // 2), start + size
         while k < len(spots) and spots[k] < least:
             k += 1
-        cut, best, j = 0, -1.0, k
+        cut, best, j = 0, (False, -1.0), k
         while j < len(spots) and spots[j] <= most:
-            if depths[j] >= best:
-                cut, best = spots[j], depths[j]
+            if (spots[j] >= middle, depths[j]) >= best:
+                cut, best = spots[j], (spots[j] >= middle, depths[j])
             j += 1
         if not cut:
             cut = next((i + 1 for i in range(most - 1, least - 2, -1) if SPACE.match(text, i)), most)
@@ -104,7 +106,8 @@ def split_chunks(chunks: DataFrame, by_document: DataFrame, smallest: int, size:
     """Pieces of every chunk over its limit, with a new index and offsets.
 
     (document_id, chunk_id, chunk_index, piece_no, n_pieces, new_chunk_index,
-    start_offset, end_offset, text). `smallest` is the least limit of any run:
+    start_offset, end_offset, text, overlap), the latter the characters shared
+    with the piece before. `smallest` is the least limit of any run:
     shorter texts leave before the joins, so only candidates are shuffled.
     The new index counts the pieces of earlier chunks of the document in place
     of these chunks. A chunk without a document, target or run has the default
@@ -126,9 +129,15 @@ def split_chunks(chunks: DataFrame, by_document: DataFrame, smallest: int, size:
 
     schema = "document_id string, chunk_index int, chunk_id string, text string, start_offset int, spans array<array<int>>"
     typed = placed.withColumn("start_offset", F.col("start_offset").cast("int"))
-    cut = typed.mapInPandas(run_nullable(run), schema).withColumn("n_pieces", F.size("spans")).withColumn("more", F.col("n_pieces") - 1)
-    counted = running_total(cut, ["document_id"], F.shiftright("chunk_index", 10), ["chunk_index", "chunk_id"], "more", "earlier")
-    rows = counted.select("document_id", "chunk_id", "chunk_index", "n_pieces", "earlier", "start_offset", "text", F.posexplode("spans").alias("piece_no", "span"))
+    # Cut once and kept; the running total goes over keys and numbers only.
+    cut = Workspace(chunks.sparkSession, "split").write(typed.mapInPandas(run_nullable(run), schema), "cut")
+    keys = cut.select("document_id", "chunk_index", "chunk_id", (F.size("spans") - 1).alias("more"))
+    counted = running_total(keys, ["document_id"], F.shiftright("chunk_index", 10), ["chunk_index", "chunk_id"], "more", "earlier")
+    a, b = cut.alias("a"), counted.alias("b")
+    same = F.lit(True)
+    for c in ("document_id", "chunk_index", "chunk_id"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    rows = a.join(b, same).select("a.document_id", "a.chunk_id", "a.chunk_index", F.size("spans").alias("n_pieces"), "b.earlier", "a.start_offset", "a.text", "a.spans", F.posexplode("a.spans").alias("piece_no", "span"))
     return rows.select(
         "document_id",
         "chunk_id",
@@ -139,6 +148,7 @@ def split_chunks(chunks: DataFrame, by_document: DataFrame, smallest: int, size:
         (F.col("start_offset") + F.col("span")[0]).alias("start_offset"),
         (F.col("start_offset") + F.col("span")[1]).alias("end_offset"),
         F.substring("text", F.col("span")[0] + 1, F.col("span")[1] - F.col("span")[0]).alias("text"),
+        F.when(F.col("piece_no") > 0, F.col("spans")[F.col("piece_no") - 1][1] - F.col("span")[0]).otherwise(0).alias("overlap"),
     )
 
 

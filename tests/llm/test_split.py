@@ -24,6 +24,11 @@ def test_cut_is_at_the_topic_boundary():
     assert cut == len(ships)
 
 
+def test_a_boundary_in_the_lower_half_is_better_than_none():
+    text = "word " * 46 + "\n\n" + "more " * 400
+    assert split.pieces(text, 1000, 0)[0] == (0, 232)
+
+
 def test_long_run_without_boundaries():
     assert split.pieces("x" * 25, 10, 3) == [(0, 10), (7, 17), (14, 24), (21, 25)]
 
