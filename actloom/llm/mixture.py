@@ -18,16 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.lineage import Workspace
-from actloom.operators.running import running_total
-
-#: Parameter: the domain of a source; others are "other".
-DOMAINS = {
-    "state_gazette": "law", "court_digest": "law", "municipal_rules": "law", "minutes_archive": "law",
-    "agency_guidance": "guidance", "consumer_help": "guidance", "forum_threads": "community",
-    "ingestion_notes": "technical", "glossary_terms": "technical", "translation_memory": "technical",
-}
-BUCKETS = 1 << 10
-
+from actloom.operators.running import bucket_bits, running_total
 
 def source_name(source: Column) -> Column:
     """A source without differences of case, blanks and separator; NULL for none."""
@@ -101,8 +92,9 @@ def fill(node: Node, amount: float) -> None:
         open_ = [c for c in open_ if c not in full]
 
 
-def budgets(sizes: Mapping[tuple[str, str], int], wanted: Mapping[str, tuple[float, int | None]], total: int, domains: Mapping[str, str] = DOMAINS) -> dict[tuple[str, str], int]:
-    """Tokens of each (source, lang) leaf: sizes by leaf, and the weight and cap on repeats by source."""
+def budgets(sizes: Mapping[tuple[str, str], int], wanted: Mapping[str, tuple[float, int | None]], total: int, domains: Mapping[str, str] | None = None) -> dict[tuple[str, str], int]:
+    """Tokens of each (source, lang) leaf: sizes by leaf, and the weight and cap on repeats by source; sources without a domain are of one domain "other"."""
+    domains = domains or {}
     by_source: dict[str, int] = {}
     for (source, _), n in sizes.items():
         by_source[source] = by_source.get(source, 0) + n
@@ -130,43 +122,73 @@ def budgets(sizes: Mapping[tuple[str, str], int], wanted: Mapping[str, tuple[flo
     return {x.name: int(x.given + 1e-6) for x in leaves}
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", seed: int = 7, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def feasible(sizes: Mapping[tuple[str, str], int], wanted: Mapping[str, tuple[float, int | None]]) -> int:
+    """The most tokens, up to all of its sources, with which a mixture meets every share within the caps.
+
+    Sources without documents or with a cap of 0 or less meet none and are left out of the shares.
+    """
+    held: dict[str, int] = {}
+    for (source, _), n in sizes.items():
+        weight, cap = wanted.get(source, (0.0, None))
+        if weight and weight > 0 and n > 0 and (cap is None or cap > 0):
+            held[source] = held.get(source, 0) + n
+    weights = sum(wanted[s][0] for s in held)
+    return int(min([sum(held.values()), *(n * wanted[s][1] * weights / wanted[s][0] for s, n in held.items() if wanted[s][1] is not None)]))
+
+
+def mix(
+    documents: DataFrame,
+    targets: DataFrame,
+    vocabulary: str = "byte_bpe_50k.tiktoken",
+    seed: int = 7,
+    total_tokens: int | str | None = None,
+    domains: Mapping[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The chosen documents, (mix_name, doc_id, source, lang, n_tokens, repeats), and the shares reached.
 
-    Without `total_tokens` a mixture has as many tokens as the documents of
-    its weighted sources. A source with weight NULL, zero or less is not used;
-    a source without documents, or short of its share after its last allowed
-    epoch, leaves its rest to the others; a NULL cap sets none. Repeated rows
-    of a source in a mixture add their weights and take the strictest cap;
-    mixtures without a usable source give no documents. What the driver holds
-    is a row per source and language.
+    Without `total_tokens` a mixture is as large as it can be with every share
+    met within the caps (see :func:`feasible`); "all" makes it as large as its
+    weighted sources, and a number so large: then shares may be missed, and a
+    shortage goes to siblings before ancestors. A source with weight NULL, zero
+    or less is not used; a source without documents, or short of its share
+    after its last allowed epoch, leaves its rest to the others; a NULL cap
+    sets none. Repeated rows of a source in a mixture add their weights and
+    take the strictest cap; mixtures without a usable source give no documents.
+    The driver holds the wanted mixtures, a table that people write, and a row
+    per source named there and language code of at most three letters.
     """
     spark = documents.sparkSession
     plan = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     plan = plan.groupBy("mix_name", "source").agg(F.sum(F.greatest("target_share", F.lit(0.0))).alias("weight"), F.min("max_repeats").alias("cap"))
     listed = plan.collect()
     work = Workspace(spark, "mixture")
-    own = documents.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["source"] for r in listed})], "wanted string")), source_name(F.col("source")) == F.col("wanted"), "left_semi")
+    own = documents.join(plan.select(F.col("source").alias("wanted")).distinct(), source_name(F.col("source")) == F.col("wanted"), "left_semi")
     tokens = work.write(sized(own, vocabulary), "tokens")
-    sizes = {(r["source"], r["lang"]): r["n"] for r in tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()}
+    held = tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
+    sizes, rows_of = {(r["source"], r["lang"]): r["n"] for r in held}, {(r["source"], r["lang"]): r["rows"] for r in held}
     chosen: list[tuple] = []
     for name in sorted({r["mix_name"] for r in listed}, key=str):
         wanted = {r["source"]: (r["weight"] or 0.0, r["cap"]) for r in listed if r["mix_name"] == name}
-        total = total_tokens or sum(n for (s, _), n in sizes.items() if wanted.get(s, (0.0, None))[0] > 0)
-        for (source, lang), budget in budgets(sizes, wanted, total).items():
+        total = total_tokens
+        if total_tokens is None:
+            total = feasible(sizes, wanted)
+        elif total_tokens == "all":
+            total = sum(n for (s, _), n in sizes.items() if wanted.get(s, (0.0, None))[0] > 0)
+        for (source, lang), budget in budgets(sizes, wanted, total, domains).items():
             epochs, rest = divmod(budget, sizes[source, lang])
-            chosen.append((name, source, lang, epochs, rest))
-    leaves = spark.createDataFrame(chosen, "mix_name string, source string, lang string, epochs long, rest long")
-    rows = tokens.join(F.broadcast(leaves), ["source", "lang"])
+            chosen.append((name, source, lang, epochs, rest, bucket_bits(rows_of[source, lang])))
+    leaves = spark.createDataFrame(chosen, "mix_name string, source string, lang string, epochs long, rest long, bits int")
+    # The side of the leaves is as small as the driver's list; the planner sends it to all tasks or joins by key as its size says.
+    rows = tokens.join(leaves, ["source", "lang"])
     order = F.xxhash64(F.lit(seed), "mix_name", "epochs", F.col("doc_id"))
-    drawn = running_total(rows.withColumn("draw", order), ["mix_name", "source", "lang"], F.shiftright("draw", 64 - BUCKETS.bit_length() + 1), ["draw", "doc_id"], "n_tokens")
+    drawn = running_total(rows.withColumn("draw", order), ["mix_name", "source", "lang"], F.expr("shiftright(draw, 64 - bits)"), ["draw", "doc_id"], "n_tokens")
     repeats = F.col("epochs") + F.when(F.col("before") + F.col("n_tokens") <= F.col("rest"), 1).otherwise(0)
     documents_out = drawn.select("mix_name", "doc_id", "source", "lang", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
     return documents_out, shares(documents_out, plan)
 
 
 def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
-    """(mix_name, source, target_share, actual_share, n_tokens, n_documents, most_repeats) of each source of each mixture."""
+    """(mix_name, source, target_share, actual_share, deviation, n_tokens, n_documents, most_repeats) of each source of each mixture."""
     used = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"))
     totals = used.groupBy("mix_name").agg(F.sum("n_tokens").alias("all_tokens"))
     weights = plan.groupBy("mix_name").agg(F.sum("weight").alias("all_weight"))
@@ -176,6 +198,7 @@ def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
         "source",
         F.try_divide("weight", "all_weight").alias("target_share"),
         F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+        (F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)) - F.coalesce(F.try_divide("weight", "all_weight"), F.lit(0.0))).alias("deviation"),
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),

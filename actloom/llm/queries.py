@@ -9,6 +9,12 @@ from actloom.io import table
 from actloom.llm import leakage, main_text, mixture, pii, site_lines, split
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 150
+#: The domains of these tables' sources, a parameter of the mixtures.
+DOMAINS = {
+    "state_gazette": "law", "court_digest": "law", "municipal_rules": "law", "minutes_archive": "law",
+    "agency_guidance": "guidance", "consumer_help": "guidance", "forum_threads": "community",
+    "ingestion_notes": "technical", "glossary_terms": "technical", "translation_memory": "technical",
+}
 
 
 def pieces_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,14 +98,36 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+def mixtures(spark: SparkSession, folder: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), total_tokens=total, domains=DOMAINS)
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of each mixture with their tokens and repeats."""
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    """The documents of each mixture with their tokens and repeats, as large as all shares can be met within the caps."""
+    return mixtures(spark, folder)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The target and actual share of each source in each mixture."""
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixtures(spark, folder)[1]
+
+
+def p7_all_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of mixtures as large as their sources: what small sources lack goes to their siblings first."""
+    return mixtures(spark, folder, "all")[1]
+
+
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Each wanted source with its share, and whether the documents chosen are of it, once each, and repeated within its cap; with the shares summed."""
+    chosen, report = mixtures(spark, folder)
+    documents = table(spark, folder, "documents").select("doc_id", mixture.source_name(F.col("source")).alias("own")).distinct()
+    seen = chosen.join(documents, "doc_id", "left").groupBy("mix_name", "source").agg(F.min(F.coalesce(F.col("own") == F.col("source"), F.lit(False))).alias("own"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_different"), F.max("repeats").alias("most"))
+    sums = report.groupBy("mix_name").agg(F.round(F.sum("actual_share"), 6).alias("shares"))
+    joined = report.join(seen, ["mix_name", "source"], "left").join(sums, "mix_name")
+    return joined.select(
+        "mix_name", "source", F.round("target_share", 6).alias("target_share"), F.coalesce("own", F.lit(True)).alias("own"), (F.coalesce("n", F.lit(0)) == F.coalesce("n_different", F.lit(0))).alias("once"),
+        (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(1 << 30))).alias("within_cap"), ((F.col("target_share") > 0) | (F.col("n_tokens") == 0)).alias("weighted"), "shares",
+    )
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,6 +193,12 @@ SELECT c.chunk_id, CAST(coalesce(len(cut), 0) AS INT) AS n_removed, CASE WHEN cu
 FROM c LEFT JOIN cut USING (chunk_id)
 """
 
+# What any right answer has in common: the wanted shares, sources and caps kept, and shares that sum to 1.
+P7_CHECKED_SQL = r"""
+WITH t AS (SELECT mix_name, regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source, sum(greatest(target_share, 0)) AS w FROM mix_targets WHERE trim(source) <> '' GROUP BY 1, 2)
+SELECT mix_name, source, round(w / sum(w) OVER (PARTITION BY mix_name), 6) AS target_share, true AS own, true AS once, true AS within_cap, true AS weighted, CAST(1.0 AS DOUBLE) AS shares FROM t
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": pieces_of,
@@ -179,8 +213,10 @@ QUERIES = {
     "p6_items": p6_items,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_all_tokens": p7_all_tokens,
+    "p7_checked": p7_checked,
     "p8_found": p8_found,
     "p8_placeholders": p8_placeholders,
     "p8_surrogates": p8_surrogates,
 }
-SQL = {"p2_found": P2_SQL, "p2_rebuilt": P2_REBUILT_SQL, "p5_found": P5_SQL, "p5_lines": P5_LINES_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL}
+SQL = {"p2_found": P2_SQL, "p2_rebuilt": P2_REBUILT_SQL, "p5_found": P5_SQL, "p5_lines": P5_LINES_SQL, "p5_clean_chunks": P5_CLEAN_SQL, "p6_found": P6_SQL, "p6_leaks": P6_LEAKS_SQL, "p6_items": P6_ITEMS_SQL, "p7_checked": P7_CHECKED_SQL}

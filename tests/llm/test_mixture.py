@@ -33,6 +33,25 @@ def test_mix(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again.collect()))
 
 
+def test_every_share_is_met_by_default(spark):
+    rows = [(i, "big", "en", f"some words of text number {i}") for i in range(4000)] + [(10_000 + i, "small", "en", "tiny text of a few words") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    t = spark.createDataFrame([("m", "big", 3.0, 1), ("m", "small", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen, report = mixture.mix(d, t)
+    got = {r["source"]: r for r in report.collect()}
+    assert abs(got["big"]["deviation"]) < 0.01 and got["small"]["most_repeats"] == 2 and got["small"]["n_documents"] == 200
+    everything = {r["source"]: r for r in mixture.mix(d, t, total_tokens="all")[1].collect()}
+    assert everything["big"]["n_documents"] > 3700 and everything["big"]["deviation"] > 0.1
+    assert mixture.mix(d, t, total_tokens=0)[0].count() == 0
+
+
+def test_feasible():
+    sizes = {("a", "en"): 60, ("a", "de"): 40, ("b", "en"): 10, ("c", "en"): 5}
+    assert mixture.feasible(sizes, {"a": (1, None), "b": (1, 3), "gone": (2, 1)}) == 60
+    assert mixture.feasible(sizes, {"a": (1, None), "b": (1, 30)}) == 110
+    assert mixture.feasible(sizes, {"a": (0, None), "c": (1, 0)}) == 0
+
+
 def test_token_counts():
     count = mixture.counter("byte_bpe_50k.tiktoken")
     assert count("hello world") == 2 and count("") == 0 and count(None) == 0 and count("<|endoftext|>") > 1
