@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actloom.io import table
+from actloom.lineage import Workspace
 from actloom.operators import flatten
 from actloom.operators.hierarchy import descendants, hierarchy
 
 FIELDS = ("sections", "amendments", "metadata")
 
 
-def act_triples(spark: SparkSession, folder: str) -> DataFrame:
+def act_nodes(spark: SparkSession, folder: str) -> DataFrame:
     acts = flatten.latest(table(spark, folder, "legal_acts"), "act_id", "received_at", FIELDS)
-    return flatten.to_triples(acts, "act_id", FIELDS)
+    return flatten.to_nodes(acts, "act_id", FIELDS)
+
+
+def act_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The flat tables of all groups, those known with their columns first."""
+    return flatten.flat_tables(act_nodes(spark, folder), "act_id", dict((FLAT | MORE_FLAT).values()))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(act_id, node_path) of each JSON object in the latest version of each act."""
-    return act_triples(spark, folder).where("name is null").select(F.col("rec").alias("act_id"), "node_path")
+    """(act_id, node_path) of each JSON object in the latest version of each act: the rows of all flat tables."""
+    return reduce(DataFrame.unionByName, [t.select("act_id", "node_path") for t in act_tables(spark, folder).values()])
 
 
 def p1_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every object with its parent, group, ordinal, number of children and fields (as canonical JSON)."""
-    found = act_triples(spark, folder)
-    rows = flatten.nodes(found)
-    children = flatten.subtree_sizes(found.where("name is null").select("rec", "parent_path"))
-    return rows.join(children, ["rec", "node_path"], "left").select(
-        F.col("rec").alias("act_id"),
-        "node_path",
-        "parent_path",
-        "node_group",
-        F.col("ordinal").cast("long").alias("ordinal"),
-        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
-        F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"),
-    )
+    """Every object with its parent, group, ordinal, and the numbers of its children and of its plain fields."""
+    rows = Workspace(spark, "nodes").write(act_nodes(spark, folder).select("rec", "node_path", "parent_path", "node_group", "ordinal", F.size("fields").alias("n_fields")), "rows")
+    return rows.join(flatten.subtree_sizes(rows), ["rec", "node_path"], "left").select(
+        F.col("rec").alias("act_id"), "node_path", "parent_path", "node_group", F.col("ordinal").cast("long").alias("ordinal"),
+        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.col("n_fields").cast("long").alias("n_fields"),
+    )
 
 
 def flat(group: str, columns: tuple[str, ...]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = act_triples(spark, folder)
-        met = flatten.all_columns(found, dict((FLAT | MORE_FLAT).values()))[group]
-        return flatten.flat_table(found, group, met, key="act_id")
+        return act_tables(spark, folder)[group]
 
     query.__doc__ = f"The flat table of the group {group}, one row per object, linked to its parent and act; fields met besides the known ones come last."
     return query
@@ -50,13 +49,13 @@ def flat(group: str, columns: tuple[str, ...]):
 
 def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The flat tables of all groups met, whatever they are, as one long table: a row per object and field, and one with name NULL per object."""
-    found = act_triples(spark, folder)
-    return found.select(F.col("rec").alias("act_id"), "node_group", "node_path", "parent_path", "ordinal", "name", "value").distinct()
+    found = flatten.to_triples(act_nodes(spark, folder))
+    return found.select(F.col("rec").alias("act_id"), "node_group", "node_path", "parent_path", "ordinal", "name", "value")
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The groups and fields met, from which the flat tables are made."""
-    return flatten.columns_of(act_triples(spark, folder))
+    return flatten.columns_of(act_nodes(spark, folder))
 
 
 def target_parents(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,6 +144,22 @@ def flat_sql(group: str, columns: tuple[str, ...]) -> str:
     head = P1_SQL.rpartition("SELECT DISTINCT act_id")[0]
     return rf"{head} SELECT DISTINCT act_id, path AS node_path, {parent} AS parent_path, CAST(regexp_extract(path, '(\d+)$', 1) AS INT) AS ordinal, {picked} FROM walk WHERE obj AND json_type(j) = 'OBJECT' AND regexp_matches(path, '{path}')"
 
+
+WALK = P1_SQL.rpartition("SELECT DISTINCT act_id")[0]
+GROUP = r"regexp_replace(regexp_replace(path, '/\d+(/\d+)*/', '/', 'g'), '(/\d+)+$', '')"
+# A key whose value is an object, or a list with one, also within a string, has objects of its own under it and is no plain field.
+TRIPLES_SQL = rf"""{WALK},
+o AS (SELECT DISTINCT act_id, path, CAST(j AS VARCHAR) AS j FROM walk WHERE obj AND json_type(j) = 'OBJECT'),
+below AS (SELECT DISTINCT act_id, regexp_extract(path, '^(.*/\d+/[^/]+?)(/\d+)+$', 1) AS place FROM walk WHERE obj AND json_type(j) IN ('OBJECT', 'ARRAY')),
+f AS (SELECT o.act_id, o.path, k, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(json_extract_string(v, '$')) AND json_type(try_cast(json_extract_string(v, '$') AS JSON)) = 'ARRAY' THEN CAST(json(json_extract_string(v, '$')) AS VARCHAR)
+  WHEN json_type(v) = 'ARRAY' THEN CAST(v AS VARCHAR) ELSE json_extract_string(v, '$') END AS value
+  FROM (SELECT act_id, path, k, json_extract(j, '$."' || k || '"') AS v FROM o, LATERAL unnest(json_keys(j)) AS u(k)) o LEFT JOIN below b ON b.act_id = o.act_id AND b.place = o.path || '/' || k WHERE b.place IS NULL AND json_type(v) <> 'OBJECT')"""
+P1_TABLES_SQL = rf"""{TRIPLES_SQL} SELECT act_id, {GROUP} AS node_group, path AS node_path, CASE WHEN contains({GROUP}, '/') THEN regexp_extract(path, '^(.*/\d+)/[^/]+?(/\d+)+$', 1) END AS parent_path,
+CAST(regexp_extract(path, '(\d+)$', 1) AS INT) AS ordinal, name, value FROM (SELECT act_id, path, NULL AS name, NULL AS value FROM o UNION ALL SELECT act_id, path, k, value FROM f)"""
+P1_NODES_SQL = f"""WITH t AS ({P1_TABLES_SQL}), n AS (SELECT act_id, parent_path, count(*) AS n FROM t WHERE name IS NULL GROUP BY 1, 2)
+SELECT t.act_id, node_path, t.parent_path, node_group, CAST(ordinal AS BIGINT) AS ordinal, coalesce(any_value(n.n), 0) AS n_children, count(name) AS n_fields FROM t LEFT JOIN n ON n.act_id = t.act_id AND n.parent_path = t.node_path GROUP BY 1, 2, 3, 4, 5"""
+P1_GROUPS_SQL = f"SELECT node_group, name, count(*) AS n_nodes FROM ({P1_TABLES_SQL}) WHERE name IS NOT NULL GROUP BY 1, 2"
+
 EDGES_SQL = """
 t AS (SELECT target_id, max(depth) AS depth, max(parent_document_id) AS pd, max(parent_chunk_id) AS pc FROM targets WHERE target_id IS NOT NULL GROUP BY 1),
 c AS (SELECT chunk_id, max(document_id) AS cd FROM chunks GROUP BY 1),
@@ -178,6 +193,13 @@ FROM e LEFT JOIN down USING (target_id) LEFT JOIN entered USING (target_id) LEFT
 """
 P3_DESCENDANTS_SQL = f"{ANCESTORS_SQL} SELECT a AS ancestor_id, anc.target_id, d.depth - u.depth AS steps FROM anc JOIN down d ON d.target_id = anc.target_id JOIN down u ON u.target_id = anc.a"
 
+
+def pivot_sql(group: str, columns: tuple[str, ...]) -> str:
+    """The flat table of a group, by a pivot of the long table."""
+    picked = "".join(f""", max(value) FILTER (name = '{c}') AS "{c}\"""" for c in columns)
+    return f"SELECT act_id, node_path, parent_path, ordinal{picked} FROM ({P1_TABLES_SQL}) WHERE node_group = '{group}' GROUP BY 1, 2, 3, 4"
+
+
 FLAT = {
     "p1_sections": ("sections", ("number", "display", "title", "intro_text")),
     "p1_subsections": ("sections/subsections", ("index", "display", "text")),
@@ -185,7 +207,7 @@ FLAT = {
     "p1_amendments": ("amendments", ("rt_part", "published", "article", "in_force")),
     "p1_metadata": ("metadata", ("publisher", "documentKind", "validFrom", "documentStatus", "keywords")),
 }
-#: Groups without SQL. Those of other data have their flat tables by `flatten.flat_tables`, and their rows in p1_tables.
+#: Groups that only some acts have. Those of other data have their flat tables by `flatten.flat_tables`, and their rows in p1_tables.
 MORE_FLAT = {
     "p1_paths": ("sections/path", ("chapter_number", "chapter_title", "part_number")),
     "p1_divisions": ("sections/path/division", ("number", "title")),
@@ -209,4 +231,4 @@ QUERIES = {
     "p3_hierarchy": p3_hierarchy,
     "p3_descendants": p3_descendants,
 }
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_hierarchy": P3_HIERARCHY_SQL, "p3_descendants": P3_DESCENDANTS_SQL} | {name: flat_sql(*own) for name, own in FLAT.items()}
+SQL = {"p1_found": P1_SQL, "p1_nodes": P1_NODES_SQL, "p1_tables": P1_TABLES_SQL, "p1_groups": P1_GROUPS_SQL, "p3_found": P3_SQL, "p3_hierarchy": P3_HIERARCHY_SQL, "p3_descendants": P3_DESCENDANTS_SQL} | {name: flat_sql(*own) for name, own in FLAT.items()} | {name: pivot_sql(*own) for name, own in MORE_FLAT.items()}
