@@ -25,11 +25,19 @@ def strip(text: Column) -> Column:
 
 
 def keyword_pattern(keywords: list[str]) -> str | None:
-    """One pattern for any of the keywords as whole words, without case; None for no keyword."""
+    """One pattern for any of the keywords, without case; None for no keyword.
+
+    A keyword stands between two word boundaries: beside a letter, digit or
+    underscore of its own there is none outside, and beside another character
+    of its own there is one ("C++" is met in "C++11", not in "C++ daily").
+    """
     words = [k for k in keywords if k]
     if not words:
         return None
-    return r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", k) for k in words) + r")(?![\p{L}\p{N}_])"
+    inner = r"[\p{L}\p{N}_]"
+    word = lambda c: c.isalnum() or c == "_"
+    one = lambda k: (f"(?<!{inner})" if word(k[0]) else f"(?<={inner})") + re.sub(r"([^\w\s])", r"\\\1", k) + (f"(?!{inner})" if word(k[-1]) else f"(?={inner})")
+    return "(?iu)(?:" + "|".join(map(one, words)) + ")"
 
 
 def included(title: Column, text: Column, keywords: list[str]) -> Column:

@@ -23,6 +23,7 @@ METADATA = {
 SUPERSCRIPTS = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 SCHEMA_LOCATION = "{http://www.w3.org/2001/XMLSchema-instance}schemaLocation"
 RAISED = re.compile(r"<sup>(.*?)</sup>", re.I | re.S)
+UNREAD = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>", re.S)
 SECTION_NUMBER = re.compile(r"§\s*([0-9⁰¹²³⁴⁵⁶⁷⁸⁹]+)")
 
 
@@ -32,8 +33,8 @@ def local(element) -> str:
 
 
 def parsed(content: str | None):
-    """The root element, or None for no or malformed XML. Texts with a document type are refused (entity expansion)."""
-    if not content or "<!DOCTYPE" in content[:4096].upper() and "<!ENTITY" in content.upper():
+    """The root element, or None for no or malformed XML. Texts that declare entities, wherever, are refused (entity expansion)."""
+    if not content or "<!ENTITY" in content.upper() and "<!ENTITY" in UNREAD.sub("", content).upper():
         return None
     try:
         return ElementTree.fromstring(content)

@@ -1,9 +1,8 @@
 """Splitting documents into chunks: the strategies of the pipeline.
 
-Window and fixed chunkers are expressions over the text and stay in the JVM;
-the sentence packer is a fold over the sentences there too. Recursive,
-markdown, section and act chunkers are Python over one document at a time, run
-in Arrow batches. Texts that are NULL or blank give no chunks.
+Window and fixed chunkers are expressions over the text and stay in the JVM.
+Sentence, recursive, markdown, section and act chunkers are Python over one
+document at a time, run in Arrow batches, each linear in the text. Texts that are NULL or blank give no chunks.
 """
 
 from __future__ import annotations
@@ -41,50 +40,43 @@ def fixed(documents: DataFrame, key: str, text: str = "text", size: int = DEFAUL
         raise ValueError("the overlap is larger than the size")
     step = max(1, size - overlap)
     rows = documents.select(F.col(key), F.col(text).alias("_t")).where("length(_t) > 0")
-    last = F.greatest(F.ceil((F.length("_t") - size) / F.lit(step)), F.lit(0)).cast("long")
-    cut = rows.select(key, "_t", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
-    raw = cut.select(key, "_k", F.substring("_t", (F.col("_k") * step + 1).cast("int"), size).alias("_raw"))
-    own = raw.select(key, "_k", F.regexp_replace("_raw", r"(?U)^\s+|\s+$", "").alias("_text"), (F.length("_raw") - F.length(F.regexp_replace("_raw", r"(?U)^\s+", ""))).alias("_lead")).where("_text <> ''")
-    start = F.col("_k") * step + F.col("_lead")
-    placed = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", "_text", start.alias("_start")))).alias("_all"))
-    return placed.select(key, F.posexplode("_all").alias("_i", "_x")).select(
-        key, F.col("_i").cast("long").alias("chunk_index"), F.col("_x._text").alias("text"), F.col("_x._start").alias("start_offset"), (F.col("_x._start") + F.length("_x._text")).alias("end_offset")
+    last = F.greatest(F.ceil((F.length("_t") - size) / F.lit(step)), F.lit(0)).cast("int")
+
+    def window(k):
+        raw = F.substring(F.col("_t"), k * step + 1, F.lit(size))
+        led = F.regexp_replace(raw, r"(?U)^\s+", "")
+        return F.struct((k * step + F.length(raw) - F.length(led)).cast("long").alias("start"), F.regexp_replace(led, r"(?U)\s+$", "").alias("text"))
+
+    # All windows of a document are made in its row: nothing is shuffled, and rows of one key stay apart.
+    kept = F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda x: x["text"] != "")
+    return rows.select(key, F.posexplode(kept).alias("_i", "_x")).select(
+        key, F.col("_i").cast("long").alias("chunk_index"), F.col("_x.text").alias("text"), F.col("_x.start").alias("start_offset"), (F.col("_x.start") + F.length("_x.text")).alias("end_offset")
     )
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def packed_sentences(text: str, size: int, overlap: int) -> list[str]:
+    """Whole sentences packed up to the size; a chunk begins with the last ones of the chunk before that fit the overlap."""
+    out: list[str] = []
+    held: list[str] = []
+    total = 0  # characters of the held sentences, joined
+    for sentence in filter(None, (x.strip() for x in SENTENCE_END.split(text))):
+        if held and total + len(sentence) + 1 > max(1, size):
+            out.append(" ".join(held))
+            kept = total = 0
+            while kept < len(held) and overlap > 0 and (wider := total + len(held[-1 - kept]) + (kept > 0)) <= overlap:
+                kept, total = kept + 1, wider
+            held = held[len(held) - kept :]
+        total += len(sentence) + (total > 0)
+        held.append(sentence)
+    return [*out, " ".join(held)] if held else out
+
+
 def sentences(documents: DataFrame, key: str, text: str = "text", size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP) -> DataFrame:
-    """(key, chunk_index, text): whole sentences packed up to the size, the last ones within the overlap repeated."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    empty = F.array().cast("array<string>")
-    zero = F.struct(F.array().cast("array<string>").alias("out"), empty.alias("now"), F.lit(0).alias("n"))
-    joined = lambda xs: F.array_join(xs, " ")
-    tail_zero = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("shut"))
-
-    def carried(xs):
-        def step(acc, s):
-            more = F.length(s) + F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
-            shut = acc["shut"] | (acc["n"] + more > overlap)
-            return F.when(shut, F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"), F.lit(True).alias("shut"))).otherwise(
-                F.struct(F.concat(F.array(s), acc["kept"]).alias("kept"), (acc["n"] + more).alias("n"), F.lit(False).alias("shut"))
-            )
-
-        return F.aggregate(F.reverse(xs), tail_zero, step)
-
-    def pack(acc, s):
-        full = (F.size(acc["now"]) > 0) & (acc["n"] + F.length(s) + 1 > max(1, size))
-        keep = carried(acc["now"]) if overlap > 0 else tail_zero
-        now = F.when(full, keep["kept"]).otherwise(acc["now"])
-        n = F.when(full, keep["n"]).otherwise(acc["n"])
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(joined(acc["now"])))).otherwise(acc["out"]).alias("out"),
-            F.concat(now, F.array(s)).alias("now"),
-            (n + F.length(s) + F.when(n > 0, 1).otherwise(0)).alias("n"),
-        )
-
-    packed = F.aggregate("_parts", zero, pack)
-    rows = documents.select(F.col(key), parts.alias("_parts")).where("size(_parts) > 0").select(key, packed.alias("_p"))
-    final = F.concat("_p.out", F.array(joined(F.col("_p.now"))))
-    return rows.select(key, F.posexplode(final).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    """(key, chunk_index, text): whole sentences packed up to the size, the last ones within the overlap repeated; one pass over each text."""
+    return chunk_with(documents, key, sentence_splitter(size, overlap), text).select(key, "chunk_index", "text")
 
 
 # --- splitters in Python -----------------------------------------------------
@@ -215,6 +207,39 @@ def recursive_splitter(size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP,
     return lambda text, raw: [(*x, "passage", "{}") for x in located(text, recursive(text, size, overlap, separators), overlap)]
 
 
+def sentence_splitter(size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP):
+    return lambda text, raw: [(x, None, None, "passage", "{}") for x in packed_sentences(text, size, overlap)]
+
+
+def fixed_splitter(size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP):
+    if overlap > size:
+        raise ValueError("the overlap is larger than the size")
+    step = max(1, size - overlap)
+
+    def split(text: str, raw: str | None) -> list[tuple]:
+        out = []
+        for start in range(0, max(0, -(-(len(text) - size) // step)) * step + 1, step):
+            piece = text[start : start + size]
+            at = start + len(piece) - len(piece.lstrip())
+            if piece := piece.strip():
+                out.append((piece, at, at + len(piece), "passage", "{}"))
+        return out
+
+    return split
+
+
+def window_splitter(window: int = 200, step: int = 100):
+    window, step = max(1, window), max(1, step)
+
+    def split(text: str, raw: str | None) -> list[tuple]:
+        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        starts = range(0, max(0, -(-(len(words) - window) // step)) * step + 1, step)
+        cut = [words[k : k + window] for k in starts]
+        return [(" ".join(w for w, _, _ in x), x[0][1], x[-1][2], "passage", "{}") for x in cut if x]
+
+    return split
+
+
 def section_splitter():
     return lambda text, raw: [(x, None, None, "section", "{}") for x in sections(text)]
 
@@ -224,7 +249,8 @@ def act_splitter(config: acts.Config | None = None):
     fallback = recursive_splitter(separators=MARKDOWN)
 
     def split(text: str, raw: str | None) -> list[tuple]:
-        found = acts.chunks(raw, config or acts.Config()) if raw else []
+        # Without a raw content apart, the text itself may be the act's XML.
+        found = acts.chunks(raw or text, config or acts.Config()) if raw or text.lstrip()[:1] == "<" else []
         return [(c.text, None, None, c.kind, c.json()) for c in found] or fallback(text, raw)
 
     return split
@@ -235,5 +261,8 @@ STRATEGIES: dict[str, Callable] = {
     "text_recursive": recursive_splitter,
     "text_markdown": lambda size=DEFAULT_SIZE, overlap=DEFAULT_OVERLAP: recursive_splitter(size, overlap, MARKDOWN),
     "text_section": section_splitter,
+    "text_sentence": sentence_splitter,
+    "text_fixed": fixed_splitter,
+    "text_sliding_window": lambda window_size=200, step_size=100: window_splitter(window_size, step_size),
     "legal_xml": act_splitter,
 }

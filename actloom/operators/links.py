@@ -25,9 +25,9 @@ def chunk_links(links: DataFrame, key: str) -> DataFrame:
     return pick(links.withColumn("normalized_url", normalize_url(F.col("url"))), [key, "normalized_url"], [F.col("pos")])
 
 
-def same_origin(parent_url, child_url):
-    """Whether a child may be crawled from its parent: equal origins; a missing parent rejects."""
-    return F.coalesce(origin(parent_url) == origin(child_url), F.lit(False))
+def same_origin(parent_id, parent_url, child_url):
+    """Whether a child may be crawled: always without a parent; else from an equal origin, so not from a parent that is missing."""
+    return parent_id.isNull() | F.coalesce(origin(parent_url) == origin(child_url), F.lit(False))
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:

@@ -93,7 +93,8 @@ class Registry:
         return own.make(**checked(own.fields, settings))
 
 
-SIZES = (Field("size", "number", 1200, least=1), Field("overlap", "number", 150, least=0))
+SIZES = (Field("chunk_size", "number", 1200, least=1), Field("chunk_overlap", "number", 150, least=0))
+WINDOWS = (Field("window_size", "number", 200, least=1), Field("step_size", "number", 100, least=1))
 
 
 def chunkers() -> Registry:
@@ -101,25 +102,37 @@ def chunkers() -> Registry:
     from actloom.operators import chunkers as c
 
     out = Registry("chunker")
-    out.add(lambda: Strategy("text_recursive", "Recursive", c.STRATEGIES["text_recursive"], SIZES))
-    out.add(lambda: Strategy("text_markdown", "Markdown", c.STRATEGIES["text_markdown"], SIZES))
+    sized = lambda make: lambda chunk_size=1200, chunk_overlap=150: make(chunk_size, chunk_overlap)
+    for name, label in (("text_recursive", "Recursive"), ("text_markdown", "Markdown"), ("text_sentence", "Sentences"), ("text_fixed", "Fixed size")):
+        out.add(lambda name=name, label=label: Strategy(name, label, sized(c.STRATEGIES[name]), SIZES))
+    out.add(lambda: Strategy("text_sliding_window", "Sliding window", c.STRATEGIES["text_sliding_window"], WINDOWS))
     out.add(lambda: Strategy("text_section", "Section (headers)", c.STRATEGIES["text_section"]))
     out.add(lambda: Strategy("legal_xml", "Act structure", c.STRATEGIES["legal_xml"]))
     return out
 
 
 def register_functions(spark) -> None:
-    """The library's functions for SQL: scalar ones as UDFs where SQL has none, chunkers as table functions."""
+    """The chunkers as table functions of SQL, `chunk_<name>(text[, settings as JSON])`.
+
+    They are evaluated in Arrow batches of rows.
+    """
+    import json
+
     from pyspark.sql.functions import udtf
 
-    def table_function(split):
+    def table_function(own: Strategy):
         class Chunks:
-            def eval(self, text: str):
+            def __init__(self):
+                self.made: dict = {}
+
+            def eval(self, text: str, settings: str = None):
                 if text and text.strip():
-                    for k, row in enumerate(split(text, None)):
-                        yield (k, row[0], row[1], row[2])
+                    if settings not in self.made:
+                        self.made[settings] = own.make(**checked(own.fields, json.loads(settings) if settings else {}))
+                    for k, row in enumerate(self.made[settings](text, None)):
+                        yield (k, row[0], row[1], row[2], row[3], row[4])
 
-        return udtf(Chunks, returnType="chunk_index int, text string, start_offset int, end_offset int")
+        return udtf(Chunks, returnType="chunk_index int, text string, start_offset int, end_offset int, chunk_type string, metadata string", useArrow=True)
 
     for own in chunkers().listed():
-        spark.udtf.register(f"chunk_{own.name}", table_function(own.make()))
+        spark.udtf.register(f"chunk_{own.name}", table_function(own))

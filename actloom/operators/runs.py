@@ -59,10 +59,15 @@ def with_status(run: dict, status: str, now: datetime | None = None) -> dict:
 
 
 def web_seeds(runs: DataFrame) -> DataFrame:
-    """(pipeline_id, source_type, seed) of each run: its one URL with a scheme, or each of its paths."""
-    web = runs.where("dataset.source_type = 'web'").select("pipeline_id", F.lit("web").alias("source_type"), ensure_scheme(F.col("dataset.url")).alias("seed"))
-    local = runs.where("dataset.source_type = 'local'").select("pipeline_id", F.lit("local").alias("source_type"), F.explode("dataset.paths").alias("seed"))
-    return web.unionByName(local)
+    """(pipeline_id, source_type, seed) of each run: its one URL with a scheme, or each of its paths.
+
+    A run of another source type, or a web run without a URL, is an error of the query that reads its seeds.
+    """
+    kind, url = F.col("dataset.source_type"), F.col("dataset.url")
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} in run "), F.coalesce("pipeline_id", F.lit("NULL")))).cast("array<string>")
+    web = F.when(F.coalesce(url, F.lit("")) == "", wrong("no seed URL")).otherwise(F.array(ensure_scheme(url)))
+    seeds = F.when(kind == "web", web).when(kind == "local", F.col("dataset.paths")).otherwise(wrong("unknown source type"))
+    return runs.select("pipeline_id", kind.alias("source_type"), F.explode(seeds).alias("seed"))
 
 
 def setting(path: str, default: str) -> Column:

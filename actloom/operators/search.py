@@ -49,9 +49,13 @@ def fuse(lists: list[DataFrame], k: int = RRF_K, top: int | None = None, digits:
 
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits (query_id, id, score, rank) with the chunk's document, index, text and the document's URL; NULLs where the chunk is gone."""
-    own = pick(chunks.select(F.col("chunk_id").alias("id"), "document_id", "chunk_index", "text").where("chunk_id is not null"), ["id"], [F.col("chunk_index")])
-    urls = pick(documents.select("document_id", "source_url").where("document_id is not null"), ["document_id"], [F.col("source_url")])
-    return hits.join(own, "id", "left").join(urls, "document_id", "left")
+    # Only the rows of hits are reduced: their ids reach the scans first, so no other text is moved.
+    ids = hits.select("id").distinct()
+    found = chunks.select(F.col("chunk_id").alias("id"), "document_id", "chunk_index", "text").join(ids, "id", "left_semi")
+    own = pick(found, ["id"], [F.col("chunk_index")])
+    named = hits.join(own, "id", "left")
+    pages = documents.select("document_id", "source_url").join(own.select("document_id").where("document_id is not null").distinct(), "document_id", "left_semi")
+    return named.join(pick(pages, ["document_id"], [F.col("source_url")]), "document_id", "left")
 
 
 def result_rows(hits: DataFrame, queries: DataFrame, group: Column | None = None, metadata: Column | None = None) -> DataFrame:
@@ -173,24 +177,30 @@ def semantic(queries: DataFrame, unique: DataFrame, k: int = DEFAULT_TOP_K, dim:
 
 
 def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, method=None, top_k=None, reranker_top_k=None, scorer=overlap_score) -> DataFrame:
-    """Result rows of all queries under a strategy; ValueError for parameters that are none."""
+    """Result rows of all queries under a strategy, reranked where asked for; ValueError for parameters that are none.
+
+    Hits are found once and written before they are looked up.
+    """
     strategy, k = parse_strategy(method), parse_top_k(top_k)
     if strategy is None or k is None:
         raise ValueError(f"no such search: method {method!r}, topK {top_k!r}")
     # Read several times: reduced to one row per chunk once, and kept in the shared folder.
-    unique = Workspace(chunks.sparkSession, "search").write(bm25.distinct_texts(chunks), "texts")
+    work = Workspace(chunks.sparkSession, "search")
+    unique = work.write(bm25.distinct_texts(chunks), "texts")
     if strategy == "keyword":
         hits = bm25.bm25_top_k(queries, unique, k, distinct=True).withColumnRenamed("chunk_id", "id")
     elif strategy == "semantic":
         hits = semantic(queries, unique, k)
     else:
         hits = hybrid(queries, unique, k)
-    rows = result_rows(hydrate(hits, chunks, documents), queries)
+    rows = result_rows(hydrate(work.write(hits, "hits"), chunks, documents), queries)
     if reranker_top_k is None:
         return rows
+    if strategy != "hybrid":
+        return rows  # only a hybrid search is reranked
     r = parse_top_k(reranker_top_k, None)
-    if r is None or strategy != "hybrid":
-        raise ValueError("reranking needs a hybrid search and a number of results")
+    if r is None:
+        raise ValueError(f"no such number of results: {reranker_top_k!r}")
     again = rerank(rows.select(F.col("source_id").alias("query_id"), "query_text", F.col("chunk_id").alias("id"), "chunk_text", "score", "rank"), r, scorer)
     rest = rows.drop("score", "rank").alias("a")
     return again.alias("b").join(rest, (F.col("a.source_id") == F.col("b.query_id")) & (F.col("a.chunk_id") == F.col("b.id"))).select("a.*", "b.score", "b.rank")

@@ -65,6 +65,13 @@ def fully_embedded(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.select("document_id").where("document_id is not null").distinct().join(state, "document_id", "left").select("document_id", F.coalesce("every", F.lit(True)).alias("all_embedded"))
 
 
+def marked_embedded(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks, those of the given ids (`chunk_id`) with the status embedded; ids that are NULL or unknown mark none."""
+    hit = ids.select("chunk_id").where("chunk_id is not null").distinct().withColumn("_hit", F.lit(True))
+    joined = chunks.join(hit, "chunk_id", "left")
+    return joined.withColumn("status", F.when(F.col("_hit"), "embedded").otherwise(F.col("status"))).drop("_hit")
+
+
 def completed(runs: DataFrame, targets: DataFrame) -> DataFrame:
     """(pipeline_id, n_active, complete): a run is complete without active targets and with all scheduled embeddings done."""
     active = active_counts(targets).select("pipeline_id", "n_active")

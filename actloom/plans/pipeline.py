@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actloom.functions import text as T
 from actloom.functions import urls as U
 from actloom.io import table
+from actloom.operators import act_xml as act_writer
 from actloom.operators import chunkers, keyed, links, runs, state
 from actloom.operators.acts import Config
 from actloom.sources import parsers
@@ -39,11 +41,11 @@ def url_sql(source: str) -> str:
 
 
 def url_origin_gate(spark, folder):
-    """Each link with whether its origin is that of the document it stands in; a missing document rejects."""
+    """Each link with whether it may be crawled: without a document always, else from the origin of its document, so not from a missing one."""
     documents = keyed.pick(q(spark, folder, "documents").select("document_id", "source_url").where("document_id is not null"), ["document_id"], [F.col("source_url")])
     own = keyed.pick(q(spark, folder, "links").select("link_id", "source_document_id", "normalized_url").where("link_id is not null"), ["link_id"], [F.col("normalized_url")])
     joined = own.withColumn("document_id", F.coalesce("source_document_id", F.concat(F.lit("\0"), "link_id"))).join(documents, "document_id", "left")
-    return joined.select("link_id", links.same_origin(F.col("source_url"), F.col("normalized_url")).alias("allowed"))
+    return joined.select("link_id", links.same_origin(F.col("source_document_id"), F.col("source_url"), F.col("normalized_url")).alias("allowed"))
 
 
 def seed_scheme(spark, folder):
@@ -124,18 +126,15 @@ def chunk_by(name):
 
 
 def act_xml(spark, folder) -> DataFrame:
-    """Legal acts written out as act XML, from their latest records: the input of the act chunker."""
-    acts = keyed.pick(q(spark, folder, "legal_acts").select("act_id", "title", "sections", "source_url", "lang", "received_at").where("act_id is not null"), ["act_id"], [F.col("received_at")], last=True)
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;")
-    section = "array<struct<number:string,display:string,title:string,intro_text:string,subsections:array<struct<index:string,display:string,text:string>>>>"
-    parsed = F.coalesce(F.from_json("sections", section), F.array().cast(section))
-    sub = lambda s: F.concat(F.lit("<loige><loigeNr>"), esc(s["index"]), F.lit("</loigeNr><kuvatavNr>"), esc(s["display"]), F.lit("</kuvatavNr><sisuTekst>"), esc(s["text"]), F.lit("</sisuTekst></loige>"))
-    one = lambda s: F.concat(
-        F.lit("<paragrahv><paragrahvNr>"), esc(s["number"]), F.lit("</paragrahvNr><kuvatavNr>"), esc(s["display"]), F.lit("</kuvatavNr><paragrahvPealkiri>"), esc(s["title"]), F.lit("</paragrahvPealkiri><sisuTekst>"), esc(s["intro_text"]), F.lit("</sisuTekst>"),
-        F.array_join(F.transform(F.coalesce(s["subsections"], F.array().cast("array<struct<index:string,display:string,text:string>>")), sub), ""), F.lit("</paragrahv>"),
-    )
-    xml = F.concat(F.lit("<oigusakt><pealkiri>"), esc(F.col("title")), F.lit("</pealkiri><sisu>"), F.array_join(F.transform(F.filter(parsed, lambda s: s.isNotNull()), one), ""), F.lit("</sisu></oigusakt>"))
-    return acts.select("act_id", F.coalesce("title", F.lit("act")).alias("text"), xml.alias("raw"), "source_url", F.coalesce("lang", F.lit("en")).alias("lang"))
+    """Legal acts written out as act XML, whole, from their latest records: the input of the act chunker."""
+    fields = ["title", "sections", "amendments", "metadata"]
+    acts = keyed.pick(q(spark, folder, "legal_acts").select("act_id", *fields, "document_id", "source_url", "lang", "received_at").where("act_id is not null"), ["act_id"], [F.col("received_at"), *map(F.col, fields)], last=True)
+
+    @F.pandas_udf("string")
+    def xml(title: pd.Series, sections: pd.Series, amendments: pd.Series, metadata: pd.Series) -> pd.Series:
+        return pd.Series([act_writer.write(*x) for x in zip(title, sections, amendments, metadata)], dtype=object)
+
+    return acts.select("act_id", "document_id", F.coalesce("title", F.lit("act")).alias("text"), xml(*fields).alias("raw"), "source_url", F.coalesce("lang", F.lit("en")).alias("lang"))
 
 
 def chunk_legal_xml(spark, folder):
@@ -213,10 +212,10 @@ def run_counters(spark, folder):
 
 
 def mark_embedded(spark, folder):
-    """Chunk statuses after the chunks of all documents under the first hex digit 0 to 7 were embedded."""
+    """Chunk statuses after the chunks of all targets in embedding were embedded."""
     own = state.unique_chunks(q(spark, folder, "chunks").select("chunk_id", "document_id", "status", "created_at"))
-    done = own.where(F.substring("document_id", 1, 1) < "8").select("chunk_id").withColumn("hit", F.lit(True))
-    return own.join(done, "chunk_id", "left").select("chunk_id", F.when(F.col("hit"), "embedded").otherwise(F.col("status")).alias("status"))
+    targets = state.current(q(spark, folder, "targets").select("target_id", "document_id", "status", "updated_at", "created_at")).where("status = 'embedding'")
+    return state.marked_embedded(own, own.join(targets.select("document_id"), "document_id", "left_semi").select("chunk_id")).select("chunk_id", "status")
 
 
 def filter_stage(spark, folder):
@@ -227,10 +226,11 @@ def filter_stage(spark, folder):
 
 
 def vector_upsert(spark, folder):
-    """A collection after new vectors replaced those of the same id: every tenth one negated."""
-    old = q(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
-    new = old.where("vec_id % 10 = 0").select("vec_id", "label", (-F.col("first")).alias("first"))
-    return keyed.upsert(old, new, ["vec_id"]).select("vec_id", "label", F.round("first", 6).alias("first"))
+    """A collection after new vectors replaced those of the same id, every tenth one negated: all components of all vectors."""
+    old = q(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    new = old.where("vec_id % 10 = 0").select("vec_id", "label", F.transform("vector", lambda x: -x).alias("vector"))
+    done = keyed.upsert(old, new, ["vec_id"])
+    return done.select("vec_id", "label", F.posexplode("vector").alias("component", "value")).select("vec_id", "label", "component", F.round("value", 6).alias("value"))
 
 
 def status_counts(spark, folder):
@@ -285,9 +285,10 @@ def latest_status(spark, folder):
 
 
 def upsert_chunks(spark, folder):
-    """Chunks over those of before: texts of new ones win, the status stays, higher indexes of before stay."""
+    """Chunks over those of before: all documents chunked anew at fixed size; texts of new ones win, the status stays, higher indexes of before stay."""
     own = state.unique_chunks(q(spark, folder, "chunks").select("chunk_id", "document_id", "chunk_index", F.sha2("text", 256).alias("text_hash"), "status", "created_at")).where("document_id is not null").drop("created_at", "chunk_id")
-    new = own.where("chunk_index % 2 = 0").select("document_id", "chunk_index", F.sha2(F.concat("text_hash", F.lit("new")), 256).alias("text_hash"), F.lit("pending").alias("status"))
+    documents = keyed.pick(q(spark, folder, "documents").select("document_id", "text").where("document_id is not null"), ["document_id"], [F.col("text")])
+    new = chunkers.fixed(documents, "document_id", size=SIZE, overlap=OVERLAP).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.sha2("text", 256).alias("text_hash"), F.lit("chunked").alias("status"))
     return keyed.upsert(own, new, ["document_id", "chunk_index"], keep=["status"])
 
 
@@ -342,9 +343,12 @@ STATUS_SQL = f"SELECT t.pipeline_id, c.status, count(*) AS n_chunks FROM {CHUNKS
 LINK_MD = "(SELECT source_chunk_id, string_agg(m, '' ORDER BY link_id) AS text FROM (SELECT DISTINCT link_id, source_chunk_id, 'see [' || anchor_text || '](' || raw_url || '), ' AS m FROM links WHERE source_chunk_id IS NOT NULL AND raw_url IS NOT NULL AND coalesce(anchor_text, '') <> '') GROUP BY 1)"
 EXTRACT = rf"SELECT source_chunk_id, i - 1 AS pos, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 1) AS label, regexp_extract(m[i], '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM (SELECT source_chunk_id, regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)') AS m FROM {LINK_MD}), LATERAL unnest(range(1, len(m) + 1)) AS u(i)"
 
+FIXED_SQL = r"""WITH raw AS (SELECT doc_id, k, substr(text, CAST(k * 1050 + 1 AS BIGINT), 1200) AS r FROM documents, LATERAL unnest(range(0, CAST(greatest(ceil((length(text) - 1200) / 1050.0), 0) AS BIGINT) + 1)) AS u(k) WHERE length(text) > 0),
+cut AS (SELECT doc_id, k, regexp_replace(r, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS text, k * 1050 + length(r) - length(regexp_replace(r, '^[\s\x{85}\p{Z}]+', '')) AS start_offset FROM raw)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, text, start_offset, start_offset + length(text) AS end_offset FROM cut WHERE text <> ''"""
 # Sentence ends are marked by a private character: control characters stand in some texts. The walk keeps the next sentence i, the first one s of the chunk being packed, and its length n.
 SENTENCE_SQL = rf"""
-WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_replace(x, '^[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
 walk(doc_id, p, i, s, n, chunk) AS (
   SELECT doc_id, p, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM parts WHERE len(p) > 0
   UNION ALL
@@ -358,7 +362,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS c
 
 SQL = {
     "url_normalize": f"SELECT DISTINCT u AS raw_url, norm AS url, s0 || '://' || n AS origin FROM {url_sql('(SELECT raw_url AS u FROM links WHERE raw_url IS NOT NULL)')}",
-    "url_origin_gate": rf"""SELECT link_id, coalesce(lower(regexp_extract(d.source_url, '{PARTS}', 1)) || '://' || lower(regexp_extract(d.source_url, '{PARTS}', 2)) = lower(regexp_extract(l.u, '{PARTS}', 1)) || '://' || lower(regexp_extract(l.u, '{PARTS}', 2)), false) AS allowed
+    "url_origin_gate": rf"""SELECT link_id, l.source_document_id IS NULL OR coalesce(lower(regexp_extract(d.source_url, '{PARTS}', 1)) || '://' || lower(regexp_extract(d.source_url, '{PARTS}', 2)) = lower(regexp_extract(l.u, '{PARTS}', 1)) || '://' || lower(regexp_extract(l.u, '{PARTS}', 2)), false) AS allowed
 FROM (SELECT link_id, min(source_document_id) AS source_document_id, min(normalized_url) AS u FROM links WHERE link_id IS NOT NULL GROUP BY 1) l LEFT JOIN {DOCS} d ON d.document_id = l.source_document_id""",
     "seed_scheme": "SELECT pipeline_id, 'web' AS source_type, CASE WHEN regexp_matches(dataset.url, '^https?://') THEN dataset.url ELSE 'https://' || dataset.url END AS seed FROM runs WHERE dataset.source_type = 'web' UNION ALL SELECT pipeline_id, 'local', unnest(dataset.paths) FROM runs WHERE dataset.source_type = 'local'",
     "dedup_targets": f"""SELECT DISTINCT o.pipeline_id, l.normalized_url FROM links l JOIN (SELECT document_id, min(pipeline_id) AS pipeline_id FROM {CURRENT} WHERE document_id IS NOT NULL GROUP BY 1) o ON o.document_id = l.source_document_id
@@ -378,9 +382,7 @@ CASE WHEN coalesce(title, '') <> '' THEN regexp_matches(title, '{KW(INCLUDE)}',
 regexp_matches(concat_ws(chr(10), title, text), '{KW(EXCLUDE)}', 'i') AS exc FROM (SELECT doc_id, text, json_extract_string(parser_metadata, '$.title') AS title FROM documents))""",
     "chunk_sliding_window": r"""SELECT doc_id, k AS chunk_index, array_to_string(w[k * 100 + 1:k * 100 + 200], ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^\s\x{85}\x{a0}\p{Z}]+') AS w FROM documents WHERE text IS NOT NULL),
 LATERAL unnest(range(0, CAST(greatest(ceil((len(w) - 200) / 100.0), 0) AS BIGINT) + 1)) AS u(k) WHERE len(w) > 0""",
-    "chunk_fixed": r"""WITH raw AS (SELECT doc_id, k, substr(text, CAST(k * 1050 + 1 AS BIGINT), 1200) AS r FROM documents, LATERAL unnest(range(0, CAST(greatest(ceil((length(text) - 1200) / 1050.0), 0) AS BIGINT) + 1)) AS u(k) WHERE length(text) > 0),
-cut AS (SELECT doc_id, k, regexp_replace(r, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS text, k * 1050 + length(r) - length(regexp_replace(r, '^[\s\x{85}\p{Z}]+', '')) AS start_offset FROM raw)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, text, start_offset, start_offset + length(text) AS end_offset FROM cut WHERE text <> ''""",
+    "chunk_fixed": FIXED_SQL,
     "chunk_sentence": SENTENCE_SQL,
     "chunk_stats_report": f"SELECT chunk_type, count(*) AS n, min(t) AS least, round(avg(t), 1) AS mean, max(t) AS most, count(*) FILTER (t < 100) AS under_100 FROM (SELECT chunk_type, {TOKENS} AS t FROM {CHUNKS}) GROUP BY 1",
     "chunk_largest": f"SELECT chunk_id, {TOKENS} AS tokens FROM {CHUNKS} ORDER BY tokens DESC, chunk_id LIMIT 10",
@@ -404,17 +406,17 @@ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1""",
     "outbox_dedup": "SELECT user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d %H') AS dedup_key, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS deliveries FROM events GROUP BY 1",
     "outbox_pending": "SELECT event_id, event_type FROM events WHERE event_type <> 'error' ORDER BY ts, event_id LIMIT 100",
     "latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY 1",
-    "upsert_chunks": f"SELECT document_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN sha256(sha256(text) || 'new') ELSE sha256(text) END AS text_hash, status FROM {CHUNKS} WHERE document_id IS NOT NULL",
+    "upsert_chunks": f"SELECT document_id, chunk_index, coalesce(n.text_hash, o.text_hash) AS text_hash, coalesce(o.status, n.status) AS status FROM (SELECT document_id, chunk_index, sha256(text) AS text_hash, status FROM {CHUNKS} WHERE document_id IS NOT NULL) o FULL JOIN (SELECT document_id, CAST(chunk_index AS INT) AS chunk_index, sha256(text) AS text_hash, 'chunked' AS status FROM ({FIXED_SQL.replace('doc_id', 'document_id').replace('FROM documents,', 'FROM (SELECT document_id, min(text) AS text FROM documents WHERE document_id IS NOT NULL GROUP BY 1),')})) n USING (document_id, chunk_index)",
     "upsert_fetches": "SELECT target_id, content_hash, http_status, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY fetched_at DESC NULLS LAST) AS rn FROM fetches WHERE target_id IS NOT NULL) WHERE rn = 1",
     "embed_batches": f"SELECT 'embed:' || document_id || ':' || CAST(CAST(floor(chunk_index / 32) * 32 AS BIGINT) AS VARCHAR) AS event_key, count(*) AS n_chunks FROM {CHUNKS} WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY 1",
     "schedule_links": f"""SELECT 'frontier:' || l.link_id AS dedup_key, o.pipeline_id, l.normalized_url, 'scheduled' AS status FROM (SELECT link_id, arg_min(source_document_id, created_at) AS source_document_id, arg_min(normalized_url, created_at) AS normalized_url, arg_min(status, created_at) AS status FROM links WHERE link_id IS NOT NULL GROUP BY 1) l
 JOIN (SELECT document_id, min(pipeline_id) AS pipeline_id FROM {CURRENT} WHERE document_id IS NOT NULL GROUP BY 1) o ON o.document_id = l.source_document_id JOIN runs r ON r.pipeline_id = o.pipeline_id
 WHERE l.status = 'pending' AND coalesce(json_extract_string(r.actor_configs, '$.schedule_discovered_links.settings.follow_child_links'), 'true') = 'true'""",
     "run_counters": f"SELECT pipeline_id, CAST(sum(n_chunks) AS BIGINT) AS scheduled, CAST(coalesce(sum(n_chunks) FILTER (status = 'embedded'), 0) AS BIGINT) AS completed FROM ({STATUS_SQL}) GROUP BY 1",
-    "mark_embedded": f"SELECT chunk_id, CASE WHEN substr(document_id, 1, 1) < '8' THEN 'embedded' ELSE status END AS status FROM {CHUNKS}",
+    "mark_embedded": f"SELECT chunk_id, CASE WHEN document_id IN (SELECT document_id FROM {CURRENT} WHERE status = 'embedding' AND document_id IS NOT NULL) THEN 'embedded' ELSE status END AS status FROM {CHUNKS}",
     "filter_stage": rf"""SELECT target_id, CASE WHEN ok THEN 'fetched' ELSE 'skipped' END AS status, CASE WHEN NOT ok THEN 'not_relevant' END AS skip_reason FROM (SELECT target_id, regexp_matches(content, '{KW(INCLUDE)}', 'i') AND NOT regexp_matches(content, '{KW(EXCLUDE)}', 'i') AS ok
 FROM (SELECT target_id, arg_max(content, fetched_at) AS content FROM fetches WHERE target_id IS NOT NULL AND content IS NOT NULL GROUP BY 1))""",
-    "vector_upsert": "SELECT vec_id, label, round(CASE WHEN vec_id % 10 = 0 THEN -1 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
+    "vector_upsert": "SELECT vec_id, label, CAST(i - 1 AS INT) AS component, round(CASE WHEN vec_id % 10 = 0 THEN -1 ELSE 1 END * CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, LATERAL unnest(range(1, len(embedding) + 1)) AS u(i)",
     "xml_titles": r"SELECT act_id, regexp_replace(coalesce(title, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title FROM (SELECT act_id, arg_max(title, received_at) AS title FROM legal_acts WHERE act_id IS NOT NULL GROUP BY 1)",
 }
 

@@ -49,10 +49,9 @@ def dense_topk_scoped(spark, folder):
 
 
 def hash_embed(spark, folder):
-    """The embedding of each search input, as its length and first components."""
-    e = vectors.hash_embedding(F.col("text"), normalize=False)
-    own = questions(spark, folder).select("query_id", e.alias("e"))
-    return own.select("query_id", F.round(vectors.norm(F.col("e")), 6).alias("length"), *[F.col("e")[k].alias(f"e{k}") for k in range(4)])
+    """The embedding of each search input, all its components."""
+    own = questions(spark, folder).select("query_id", F.posexplode(vectors.hash_embedding(F.col("text"), normalize=False)).alias("component", "value"))
+    return own.select("query_id", "component", F.round("value", 6).alias("value"))
 
 
 def bm25_topk(spark, folder):
@@ -100,9 +99,9 @@ def rerank(spark, folder):
 
 
 def requests(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """One comparison request: embeddings of the test items of one suite as sources, of another as candidates."""
-    own = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("id"), "suite", vectors.hash_embedding(F.col("text")).alias("vector"))
-    return own.where("suite = 'ruling_match'").drop("suite"), own.where("suite = 'port_law_qa'").drop("suite")
+    """One comparison request: embeddings of all test items, a table of fixed size, as sources and as candidates."""
+    own = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("id"), vectors.hash_embedding(F.col("text")).alias("vector"))
+    return own, own
 
 
 def compare_pairwise(spark, folder):
@@ -158,7 +157,7 @@ def kept_searches(spark, folder) -> DataFrame:
 
 def lab(view):
     def query(spark, folder):
-        return view(history.flattened(kept_searches(spark, folder).where("query_id = 0")))
+        return view(history.flattened(kept_searches(spark, folder), ("query_id",)), ("query_id",))
 
     return query
 
@@ -241,7 +240,7 @@ FROM (SELECT id, list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}
 
 UNIT = "CASE WHEN list_sum(list_transform(e, lambda x: x * x)) = 0 THEN e ELSE list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) END"
 REQUEST = f"(SELECT id, suite, {UNIT} AS v FROM ({embed_sql('(SELECT CAST(item_id AS VARCHAR) AS id, text FROM eval_items)')}) JOIN (SELECT CAST(item_id AS VARCHAR) AS id, suite FROM eval_items) USING (id))"
-PAIRS = f"SELECT a.id AS source_id, b.id AS candidate_id, round(CASE WHEN list_sum(list_transform(a.v, lambda x: abs(x))) * list_sum(list_transform(b.v, lambda x: abs(x))) = 0 THEN NULL ELSE list_cosine_similarity(a.v, b.v) END, 6) AS cosine, round(list_dot_product(a.v, b.v), 6) AS dot, round(list_distance(a.v, b.v), 6) AS euclid, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))), 6) AS manhattan FROM {REQUEST} a, {REQUEST} b WHERE a.suite = 'ruling_match' AND b.suite = 'port_law_qa'"
+PAIRS = f"SELECT a.id AS source_id, b.id AS candidate_id, round(CASE WHEN list_sum(list_transform(a.v, lambda x: abs(x))) * list_sum(list_transform(b.v, lambda x: abs(x))) = 0 THEN NULL ELSE list_cosine_similarity(a.v, b.v) END, 6) AS cosine, round(list_dot_product(a.v, b.v), 6) AS dot, round(list_distance(a.v, b.v), 6) AS euclid, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))), 6) AS manhattan FROM {REQUEST} a, {REQUEST} b"
 SEMANTIC = f"""SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
 SELECT q.id AS query_id, c.id AS id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score FROM (SELECT id, {UNIT} AS v FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')})) q, (SELECT id, {UNIT} AS v FROM ({embed_sql(f'(SELECT chunk_id AS id, text FROM {UNIQUE})')})) c)) WHERE rank <= {TOP_K}"""
 
@@ -254,12 +253,12 @@ FUSED = f"""SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (
 SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM (@A) UNION ALL SELECT query_id, id, rank FROM (@B)) GROUP BY 1, 2)) WHERE rank <= {TOP_K}"""
 HYBRID = FUSED.replace("@A", SEMANTIC).replace("@B", f"SELECT query_id, chunk_id AS id, rank FROM ({bm25_sql()})")
 LAB = f"(SELECT 'cosine' AS search_id, 0 AS selection, * FROM ({COSINE}) UNION ALL SELECT 'euclid', 1, * FROM ({EUCLID}) UNION ALL SELECT 'manhattan', 2, * FROM ({MANHATTAN}))"
-HITS = f"(SELECT selection, rank - 1 AS rank, 'c' || id AS chunk_key, 'd' || (id % 7) AS document_key FROM {LAB} WHERE query_id = 0)"
+HITS = f"(SELECT query_id, search_id, selection, rank - 1 AS rank, 'c' || id AS chunk_key, 'd' || (id % 7) AS document_key FROM {LAB})"
 BAND = "SELECT '{m}' AS metric, CASE WHEN {m} IS NULL THEN NULL WHEN {m} {o} {g} THEN 'good' WHEN {m} {o} {b} THEN 'mid' ELSE 'bad' END AS band FROM p"
 
 SQL = {
     "l2_normalize": f"SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS length, CASE WHEN list_dot_product(v, v) = 0 THEN 0.0 ELSE 1.0 END AS unit FROM {V}",
-    "hash_embed": f"SELECT id AS query_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS length, e[1] AS e0, e[2] AS e1, e[3] AS e2, e[4] AS e3 FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')})",
+    "hash_embed": f"SELECT id AS query_id, CAST(i - 1 AS INT) AS component, e[i] AS value FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')}), LATERAL unnest(range(1, 65)) AS u(i)",
     "dense_topk_cosine": COSINE,
     "dense_topk_dot": dense_sql("list_dot_product(q.v, c.v)", "DESC"),
     "dense_topk_euclid": EUCLID,
@@ -280,9 +279,9 @@ SQL = {
 SELECT h.query_id, n.chunk_id, h.rank FROM h JOIN {CHUNKS} c ON c.chunk_id = h.id JOIN ({NEIGHBOURS}) n ON n.document_id = c.document_id AND n.chunk_index = c.chunk_index) GROUP BY 1, 2""",
     "multi_query_dedup": f"SELECT id, query_id, rank FROM (SELECT chunk_id AS id, query_id, rank, row_number() OVER (PARTITION BY chunk_id ORDER BY query_id, rank) AS rn FROM ({bm25_sql()})) WHERE rn = 1",
     "history_list": f"SELECT l.search_id || '/' || l.query_id AS search_id, r.name AS run_name, r.dataset.name AS dataset_name, CAST(l.query_id AS VARCHAR) AS query_text, n AS result_count, CAST({TOP_K} AS BIGINT) AS top_k, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(l.query_id) AS created_at FROM (SELECT search_id, query_id, count(*) AS n FROM {LAB} GROUP BY 1, 2) l, (SELECT * FROM runs ORDER BY pipeline_id DESC LIMIT 1) r ORDER BY created_at DESC, search_id LIMIT 100",
-    "lab_by_chunk": f"SELECT chunk_key, min(rank) AS best_rank, count(*) AS n_hits, CAST(arg_min(selection, (rank, selection)) AS BIGINT) AS first_selection, string_agg(lpad(rank::VARCHAR, 6, '0') || ':' || lpad(selection::VARCHAR, 4, '0'), ',' ORDER BY rank, selection) AS hits FROM {HITS} GROUP BY 1",
-    "lab_by_document": f"SELECT document_key, min(rank) AS best_rank, count(DISTINCT chunk_key) AS n_chunks, count(*) AS n_hits FROM {HITS} GROUP BY 1",
-    "lab_by_rank": f"SELECT rank, count(*) AS n_hits, string_agg(lpad(selection::VARCHAR, 4, '0') || '=' || chunk_key, ',' ORDER BY selection) AS cells FROM {HITS} GROUP BY 1",
+    "lab_by_chunk": f"SELECT query_id, chunk_key, min(rank) AS best_rank, count(*) AS n_hits, CAST(arg_min(selection, (rank, selection)) AS BIGINT) AS first_selection, string_agg(rank || ':' || selection || ':' || search_id, ',' ORDER BY rank, selection) AS hits FROM {HITS} GROUP BY 1, 2",
+    "lab_by_document": f"SELECT query_id, document_key, min(rank) AS best_rank, count(DISTINCT chunk_key) AS n_chunks, count(*) AS n_hits FROM {HITS} GROUP BY 1, 2",
+    "lab_by_rank": f"SELECT query_id, rank, count(*) AS n_hits, string_agg(selection || '=' || chunk_key, ',' ORDER BY selection) AS cells FROM {HITS} GROUP BY 1, 2",
     "document_labels": r"""SELECT doc_id, CASE WHEN source_url IS NULL THEN 'document ' || substr(document_id, 1, 8) WHEN regexp_replace(p, '/', '', 'g') <> '' THEN regexp_extract(source_url, '^[^?#]*?([^/?#]+)/*(?:[?#].*)?$', 1) WHEN h <> '' THEN h ELSE 'document ' || substr(document_id, 1, 8) END AS label
 FROM (SELECT *, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/+([^?#]*)', 1) AS p, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)', 1) AS h FROM documents)""",
 }

@@ -93,3 +93,60 @@ def test_known_of_the_document_joins_the_metadata(spark):
     df = spark.createDataFrame([(1, "text", "http://a", "et"), (2, "text", None, "")], "k long, text string, url string, lang string")
     got = {r["k"]: r["metadata"] for r in chunkers.chunk_with(df, "k", chunkers.recursive_splitter(), source_url="url", language="lang").collect()}
     assert got == {1: '{"sourceUrl":"http://a","language":"et"}', 2: "{}"}
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    df = spark.createDataFrame([(1, "One. Two. Three."), (1, "Other text.")], "k long, text string")
+    got = sorted((r["chunk_index"], r["text"]) for r in chunkers.fixed(df, "k", size=8, overlap=0).collect())
+    assert set(got) == {(0, "Other te"), (0, "One. Two"), (1, ". Three."), (1, "xt.")} and len(got) == 4
+
+
+def test_sentences_end_before_any_white_space():
+    assert chunkers.packed_sentences("One. Two. Three. ", 5, 0) == ["One.", "Two.", "Three."]
+    long = "A sentence of some words. " * 40_000
+    assert sum(map(len, chunkers.packed_sentences(long, 1200, 150))) > len(long)
+
+
+@given(st.text(alphabet="ab \n.", max_size=200), st.integers(1, 40), st.integers(0, 4))
+def test_splitters_in_python_equal_the_expressions(text, size, overlap):
+    step = max(1, size - overlap)
+    expected = []
+    for k in range(max(0, -(-(len(text) - size) // step)) + 1):
+        raw = text[k * step : k * step + size]
+        if raw.strip():
+            at = k * step + len(raw) - len(raw.lstrip())
+            expected.append((raw.strip(), at, at + len(raw.strip())))
+    if overlap <= size:
+        assert [x[:3] for x in chunkers.fixed_splitter(size, overlap)(text, None)] == expected
+    words = text.split()
+    got = [x[0] for x in chunkers.window_splitter(size, overlap + 1)(text, None)]
+    assert (got == []) == (words == []) and all(" ".join(words[k * (overlap + 1) :][:size]) == x for k, x in enumerate(got))
+
+
+def test_an_act_is_written_whole_and_read_again():
+    import json
+
+    from actloom.operators import act_xml, acts
+
+    sections = [
+        {"number": "1", "display": "§ 1.", "title": "Scope", "intro_text": "Intro & <all>", "path": {"part_number": "I", "chapter_number": "2", "chapter_title": "Ports", "division": {"number": "3", "title": "Quays"}},
+         "subsections": json.dumps([{"index": "1", "display": "(1)", "text": "First", "clauses": [{"number": "1", "display": "1)", "text": "one", "clauses": {"number": "a", "text": "inner"}}]}])},
+        {"number": "2", "title": "End", "path": {"part_number": "I", "chapter_number": "2", "chapter_title": "Ports"}, "subsections": {"index": "1", "text": "Lone"}},
+    ]
+    xml = act_xml.write("Act \x01& more", json.dumps(sections), json.dumps([{"rt_part": "RT I", "published": "2020", "article": "5", "in_force": "2021"}]), json.dumps({"publisher": "Body", "validUntil": {"date": "2030"}}))
+    act = acts.read(xml)
+    assert act.title == "Act & more" and act.metadata == {"publisher": "Body", "validUntil": "2030"} and act.amendments[0].startswith("RT I, 2020, 5 - in force 2021")
+    one, two = act.sections
+    assert one.levels == {"part": ("I", ""), "chapter": ("2", "Ports"), "division": ("3", "Quays")} and two.levels == {"part": ("I", ""), "chapter": ("2", "Ports")}
+    assert one.intro == "Intro & <all>" and [c.text for c in one.items[0].clauses] == ["one", "inner"] and two.items[0].text == "Lone"
+    kinds = [c.kind for c in acts.chunks(xml)]
+    assert {"legal_body", "act_title", "legal_metadata", "amendment_history"} == set(kinds)
+    assert acts.read(act_xml.write(None, None, "[1", None)).sections == []
+
+
+def test_entities_are_refused_wherever_they_are_declared():
+    from actloom.operators import acts
+
+    declared = '<!DOCTYPE a [<!ENTITY x "y">]><oigusakt><pealkiri>A &x;</pealkiri></oigusakt>'
+    assert acts.title_of(declared) == "" and acts.title_of(f"<!--{'x' * 5000}-->{declared}") == ""
+    assert acts.title_of("<oigusakt><!-- <!ENTITY --><pealkiri>A</pealkiri></oigusakt>") == "A"

@@ -66,3 +66,14 @@ def test_media_types(spark):
     assert one(spark, " Application/XHTML+xml ; charset=x", U.media_type) == "application/xhtml+xml"
     assert one(spark, "application/xhtml+xml", U.extension) == "xml" and one(spark, None, U.extension) == "txt"
     assert one(spark, "https://User@Old.Host:8443/x", lambda c: U.tls_relaxed(c, ["old.host"])) is True
+
+
+def test_word_boundaries_of_keywords(spark):
+    import re
+
+    cases = ["uses C++ daily", "C++11", "xC++1", "permit", "permits", "a permit.", "étre", "tre", "#tag", "a#tag b", "ÉTRE x"]
+    words = ["C++", "permit", "tre", "#tag", "étre"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    for w in words:
+        got = [r[0] for r in df.select(T.excluded(F.lit(""), F.col("t"), [w])).collect()]
+        assert got == [bool(re.search(r"\b" + re.escape(w) + r"\b", "\n" + c, re.I)) for c in cases], w

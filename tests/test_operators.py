@@ -118,11 +118,11 @@ def test_runs_and_registry():
     assert '"similarity":"cosine"' in runs.snapshot({"similarity": "odd", "chunk_document": {"chunkSize": "600"}}) and '"chunk_size":600' in runs.snapshot({"chunk_document": {"chunkSize": "600"}})
     assert '"chunk_size":1200' in runs.snapshot({"chunk_document": {"chunk_size": True}})
     own = registry.chunkers()
-    assert [s.name for s in own.listed()] == ["legal_xml", "text_markdown", "text_recursive", "text_section"] and own.build("text_recursive", {"size": "30", "overlap": 0})("a b", None)
+    assert [s.name for s in own.listed()] == ["legal_xml", "text_fixed", "text_markdown", "text_recursive", "text_section", "text_sentence", "text_sliding_window"] and own.build("text_recursive", {"chunk_size": "30", "chunk_overlap": 0})("a b", None)
     with pytest.raises(ValueError):
         own.get("none")
     with pytest.raises(registry.InvalidSetting):
-        own.build("text_recursive", {"size": 0})
+        own.build("text_recursive", {"chunk_size": 0})
 
 
 def test_table_functions(spark):
