@@ -1,22 +1,25 @@
-"""A catalogue of small control tables (datasets, providers, runs, searches) kept as Parquet.
+"""A catalogue of small control tables (datasets, providers, runs, searches) of versions.
 
-Each table is a folder of versions; a write makes a new version and then points
-to it, so a reader sees a whole table, and a write that fails leaves the one
-before. It is the control plane: its tables are of the size of a user's work.
+It is the control plane: its tables are of the size of a user's work. A writer
+that another one came before reads again and repeats its change, so none is lost.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actloom.operators.tables import Conflict, VersionedTable
+
 SCHEMA = "id string, name string, body string, created_at timestamp, updated_at timestamp"
 TABLES = ("datasets", "providers", "runs", "searches", "inputs")
+#: Parameter: how often a change is repeated after others came before it.
+REPEATS = 10
 
 
 class NotFound(KeyError):
@@ -27,22 +30,26 @@ class Store:
     """Create, read, update, delete and list, newest first; ids that are malformed or unknown raise NotFound."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
+    def _versions(self, name: str) -> VersionedTable:
         if name not in TABLES:
             raise ValueError(f"no such table: {name}")
-        pointer = self.folder / name / "current"
-        if not pointer.exists():
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(str(self.folder / name / pointer.read_text()))
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.coalesce(1).write.parquet(str(self.folder / name / version))
-        fresh = self.folder / name / f"{version}.next"
-        fresh.write_text(version)
-        fresh.replace(self.folder / name / "current")
+        return VersionedTable(self.spark, f"{self.folder}/{name}", SCHEMA)
+
+    def table(self, name: str) -> DataFrame:
+        return self._versions(name).read()
+
+    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        table = self._versions(name)
+        for left in range(REPEATS, -1, -1):
+            number = table.version()
+            try:
+                table.write(change(table.read(number)).coalesce(1), number)
+                return
+            except Conflict:
+                if not left:
+                    raise
 
     def _one(self, name: str, body: dict, key: str, created: datetime) -> DataFrame:
         text = json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
@@ -50,7 +57,8 @@ class Store:
 
     def create(self, name: str, body: dict) -> str:
         key = str(uuid.uuid4())
-        self._write(name, self.table(name).unionByName(self._one(name, body, key, datetime.now(timezone.utc))))
+        new = self._one(name, body, key, datetime.now(timezone.utc))
+        self._change(name, lambda rows: rows.unionByName(new))
         return key
 
     def get(self, name: str, key: str) -> dict:
@@ -65,18 +73,17 @@ class Store:
 
     def update(self, name: str, key: str, changes: dict) -> dict:
         body = self.get(name, key) | changes
-        old = self.table(name)
-        created = old.where(F.col("id") == key).first()["created_at"]
-        self._write(name, old.where(F.col("id") != key).unionByName(self._one(name, body, key, created)))
+        created = self.table(name).where(F.col("id") == key).first()["created_at"]
+        new = self._one(name, body, key, created)
+        self._change(name, lambda rows: rows.where(F.col("id") != key).unionByName(new))
         return body
 
     def delete(self, name: str, key: str) -> None:
         """Deleting a run deletes its searches too; vectors are kept."""
         self.get(name, key)
-        self._write(name, self.table(name).where(F.col("id") != key))
+        self._change(name, lambda rows: rows.where(F.col("id") != key))
         if name == "runs":
-            kept = self.table("searches").where(F.coalesce(F.get_json_object("body", "$.pipeline_id") != key, F.lit(True)))
-            self._write("searches", kept)
+            self._change("searches", lambda rows: rows.where(F.coalesce(F.get_json_object("body", "$.pipeline_id") != key, F.lit(True))))
 
     def listed(self, name: str, limit: int = 100) -> DataFrame:
         return self.table(name).orderBy(F.desc("created_at"), "id").limit(limit)

@@ -138,7 +138,7 @@ def scores(metric: str, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the exact k nearest vectors of each query.
 
-    `queries` and `vectors` have `id long` and `vector array<float>`. Queries
+    `queries` and `vectors` have `id` (whole numbers; of vectors also strings) and `vector array<float>`. Queries
     go in blocks of bounded size; each task keeps the k best of each query of
     what it has read, so k rows a query and task are shuffled. Scores are
     rounded before they are ranked; ties go by id; distances come as they are
@@ -150,15 +150,16 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     spark = vectors.sparkSession
     work = Workspace(spark, "dense")
     whole = "id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
-    kept = vectors.select(F.col("id").cast("long").alias("id"), "vector").where(whole)
+    kind = "string" if dict(vectors.dtypes)["id"] == "string" else "long"
+    kept = vectors.select(F.col("id").cast(kind).alias("id"), "vector").where(whole)
     best = None
     for number, block in enumerate(blocks(queries.select(F.col("id").cast("long").alias("id"), "vector").where(whole))):
         for dim in sorted({len(v) for _, v in block}):
             own = [(i, v) for i, v in block if len(v) == dim]
-            found = work.write(block_top_k(spark, own, kept.where(F.size("vector") == dim), k, metric, digits), f"block{number}-{dim}")
+            found = work.write(block_top_k(spark, own, kept.where(F.size("vector") == dim), k, metric, digits, kind), f"block{number}-{dim}")
             best = found if best is None else best.unionByName(found)
     if best is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
+        return spark.createDataFrame([], f"query_id long, id {kind}, score double, rank long")
     return best
 
 
@@ -174,13 +175,14 @@ def blocks(queries: DataFrame, kind: str = "long") -> Iterator[list]:
         yield held
 
 
-def block_top_k(spark, block: list, vectors: DataFrame, k: int, metric: str, digits: int) -> DataFrame:
+def block_top_k(spark, block: list, vectors: DataFrame, k: int, metric: str, digits: int, kind: str = "long") -> DataFrame:
     sent = spark.sparkContext.broadcast((np.array([x for x, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = sent.value
         top_s = np.empty((len(ids), 0))
-        top_i = np.empty((len(ids), 0), dtype=np.int64)
+        typed = np.int64 if kind == "long" else np.str_  # strings of one width, which sort by code point as in the JVM below the surrogates
+        top_i = np.empty((len(ids), 0), dtype=typed)
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
@@ -188,13 +190,13 @@ def block_top_k(spark, block: list, vectors: DataFrame, k: int, metric: str, dig
                     continue
                 s = np.round(scores(metric, np.stack(part["vector"].to_numpy()).astype(np.float64), matrix), digits)
                 top_s = np.concatenate([top_s, s], axis=1)
-                top_i = np.concatenate([top_i, np.broadcast_to(part["id"].to_numpy(), s.shape)], axis=1)
+                top_i = np.concatenate([top_i, np.broadcast_to(part["id"].to_numpy().astype(typed), s.shape)], axis=1)
                 order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
                 top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
         if top_i.shape[1]:
             fine = np.isfinite(top_s)
             yield pd.DataFrame({"query_id": np.repeat(ids, top_i.shape[1])[fine.ravel()], "id": top_i[fine], "score": top_s[fine]})
 
-    local = vectors.mapInPandas(run, "query_id long, id long, score double")
+    local = vectors.mapInPandas(run, f"query_id long, id {kind}, score double")
     ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
     return ranked.withColumn("score", -F.col("score") if metric in ("euclid", "manhattan") else F.col("score"))
