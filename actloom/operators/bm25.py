@@ -38,9 +38,13 @@ def simple(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+# Endings, what stands for them, and the length of the words they are taken from.
+ENDINGS = (("ational", "ate", 9), ("ization", "ize", 9), ("fulness", "ful", 9), ("iveness", "ive", 9), ("sses", "ss", 5), ("ies", "y", 5), ("ing", "", 6), ("edly", "", 7), ("ed", "", 5), ("ly", "", 5), ("ment", "", 8))
+
+
 def stem(word: str) -> str:
     """A light suffix stemmer in the manner of Porter's: plurals, -ed, -ing, -ly and common endings."""
-    for end, new, least in (("ational", "ate", 9), ("ization", "ize", 9), ("fulness", "ful", 9), ("iveness", "ive", 9), ("sses", "ss", 5), ("ies", "y", 5), ("ing", "", 6), ("edly", "", 7), ("ed", "", 5), ("ly", "", 5), ("ment", "", 8)):
+    for end, new, least in ENDINGS:
         if word.endswith(end) and len(word) >= least:
             word = word[: -len(end)] + new
             return word[:-1] if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz" and not new else word

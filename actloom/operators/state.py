@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.operators.keyed import pick
+from actloom.operators.running import running_total
 
 # Statuses from which a target can make no more work.
 FINISHED = ("processed", "skipped", "skipped_unsupported", "failed_transient", "failed_permanent", "failed")
@@ -45,6 +46,18 @@ def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.asc_nulls_last("created_at"), "target_id").offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def page_with_total(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page whose rows carry the number of all rows, which is counted while the page is planned."""
+    return page(rows, limit, offset).withColumn("total", F.lit(rows.count()).cast("long"))
+
+
+def in_order(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, place): the chunks of each document by their index, from 1, over buckets of the index."""
+    own = chunks.withColumn("one", F.lit(1).cast("long"))
+    counted = running_total(own, ["document_id"], F.shiftright(F.coalesce("chunk_index", F.lit(-1)), 12), ["chunk_index", "chunk_id"], "one", "before")
+    return counted.select("document_id", "chunk_id", (F.col("before") + 1).alias("place"))
+
+
 def active_counts(targets: DataFrame) -> DataFrame:
     """(pipeline_id, n_targets, n_active): targets of each run, and those that may still make work."""
     own = current(targets.select("target_id", "pipeline_id", "status", "updated_at", "created_at"))

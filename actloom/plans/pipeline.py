@@ -125,6 +125,27 @@ def chunk_by(name):
     return query
 
 
+def checked(name, size, overlap):
+    """Each document by a splitter: whether its chunks fit the size where they have inner blanks, are the texts at their offsets in rising order, and leave out nothing but white space."""
+
+    def query(spark, folder):
+        own = texts(spark, folder)
+        found = chunkers.chunk_with(own, "doc_id", chunkers.STRATEGIES[name](size, overlap)).where("start_offset is not null").join(own.select("doc_id", F.col("text").alias("whole")), "doc_id")
+        cut = F.substring("whole", (F.col("start_offset") + 1).cast("int"), (F.col("end_offset") - F.col("start_offset")).cast("int"))
+        placed = found.select("doc_id", "whole", "start_offset", "end_offset", (cut == F.col("text")).alias("placed"), ((F.length("text") <= size) | ~F.col("text").contains(" ")).alias("fits"))
+        spans = F.array_sort(F.collect_list(F.struct("start_offset", "end_offset")))
+        # What is left between a chunk and the next, and after the last one.
+        step = lambda acc, x: F.struct(F.concat(acc["gaps"], F.when(x["start_offset"] > acc["at"], F.substring("whole", (acc["at"] + 1).cast("int"), (x["start_offset"] - acc["at"]).cast("int"))).otherwise("")).alias("gaps"), F.greatest(acc["at"], x["end_offset"]).alias("at"))
+        zero = F.struct(F.lit("").alias("gaps"), F.lit(0).cast("long").alias("at"))
+        one = placed.groupBy("doc_id", "whole").agg(F.min("placed").alias("placed"), F.min("fits").alias("fits"), spans.alias("spans"))
+        left = one.withColumn("x", F.aggregate("spans", zero, step))
+        rest = F.concat("x.gaps", F.expr("substring(whole, cast(x.at + 1 as int))"))
+        return left.select("doc_id", "placed", "fits", (F.regexp_replace(rest, r"(?U)[\s\x1c-\x1f]+", "") == "").alias("covered"))
+
+    query.__doc__ = checked.__doc__
+    return query
+
+
 def act_xml(spark, folder) -> DataFrame:
     """Legal acts written out as act XML, whole, from their latest records: the input of the act chunker."""
     fields = ["title", "sections", "amendments", "metadata"]
@@ -330,7 +351,7 @@ QUERIES = {
         status_counts, embedding_rollup, targets_page, target_chunks, active_targets, finalize_targets, documents_embedded, run_completion, outbox_dedup, outbox_pending,
         latest_status, upsert_chunks, schedule_links, run_counters, mark_embedded, filter_stage, vector_upsert, upsert_fetches, embed_batches, html_to_text, xml_parse, xml_titles, chunk_legal_xml,
     )
-} | {f"chunk_{n}": chunk_by(f"text_{n}") for n in ("recursive", "markdown", "section")}
+} | {f"chunk_{n}": chunk_by(f"text_{n}") for n in ("recursive", "markdown", "section")} | {f"chunk_{n}_checked": checked(f"text_{n}", SIZE, OVERLAP) for n in ("recursive", "markdown")}
 
 CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST) AS rn FROM targets WHERE target_id IS NOT NULL) WHERE rn = 1)"
 CHUNKS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
@@ -384,6 +405,7 @@ regexp_matches(concat_ws(chr(10), title, text), '{KW(EXCLUDE)}', 'i') AS exc FRO
 LATERAL unnest(range(0, CAST(greatest(ceil((len(w) - 200) / 100.0), 0) AS BIGINT) + 1)) AS u(k) WHERE len(w) > 0""",
     "chunk_fixed": FIXED_SQL,
     "chunk_sentence": SENTENCE_SQL,
+    **{f"chunk_{n}_checked": r"SELECT doc_id, true AS placed, true AS fits, true AS covered FROM documents WHERE doc_id IS NOT NULL AND regexp_replace(text, '[\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]+', '', 'g') <> ''" for n in ("recursive", "markdown")},
     "chunk_stats_report": f"SELECT chunk_type, count(*) AS n, min(t) AS least, round(avg(t), 1) AS mean, max(t) AS most, count(*) FILTER (t < 100) AS under_100 FROM (SELECT chunk_type, {TOKENS} AS t FROM {CHUNKS}) GROUP BY 1",
     "chunk_largest": f"SELECT chunk_id, {TOKENS} AS tokens FROM {CHUNKS} ORDER BY tokens DESC, chunk_id LIMIT 10",
     "metadata_merge": f"""WITH j AS (SELECT c.chunk_id, coalesce(d.parser_metadata, '{{}}') AS a, coalesce(c.chunk_metadata, '{{}}') AS b FROM {CHUNKS} c JOIN {DOCS} d USING (document_id)),

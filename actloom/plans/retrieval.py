@@ -228,6 +228,27 @@ s AS (SELECT query_id, chunk_id, round(-sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM s) WHERE rank <= {TOP_K}"""
 
 
+def stem_sql(t: str) -> str:
+    """The stem of a term, by the endings of the analyzer."""
+    cases = []
+    for end, new, least in bm25.ENDINGS:
+        base = f"substr({t}, 1, length({t}) - {len(end)})"
+        short = f"CASE WHEN length({base}) > 3 AND right({base}, 1) = substr({base}, length({base}) - 1, 1) AND right({base}, 1) NOT IN ('l', 's', 'z') THEN substr({base}, 1, length({base}) - 1) ELSE {base} END"
+        cases.append(f"WHEN suffix({t}, '{end}') AND length({t}) >= {least} THEN " + (f"{base} || '{new}'" if new else short))
+    return f"CASE {' '.join(cases)} WHEN suffix({t}, 's') AND NOT (suffix({t}, 'ss') OR suffix({t}, 'us') OR suffix({t}, 'is')) AND length({t}) > 3 THEN substr({t}, 1, length({t}) - 1) ELSE {t} END"
+
+
+def english_sql() -> str:
+    """BM25 over stems, without stop words."""
+    stop = ", ".join(f"'{w}'" for w in sorted(bm25.STOP))
+    kept = lambda source, key: f"SELECT {key}, {stem_sql('t')} AS t FROM ({source}) WHERE t NOT IN ({stop})"
+    plain = bm25_sql()
+    tokens = rf"SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS t FROM {UNIQUE}"
+    asked = r"SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM eval_items"
+    assert tokens in plain and asked in plain
+    return plain.replace(f"({tokens})", f"({kept(tokens, 'chunk_id')})").replace(f"({asked})", f"(SELECT DISTINCT query_id, t FROM ({kept(asked, 'query_id')}))")
+
+
 SCOPE = f"WHERE chunk_id IN (SELECT c.chunk_id FROM chunks c JOIN {CURRENT} t USING (document_id) WHERE t.pipeline_id = (SELECT min(pipeline_id) FROM runs))"
 NEIGHBOURS = f"SELECT a.document_id, CAST(a.chunk_index AS BIGINT) AS chunk_index, CAST(b.chunk_index AS BIGINT) AS neighbour_index, b.chunk_id FROM {CHUNKS} a JOIN {CHUNKS} b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) = 1"
 
@@ -254,6 +275,10 @@ SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT quer
 HYBRID = FUSED.replace("@A", SEMANTIC).replace("@B", f"SELECT query_id, chunk_id AS id, rank FROM ({bm25_sql()})")
 LAB = f"(SELECT 'cosine' AS search_id, 0 AS selection, * FROM ({COSINE}) UNION ALL SELECT 'euclid', 1, * FROM ({EUCLID}) UNION ALL SELECT 'manhattan', 2, * FROM ({MANHATTAN}))"
 HITS = f"(SELECT query_id, search_id, selection, rank - 1 AS rank, 'c' || id AS chunk_key, 'd' || (id % 7) AS document_key FROM {LAB})"
+TERMS = lambda t: rf"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+'))"
+RERANK = f"""WITH h AS (SELECT h.query_id, h.id, h.rank, e.text AS q, c.text AS t FROM ({HYBRID}) h JOIN eval_items e ON e.item_id = h.query_id LEFT JOIN {CHUNKS} c ON c.chunk_id = h.id),
+s AS (SELECT *, len(list_intersect({TERMS('q')}, {TERMS('t')})) / CAST(greatest(1, len({TERMS('q')})) AS DOUBLE) AS score FROM h WHERE trim(coalesce(t, '')) <> '')
+SELECT CAST(query_id AS VARCHAR) AS source_id, id AS chunk_id, score, new AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new FROM s) WHERE new <= 5"""
 BAND = "SELECT '{m}' AS metric, CASE WHEN {m} IS NULL THEN NULL WHEN {m} {o} {g} THEN 'good' WHEN {m} {o} {b} THEN 'mid' ELSE 'bad' END AS band FROM p"
 
 SQL = {
@@ -265,6 +290,8 @@ SQL = {
     "dense_topk_scoped": dense_sql("list_cosine_similarity(q.v, c.v)", "DESC", "AND c.label = 3"),
     "bm25_topk": bm25_sql(),
     "bm25_topk_scoped": bm25_sql(SCOPE),
+    "bm25_english": english_sql(),
+    "rerank": RERANK,
     "rrf_fuse": FUSED.replace("@A", f"SELECT query_id, CAST(id AS VARCHAR) AS id, rank FROM ({COSINE})").replace("@B", f"SELECT query_id, CAST(id AS VARCHAR) AS id, rank FROM ({MANHATTAN})"),
     "hybrid_search": f"SELECT CAST(h.query_id AS VARCHAR) AS source_id, e.text AS query_text, h.score, h.id AS chunk_id, c.document_id, CAST(c.chunk_index AS BIGINT) AS chunk_index, CAST(NULL AS VARCHAR) AS \"group\", c.text AS chunk_text, d.source_url, CAST(NULL AS VARCHAR) AS metadata, h.rank FROM ({HYBRID}) h JOIN eval_items e ON e.item_id = h.query_id LEFT JOIN {CHUNKS} c ON c.chunk_id = h.id LEFT JOIN documents d ON d.document_id = c.document_id",
     "semantic_hydrate": hydrated(SEMANTIC),
