@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import prod
@@ -31,6 +32,17 @@ from pyspark.sql import functions as F
 # Name parts of the corpus languages, by gender.
 GIVEN_F = "Aveli Birgit Dagny Elsbeth Helmi Ingel Katrin Kerttu Liisel Maarika Merle Nora Renate Salme Siret Tiiu".split()
 GIVEN_M = "Anton Artur Emil Hugo Joosep Juhan Konrad Leopold Marten Oskar Paavo Rainer Silvan Torvald Viktor Villem".split()
+# Common given names of English, German, Estonian and Russian (in both scripts).
+COMMON_F = (
+    "Anna Maria Mary Elizabeth Sarah Emma Julia Laura Lisa Susan Karen Linda Barbara Margaret Jennifer Jessica Emily Alice Charlotte Sophie Olivia Grace Helen Ruth Jane Kate Claire Rachel "
+    "Angela Petra Sabine Monika Claudia Andrea Stefanie Ursula Heike Ingrid Greta Hanna Lena Mia Tiina Kersti Anu Pille Ene Malle Riina Kadri Liis Piret Triin Aino "
+    "Olga Elena Natalia Tatiana Irina Svetlana Ekaterina Ludmila Ольга Елена Наталья Татьяна Ирина Светлана Екатерина Людмила Мария Анна"
+).split()
+COMMON_M = (
+    "John James William Robert David Richard Thomas Michael Charles George Paul Peter Mark Daniel Andrew Edward Henry Stephen Matthew Joseph Samuel Benjamin Philip Simon Martin Alexander Oliver Jack Harry "
+    "Hans Klaus Jürgen Wolfgang Uwe Stefan Andreas Christian Markus Sebastian Florian Lukas Jonas Felix Otto Karl Heinz Dieter Jaan Peeter Mart Toomas Rein Andres Urmas Margus Tarmo Indrek Priit Kalle Jüri Tõnu Ants "
+    "Ivan Sergei Dmitri Vladimir Nikolai Andrei Alexei Mikhail Igor Oleg Иван Сергей Дмитрий Владимир Николай Андрей Алексей Михаил Игорь Олег"
+).split()
 STEMS = "aru halli hein hõbe kadas kivi kuus linnu lõhe mured pihel raud rebas sinik soo tamme tuule udu vaher varre".split()
 ENDINGS = "kivist lehtsoo mäesk nurmik ojandi palumets põldur rannap saareste tähik vald veskitar".split()
 STREETS = "Heinakuhja Kaevu Kärestiku Lepiku Liivaluite Meremärgi Pärnaku Savikoja Tiigiserva Turuplatsi Uusraja Vanaveski".split()
@@ -39,8 +51,8 @@ FIRM = re.compile(r"\s*(?:&|Trading|Partners|AS\b|OÜ\b|MTÜ\b|TÜ\b|GmbH\b|AG\b
 BEFORE_NOT_A_PERSON = re.compile(r"(?:Saint|St\.?|Sankt|Püha|Vessel|MV|MS|SS|Schiff|laev)\s$")
 VESSEL_NUMBER = re.compile(r"\s(?:II|III|IV|V)\b")
 
-UPPER = "A-ZÀ-ÖØ-ÞŠŽ"
-LOWER = "a-zà-öø-ÿšž"
+UPPER = "A-ZÀ-ÖØ-ÞŠŽА-ЯЁ"
+LOWER = "a-zà-öø-ÿšžа-яё"
 WORD = f"[{UPPER}][{LOWER}]+"
 
 
@@ -52,7 +64,6 @@ def lowered(text: str) -> str:
 
 # --- e-mail ------------------------------------------------------------------
 AT = re.compile(r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", re.I)
-LOCAL_END = re.compile(r"[\w.+%-]*[\w+%-]\Z")
 PLAIN_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,24}(?![\w-])")
 SPELT_DOMAIN = re.compile(r"[\w-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\})\s?[\w-]+)*\s?(?:\[dot\]|\(dot\)|\{dot\})\s?[^\W\d_]{2,24}(?![\w-])", re.I)
 
@@ -65,13 +76,14 @@ def emails(text: str) -> list[tuple[int, int]]:
         mark = m[0].strip()
         if mark == "@" and (m[0][0] == " ") != (m[0][-1] == " ") or "\n" in m[0]:
             continue
-        left = LOCAL_END.search(text, max(0, m.start() - 80), m.start())
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+            start -= 1
+        while start < m.start() and text[start] in ".-%+":
+            start += 1
         right = PLAIN_DOMAIN.match(text, m.end()) or (mark != "@" and SPELT_DOMAIN.match(text, m.end())) or None
-        if not left or not right:
+        if start == m.start() or text[m.start() - 1] == "." or not right:
             continue
-        start = left.start()
-        while text[start] in ".-%+" and start < m.start():
-            start += 1
         out.append((start, right.end()))
     return out
 
@@ -140,6 +152,7 @@ def phones(text: str) -> list[tuple[int, int]]:
 PLACE = "(?:" + "|".join(PLACES) + ")"
 TAIL = re.compile(
     rf"(?:,[ \n\xa0]|[ ]?\n|,\n)\d{{5}} (?:{PLACE}|{WORD}(?: {WORD})?)(?: vald\b)?"
+    rf"|(?:,[ \n\xa0]{WORD}(?:[ -]{WORD}){{0,2}}){{1,2}},?[ \n\xa0][A-Z]{{1,2}}\d[A-Z\d]? ?\d[A-Z]{{2}}(?!\w)"
     rf"|,[ \n\xa0]{PLACE}(?: \d{{5}}(?!\d))?(?: vald\b)?|,[ \n\xa0]{WORD} (?:vald\b|\d{{5}}(?!\d))"
 )
 NUMBER = re.compile(r"(?<![\w.,/-])\d{1,4}[A-Za-z]?(?:-\d{1,4}[A-Za-z]?)?(?![\w/]|[.,]\d|-\d)")
@@ -152,6 +165,16 @@ STREET_AFTER = re.compile(rf"[ \n\xa0](?:[{UPPER}][{LOWER}]+(?:'s)?[ \n\xa0]){{1
 FLAT = re.compile(r"Flat \d{1,4}[A-Z]?,[ \n\xa0]\Z")
 
 
+def words_back(text: str, low: int, at: int, n: int) -> int:
+    """Where the last n words before a place begin, however long they are, but not before `low`."""
+    width = 60
+    while True:
+        start = max(low, at - width)
+        if start == low or len(text[start:at].split()) > n:
+            return start
+        width *= 4
+
+
 def addresses(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     upto = 0
@@ -159,7 +182,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
         if m.start() < upto:
             continue
         start, end = m.span()
-        before = STREET_BEFORE.search(text, max(upto, start - 60), start) if text[start - 1 : start] in (" ", "\n") and start else None
+        before = STREET_BEFORE.search(text, words_back(text, upto, start, 4), start) if text[start - 1 : start] in (" ", "\n") and start else None
         if before and not NOT_A_STREET.search(text, max(0, start - 20), start):
             start = before.start()
             if text.startswith(("Korteri ", "Der ", "Die ", "The "), start):
@@ -180,22 +203,23 @@ def addresses(text: str) -> list[tuple[int, int]]:
 
 # --- names -------------------------------------------------------------------
 GENDER = {x.lower(): "f" for x in GIVEN_F} | {x.lower(): "m" for x in GIVEN_M}
+GENDER |= {x.lower(): "f" for x in COMMON_F} | {x.lower(): "m" for x in COMMON_M}
 SURNAMES = [a + b for a in STEMS for b in ENDINGS]
 SURNAME_AUTOMATON = ahocorasick.Automaton()
 for _x in SURNAMES:
     SURNAME_AUTOMATON.add_word(_x, len(_x))
 SURNAME_AUTOMATON.make_automaton()
-_GIVEN = "|".join(sorted(map(str.lower, GIVEN_F + GIVEN_M), key=len, reverse=True))
+_GIVEN = "|".join(sorted(map(str.lower, GIVEN_F + GIVEN_M + COMMON_F + COMMON_M), key=len, reverse=True))
 GIVEN_BEFORE = re.compile(rf"(?<![\w-])(?:(?:{_GIVEN})(?:-(?:{_GIVEN}))?(?:[ \n\xa0][a-zõäöü]\.){{0,2}}|[a-zõäöü]\.(?:[ -]?[a-zõäöü]\.)?)[ \n\xa0]\Z")
 GIVEN_AFTER = re.compile(rf",[ \n\xa0](?:{_GIVEN})(?:-(?:{_GIVEN}))?(?:[ \n\xa0][a-zõäöü]\.)?(?![\w-])")
 LABELLED_NAME = re.compile(
     rf"(?:My name is|Signed:|Contact:|Debtor:|Lisainfo:|Avaldaja|Ansprechpartner:|Mein Name ist|Minu nimi on) "
     rf"(?:(?:Mr|Mrs|Ms|Dr|Judge|Herr|Frau|Pr|Hr)\.? )?((?:{WORD}(?:-{WORD})?|[{UPPER}]\.)(?: [{UPPER}]\.)? {WORD}(?:-{WORD})?)(?=[,;\n.(]| and | on )"
 )
-NOT_NAMES = frozenset("The A An Our Your This Flat Notes Die Der Das Ein Eine See".split())
+NOT_NAMES = frozenset("The A An Our Your This Flat Notes Die Der Das Ein Eine See Mr Mrs Ms Miss Dr Prof Judge Herr Herrn Frau Hr Pr".split())
 
 
-def names(text: str) -> list[tuple[int, int]]:
+def names(text: str, beside: Sequence[int] = ()) -> list[tuple[int, int]]:
     low = lowered(text)
     out: list[tuple[int, int]] = []
     size = len(low)
@@ -229,10 +253,10 @@ def names(text: str) -> list[tuple[int, int]]:
         out.append((start, end))
     for m in LABELLED_NAME.finditer(text):
         s, e = m.span(1)
-        if m[1].split()[0] in NOT_NAMES or any(a < e and s < b for a, b in out) or FIRM.match(text, e):
+        if m[1].split()[0].rstrip(".") in NOT_NAMES or any(a < e and s < b for a, b in out) or FIRM.match(text, e):
             continue
         out.append((s, e))
-    return out + unlisted_names(text, low, out)
+    return out + unlisted_names(text, low, out, beside)
 
 
 # Names that no list has: after a title, after initials, after a listed given name; then these names again.
@@ -240,7 +264,7 @@ SURNAME = rf"(?:(?:von|van|zu|de|der|den|ter|da|di|du|la|le|af|av)[ \xa0])*(?:(?
 INITIAL = rf"[{UPPER}]\.(?:[ \n\xa0-]?[{UPPER}]\.)*"
 TITLED_NAME = re.compile(rf"(?<![\w-])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Judge|Herrn?|Frau|Hr|Pr|Härra|Proua)\.?[ \n\xa0]((?:{INITIAL}[ \n\xa0]?)?{SURNAME}(?:[ \n\xa0]{INITIAL})?(?:[ \xa0]{SURNAME})?)(?!\w)")
 INITIALED_NAME = re.compile(rf"(?<![\w.@-])({INITIAL}[ \n\xa0]?{SURNAME})(?!\w)")
-GIVEN_NAME = "|".join(sorted((x for g in GIVEN_F + GIVEN_M for x in (g, g.upper())), key=len, reverse=True))
+GIVEN_NAME = "|".join(sorted((x for g in GIVEN_F + GIVEN_M + COMMON_F + COMMON_M for x in (g, g.upper())), key=len, reverse=True))
 GIVEN_CONTEXT = re.compile(rf"(?<![\w-])((?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?(?:[ \n\xa0]{INITIAL})?[ \n\xa0]{SURNAME})(?!\w)")
 REVERSED_NAME = re.compile(rf"(?<![\w.@-])({WORD}(?:-{WORD})?,[ \n\xa0](?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?)(?![\w-]|[ \n\xa0][{UPPER}])")
 NO_SURNAMES = NOT_NAMES | frozenset(
@@ -249,7 +273,68 @@ NO_SURNAMES = NOT_NAMES | frozenset(
 )
 
 
-def unlisted_names(text: str, low: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+# Names told by what stands beside them, whatever they are: a person's role before, a verb of saying or doing after, or a person's number or address.
+CAPITAL = rf"(?:{WORD}(?:-{WORD})?|[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})?)"
+FULL_NAME = rf"(?:{CAPITAL}[ \n\xa0](?:{INITIAL}[ \n\xa0])?{SURNAME}|{SURNAME},[ \n\xa0]{CAPITAL}|{INITIAL}[ \n\xa0]?{SURNAME})"
+ROLES = (
+    "witness|applicant|claimant|plaintiff|defendant|debtor|creditor|tenant|landlord|buyer|seller|owner|heir|guardian|signed by|copy to|reply to|sent to|"
+    "given by|granted by|represented by|submitted by|on behalf of|according to|my name is|dear|at the hearing|"
+    "zeuge|zeugin|kläger|klägerin|antragsteller|antragstellerin|schuldner|gläubiger|mieter|mieterin|vermieter|käufer|verkäufer|mein name ist|ging an|durch|"
+    "tunnistaja|avaldaja|hageja|kostja|võlgnik|üürnik|ostja|müüja|minu nimi on|заявитель|свидетель|истец|ответчик|меня зовут"
+).split("|")
+#: Words that lead to a name only with a colon.
+ROLE_LABELS = "author:|signed:|contact:|contact person:|attention:|attn:|unterzeichnet:|ansprechpartner:|lisainfo:|allkiri:|kontakt:|подпись:".split("|")
+VERBS = (
+    "wrote|said|says|told|spoke|stated|argued|confirmed|testified|replied|moved from|lives|vaidles|kinnitas|ütles|kirjutas|sagte|schrieb|erklärte|bestätigte|сказал|сказала|написал|написала"
+).split("|")
+TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Judge|Herrn?|Frau|Hr|Pr)\.?"
+AFTER_ROLE = re.compile(rf":?[ \n\xa0](?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
+BEFORE_VERB = re.compile(rf"(?<![\w@.-])({FULL_NAME})[ \n\xa0]\Z")
+JOINED_NAME = re.compile(rf",?[ \n\xa0](?:and|to|und|ja|an|v|vs\.|gegen|versus)[ \n\xa0](?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
+VERSUS_NAME = re.compile(rf"(?<=\) v )(?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
+BESIDE_NAME = re.compile(
+    rf"(?<![\w@.-])({FULL_NAME})[,;]?[ \n\xa0]?(?:[(/][ ]?)?(?:(?:(?i:tel|telefon|phone|mobile|personal code|isikukood|id|e-?mail|mailto|living at|residing at|wohnhaft|elukoht|elukohaga|at))[.:]?[ \n\xa0]?)?\Z"
+)
+BY_CONTEXT = (AFTER_ROLE, BEFORE_VERB, VERSUS_NAME, BESIDE_NAME)
+# Given names, roles and verbs are looked for at once; the rules then start only where one stands.
+CUES = ahocorasick.Automaton()
+for _kind, _words in (("given", [*GENDER]), ("role", ROLES + ROLE_LABELS), ("verb", VERBS)):
+    for _x in _words:
+        CUES.add_word(_x, (len(_x), _kind))
+CUES.make_automaton()
+
+
+def cued(text: str, low: str) -> Iterator[tuple[re.Pattern, re.Match | None]]:
+    """Matches of the rules that begin at a given name, after a role, or end before a verb."""
+    for last, (length, kind) in CUES.iter_long(low):
+        start, end = last - length + 1, last + 1
+        if start and (low[start - 1].isalnum() or low[start - 1] in "_-") or end < len(low) and (low[end].isalnum() or low[end] == "_"):
+            continue
+        if kind == "given":
+            if text[start].isupper():
+                yield GIVEN_CONTEXT, GIVEN_CONTEXT.match(text, start)
+        elif kind == "role":
+            yield AFTER_ROLE, AFTER_ROLE.match(text, end)
+        elif start and text[start - 1] in " \n\xa0":
+            word = max(text.rfind(c, max(0, start - 400), start - 1) for c in " \n\xa0") + 1
+            if text[word].isupper() or text[word : word + 1] in "OD":
+                yield BEFORE_VERB, BEFORE_VERB.search(text, words_back(text, 0, start, 5), start)
+
+
+
+# The commonest Chinese surnames, and what follows or leads a Chinese name.
+HAN_SURNAME = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+HAN_NAME = re.compile(
+    rf"(?<![一-鿿])([{HAN_SURNAME}][一-鿿]{{1,2}})(?=先生|女士|小姐|教授|博士|老师|律师|法官|医生|经理)|(?:姓名|联系人|申请人|证人|被告|原告|签名|我叫|我是)[:：]?\s?([{HAN_SURNAME}][一-鿿]{{1,2}})(?![一-鿿])"
+)
+# Russian names by their shape: a patronymic, or two capitalised words of which the last has an ending of surnames.
+RUSSIAN_NAME = re.compile(
+    r"(?<![\w-])([А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:ович|евич|ьич|овна|евна|ична)(?: [А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?)?|[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?<=[а-яё])(?:ов|ова|ев|ева|ин|ина|ский|ская|енко|чук|ян|дзе)(?:а|у|ым|ой)?)(?![\w-])"
+)
+
+
+def unlisted_names(text: str, low: str, found: list[tuple[int, int]], beside: Sequence[int] = ()) -> list[tuple[int, int]]:
+    """Names that no list holds, beside those found; `beside` has where other personal data begin."""
     out: list[tuple[int, int]] = []
 
     def person(s: int, e: int) -> bool:
@@ -258,15 +343,32 @@ def unlisted_names(text: str, low: str, found: list[tuple[int, int]]) -> list[tu
         if FIRM.match(text, e) or STREET_SUFFIX.match(low, e) or VESSEL_NUMBER.match(text, e) or BEFORE_NOT_A_PERSON.search(text, max(0, s - 8), s):
             return False
         parts = text[s:e].split()
-        return not any(x.strip(",") in NO_SURNAMES for x in parts) and not (len(parts) > 1 and FIRM.match(text, s + len(parts[0])))
-
-    for rule in (TITLED_NAME, GIVEN_CONTEXT, INITIALED_NAME, REVERSED_NAME):
-        for m in rule.finditer(text):
-            s, e = m.span(1)
+        return not any(x.strip(",.") in NO_SURNAMES for x in parts if len(x) > 2 or x[-1] != ".") and not (len(parts) > 1 and FIRM.match(text, s + len(parts[0])))
+
+    scripts = []
+    if not text.isascii():
+        scripts = [x for x, letters in ((RUSSIAN_NAME, CYRILLIC), (HAN_NAME, HAN)) if letters.search(text)]
+    begun: dict[re.Pattern, list[re.Match]] = {GIVEN_CONTEXT: [], AFTER_ROLE: [], BEFORE_VERB: []}
+    for rule, m in cued(text, low):
+        if m:
+            begun[rule].append(m)
+    near = (m for at in beside if (m := BESIDE_NAME.search(text, words_back(text, 0, at, 6), at)))
+    ordered = [(x, begun[x]) for x in (GIVEN_CONTEXT, AFTER_ROLE, BEFORE_VERB)] + [(BESIDE_NAME, near)]
+    scanned = lambda rules: [(x, x.finditer(text)) for x in rules]
+    for rule, matches in scanned([TITLED_NAME, *scripts]) + ordered + scanned([INITIALED_NAME, REVERSED_NAME, VERSUS_NAME]):
+        for m in matches:
+            s, e = m.span(m.lastindex)
             if rule is TITLED_NAME and not person(s, e) and " " in m[1]:
                 e = s + m[1].rindex(" ")  # the second word may be no part of the name
+            if rule in BY_CONTEXT and (text[s:e].isupper() and text[max(0, s - 12) : s].isupper() or "\n" in text[s:e]):
+                continue  # among capitals, and over a line end, two words are no name yet
             if person(s, e):
                 out.append((s, e))
+    for _, end in sorted([*found, *out]):  # a person named with one found
+        m = JOINED_NAME.match(text, end)
+        while m and person(*m.span(1)) and "\n" not in m[1]:
+            out.append(m.span(1))
+            m = JOINED_NAME.match(text, m.end())
     # The same persons again, by their full name or surname alone, also without a title.
     forms = {text[s:e] for s, e in out}
     forms |= {x for form in forms if len(x := form.split(",")[0].split()[-1]) > 2 and x[0].isupper()}
@@ -278,6 +380,7 @@ def unlisted_names(text: str, low: str, found: list[tuple[int, int]]) -> list[tu
     return out
 
 
+CYRILLIC, HAN = re.compile("[А-я]"), re.compile("[一-鿿]")
 STREET_SUFFIX = re.compile(r" (?:tee|tn|pst|mnt|street|road|lane|straße)\b")
 FINDERS = (("email", emails), ("id_number", id_numbers), ("phone", phones), ("address", addresses), ("name", names))
 
@@ -286,12 +389,14 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of each mention, in order; ends are exclusive."""
     if not text:
         return []
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
     for kind, find in FINDERS:
-        for s, e in find(text):
-            if not any(a < e and s < b for a, b, _ in taken):
-                taken.append((s, e, kind))
-    return sorted(taken)
+        found = find(text, [x[0] for x in taken]) if kind == "name" else find(text)
+        for s, e in found:
+            at = bisect_right(taken, (s, len(text) + 1, ""))
+            if (not at or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
+                taken.insert(at, (s, e, kind))
+    return taken
 
 
 # --- rewriting ---------------------------------------------------------------
@@ -329,12 +434,17 @@ def alphabet_of(c: str) -> str:
     return "".join(x for x in near if x.isalnum() and x not in KIND_OF and (x.isalpha(), x.islower(), x.isupper()) == (c.isalpha(), c.islower(), c.isupper()))
 
 
+LATIN_F, CYRILLIC_F = [x for x in COMMON_F if x.isascii() or not CYRILLIC.search(x)], [x for x in COMMON_F if CYRILLIC.search(x)]
+LATIN_M, CYRILLIC_M = [x for x in COMMON_M if x.isascii() or not CYRILLIC.search(x)], [x for x in COMMON_M if CYRILLIC.search(x)]
+NAME_POOLS = ("f", "m", "f-cyrillic", "m-cyrillic", "surname")
+
+
 class Surrogates:
     """Keyed, deterministic replacements; one object serves all texts under one key."""
 
     def __init__(self, key: str):
         self.key = key.encode()
-        pools = {"f": GIVEN_F, "m": GIVEN_M, "surname": SURNAMES, "street": STREETS, "place": PLACES}
+        pools = {"f": [*GIVEN_F, *LATIN_F], "m": [*GIVEN_M, *LATIN_M], "f-cyrillic": CYRILLIC_F, "m-cyrillic": CYRILLIC_M, "surname": SURNAMES, "street": STREETS, "place": PLACES}
         self.pools = {salt: self.shuffled(sorted(x.lower() for x in pool), salt) for salt, pool in pools.items()}
         self.at = {salt: {x: k for k, x in enumerate(pool)} for salt, pool in self.pools.items()}
         self.orders: dict[tuple[str, str], list[str]] = {}
@@ -419,11 +529,11 @@ class Surrogates:
         return new
 
     def part(self, word: str, step: int = 0) -> str:
-        new = self.word(lowered(word), ("f", "m", "surname"), "name")
+        new = self.word(lowered(word), NAME_POOLS, "name")
         for _ in range(step):
-            new = self.word(new, ("f", "m", "surname"), "name")
+            new = self.word(new, NAME_POOLS, "name")
         low = word.lower()
-        if any(low in self.at[pool] for pool in ("f", "m", "surname")) and not word.isupper() and not word.islower():
+        if any(low in self.at[pool] for pool in NAME_POOLS) and not word.isupper() and not word.islower():
             return new[:1].upper() + new[1:]
         return new.upper() if word.isupper() and len(word) > 1 else self.cased(new, word)
 
