@@ -268,7 +268,7 @@ GIVEN_NAME = "|".join(sorted((x for g in GIVEN_F + GIVEN_M + COMMON_F + COMMON_M
 GIVEN_CONTEXT = re.compile(rf"(?<![\w-])((?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?(?:[ \n\xa0]{INITIAL})?[ \n\xa0]{SURNAME})(?!\w)")
 REVERSED_NAME = re.compile(rf"(?<![\w.@-])({WORD}(?:-{WORD})?,[ \n\xa0](?:{GIVEN_NAME})(?:-(?:{GIVEN_NAME}))?)(?![\w-]|[ \n\xa0][{UPPER}])")
 NO_SURNAMES = NOT_NAMES | frozenset(
-    "And But By For From He Her His If In It Its No Not Of On Or She So Then There They To We When With You Section Article Annex Part Chapter Court Road Street Lane Avenue "
+    "And But By For From He Her His If In It Its No Not Of On Or She So Then There May Shall Must Will Can Should Would Is Are Was Were Has Have Had Be Been Do Does Reply They To We When With You Section Article Annex Part Chapter Court Road Street Lane Avenue "
     "Er Sie Es Wir Und Aber Im Am Auf Bei Von Zu Für Mit Ja Ei Ja Kui See Ta Nad Me Aga Siis".split()
 )
 
