@@ -48,8 +48,30 @@ INNER_STOP = re.compile(r"[.,;?!]\s")
 ENDED = re.compile(r"[.!?:;…”\"»)]\s*$")
 
 
+LEAD = re.compile(r"^[^.!?]{2,40}[:：]\s*$")
+
+
 def is_prompt(text: str) -> bool:
-    return bool(PROMPT.match(text)) or text.lower() in LABELS or bool(BYLINE.match(text)) or bool(FOOT.search(text)) or bool(COMMENT_COUNT.match(text))
+    return bool(PROMPT.match(text)) or text.lower() in LABELS or bool(BYLINE.match(text)) or bool(COMMENT_COUNT.match(text))
+
+
+def is_sentence(block: Block) -> bool:
+    """Whether a block is running text: long enough, hardly linked, and ended."""
+    return block.linked < 0.3 and len(block.text) > 60 and bool(ENDED.search(block.text))
+
+
+def is_link(block: Block) -> bool:
+    """Whether a block only leads elsewhere, whatever its words: it is one link, or a short lead with a colon and a link."""
+    if block.kind not in ("text", "heading") or not any(link for _, _, link in block.pieces) or ENDED.search(block.text):
+        return False
+    lead = "".join(x for _, x, link in block.pieces if not link).strip()
+    return not lead or bool(LEAD.match(lead)) and bool(block.pieces[-1][2] or not block.pieces[-1][1].strip())
+
+
+def foot_from(blocks: list[Block]) -> int:
+    """Where the end of a container begins, in which footers stand: after its last running text but one."""
+    running = [k for k, b in enumerate(blocks) if is_sentence(b) and not FOOT.search(b.text)]
+    return running[-1] + 1 if running else 0
 
 
 def inside(node: Node | None, top: Node) -> list[Node] | None:
@@ -74,36 +96,47 @@ def above(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def container(blocks: list[Block]) -> Node | None:
-    """The element that holds the main body: the parent of the title heading with the most unlinked text."""
-    weight: dict[int, tuple[Node, int]] = {}
+def containers(blocks: list[Block]) -> list[Node]:
+    """The elements that hold the main body.
+
+    With titles (h1), the parent of that with the most unlinked text, and the
+    others beside it that are of its kind and hold running text, as a page may
+    hold several articles. Without, the element with the most running text
+    under one parent: of three paragraphs, or of fewer under a heading of its own.
+    """
+    weight: dict[int, tuple[Node, int, int]] = {}
     for b in blocks:
         if b.node.tag != "h1" or any(named_furniture(n) for n in above(b.node)):
             continue
         top = b.node.parent
         while top.tag in ("header", "hgroup", "a", "strong", "span") and top.parent is not None:
             top = top.parent
-        weight[id(top)] = (top, 0)
-    if not weight:  # no title: a run of plain paragraphs under one parent, if there is one
+        weight[id(top)] = (top, 0, 0)
+    if not weight:
         runs: dict[int, list] = {}
         for b in blocks:
-            t = b.text
-            if b.node.tag == "p" and b.node.parent is not None and b.linked < 0.3 and len(t) > 60 and ENDED.search(t) and not is_prompt(t) and not COMMENT.match(t) and not COOKIES.search(t) and not any(named_furniture(n) or n.tag == "article" and "h4" in {c.tag for c in n.children if isinstance(c, Node)} for n in above(b.node)):
+            if b.node.tag == "p" and b.node.parent is not None and is_sentence(b) and not is_prompt(b.text) and not COMMENT.match(b.text) and not COOKIES.search(b.text) and not any(named_furniture(n) or n.tag == "article" and "h4" in {c.tag for c in n.children if isinstance(c, Node)} for n in above(b.node)):
                 runs.setdefault(id(b.node.parent), [b.node.parent, 0])[1] += 1
-        best = max(runs.values(), key=lambda x: x[1], default=None)
-        return best[0] if best and best[1] >= 3 else None
+        headed = lambda top: top.tag in ("article", "main") or any(isinstance(c, Node) and c.tag == "h2" for c in top.children)
+        fit = [x for x in runs.values() if x[1] >= 3 or x[1] >= 2 and headed(x[0])]
+        best = max(fit, key=lambda x: x[1], default=None)
+        return [best[0]] if best else []
     for b in blocks:
         for n in above(b.node):
             if id(n) in weight:
-                top, size = weight[id(n)]
-                weight[id(n)] = (top, size + int(len(b.text) * (1 - b.linked)))
-    return max(weight.values(), key=lambda x: x[1])[0]
+                top, size, running = weight[id(n)]
+                weight[id(n)] = (top, size + int(len(b.text) * (1 - b.linked)), running + is_sentence(b))
+    first = max(weight.values(), key=lambda x: x[1])[0]
+    alike = [top for top, _, running in weight.values() if top is not first and top.parent is first.parent and top.tag == first.tag and running]
+    return [first, *alike]
 
 
 def furniture_under(top: Node, blocks: list[Block]) -> set[int]:
     """Elements inside the container that are teasers, comments or a footer by what they hold."""
     held: dict[int, list[Block]] = {}
     node_of: dict[int, Node] = {}
+    ends = {id(b) for b in blocks[foot_from(blocks) :]}
+    before = {id(b): a.node.tag for a, b in zip(blocks, blocks[1:])} | {id(b): "" for b in blocks[:1]}
     for b in blocks:
         for n in inside(b.node, top) or ():
             if n.tag in ("div", "section", "td", "article", "ul", "ol", "table", "tr"):
@@ -114,8 +147,10 @@ def furniture_under(top: Node, blocks: list[Block]) -> set[int]:
         if any(b.node.tag == "h1" for b in own):
             continue
         texts = [b.text for b in own]
-        if texts[0].lower().rstrip(":") in TEASER_HEADS or sum(bool(COMMENT.match(t)) for t in texts) * 2 > len(texts) or any(FOOT.search(t) for t in texts) or any(COOKIES.search(t) for t in texts) and any(t.lower() in LABELS for t in texts) or COMMENT_COUNT.match(texts[0]):
+        if texts[0].lower().rstrip(":") in TEASER_HEADS or sum(bool(COMMENT.match(t)) for t in texts) * 2 > len(texts) or any(FOOT.search(b.text) and id(b) in ends for b in own) or any(COOKIES.search(t) for t in texts) and any(t.lower() in LABELS for t in texts) or COMMENT_COUNT.match(texts[0]):
             out.add(key)
+        elif node_of[key].tag in ("ul", "ol") and all(b.linked > 0.8 for b in own) and ends and id(own[0]) in ends and len(ends) < len(blocks) and before[id(own[0])] in HEADINGS - {"h1", "h2"}:
+            out.add(key)  # a list of links under a heading of its own, after the last running text
         elif node_of[key].tag == "article" and own[0].node.tag in HEADINGS and own[0].linked > 0.8:
             out.add(key)
     return out
@@ -138,11 +173,22 @@ def prune(block: Block) -> None:
 def html_body(page: str) -> tuple[list[Block], set[int]]:
     """Blocks of the main body and the source lines they stand on."""
     blocks = render(build(page))
-    top = container(blocks)
-    if top is None:
-        return [], set()
+    found: list[Block] = []
+    for top in containers(blocks):
+        found += body_of(top, blocks)
+    place = {id(b): k for k, b in enumerate(blocks)}
+    kept = sorted({id(b): b for b in found}.values(), key=lambda b: place[id(b)])
+    lines: set[int] = set()
+    for b in kept:
+        lines |= b.lines
+    return kept, lines
+
+
+def body_of(top: Node, blocks: list[Block]) -> list[Block]:
+    """The blocks of a container less the furniture in it."""
     own = [b for b in blocks if inside(b.node, top) is not None]
     cut = furniture_under(top, own)
+    ends = {id(b) for b in own[foot_from(own) :]}
     kept: list[Block] = []
     dropped: dict[str, int] = {}
     sizes: dict[str, int] = {}
@@ -158,7 +204,8 @@ def html_body(page: str) -> tuple[list[Block], set[int]]:
         if any(named_furniture(n) or id(n) in cut for n in chain):
             continue
         linked_trail = b.linked > 0.4 and bool(TRAIL.match(text)) and b.kind == "text"
-        if b.kind in ("text", "quote") and (is_prompt(text) or COMMENT.match(text)) or linked_trail:
+        furniture = is_prompt(text) or bool(COMMENT.match(text)) or id(b) in ends and bool(FOOT.search(text))
+        if b.kind in ("text", "quote") and furniture or linked_trail or is_link(b):
             if name:
                 dropped[name] = dropped.get(name, 0) + 1
             continue
@@ -166,12 +213,11 @@ def html_body(page: str) -> tuple[list[Block], set[int]]:
     # Blocks share a class with prompts only where the class is one of prompts: where most of its blocks are.
     bad = {n for n in dropped if 2 * dropped[n] >= sizes[n]}
     kept = [b for b in kept if not (b.node is not top and b.node.attrs.get("class", "") in bad)]
-    if not any(b.node.tag != "h1" for b in kept) and not any(b.node.tag == "h1" for b in kept):
-        return [], set()
-    lines: set[int] = set()
-    for b in kept:
-        lines |= b.lines
-    return kept, lines
+    # A heading under which nothing was kept, only links, was one of teasers.
+    held = {id(b) for b in kept}
+    bare = {id(b) for b, after in zip(own, own[1:]) if b.node.tag in HEADINGS - {"h1"} and after.linked > 0.8 and id(after) not in held}
+    kept = [b for b in kept if id(b) not in bare]
+    return kept if any(b.node.tag == "h1" or is_sentence(b) or b.kind != "heading" for b in kept) else []
 
 
 def is_title(line: str) -> bool:
@@ -182,6 +228,8 @@ def text_body(page: str) -> set[int]:
     """Lines of the main body of text that was taken from a page."""
     lines = [x.strip() for x in page.split("\n")]
     n = len(lines)
+    running = [k for k, x in enumerate(lines) if len(x) > 60 and ENDED.search(x) and not FOOT.search(x) and not COOKIES.search(x)]
+    foot = running[-1] + 1 if running else 0  # where the end of the page begins, in which footers stand
     kind = [""] * n  # "", furniture: x, prompt inside the body: p, byline: b, trail: t, teaser head: h, comment: c
     for k, x in enumerate(lines):
         low = x.lower()
@@ -195,7 +243,7 @@ def text_body(page: str) -> set[int]:
             kind[k] = "c"
         elif low in ("advertisement", "reklaam", "anzeige") or PROMPT.match(x):
             kind[k] = "s" if re.match(r"(?:sign|log) in to", low) else "p"
-        elif low in LABELS or FOOT.search(x):
+        elif low in LABELS or FOOT.search(x) and (x[0] == "©" or k >= foot):
             kind[k] = "x"
         elif " | " in x and sum(part.strip().lower() in LABELS for part in x.split("|")) * 2 > x.count("|") + 1:
             kind[k] = "x"

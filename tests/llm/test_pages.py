@@ -84,3 +84,20 @@ def test_frame(spark):
     got = main_text.extract_main_text(df).collect()
     assert [r["target_id"] for r in got].count("a") == 2 and {r["target_id"] for r in got} == {"a", None}
     assert main_text.extract_main_text(df.limit(0)).count() == 0
+
+
+P = "The council decided on Monday that the old quay will be rebuilt before the winter storms arrive."
+
+
+def test_pages_whose_wording_is_unknown():
+    liable = f"<html><body><div class='content'><h1>Cranes</h1><div><p>The agency is not liable for damage caused by the use of its cranes.</p><p>{P}</p></div><p>{P} Again.</p></div></body></html>"
+    assert main_text.main_body(liable)[0].count(P) == 2 and "is not liable" in main_text.main_body(liable)[0]
+    french = (
+        "<html lang=fr><body><nav><a href=/>Accueil</a></nav><main><h1>Le port</h1><p>Le conseil a décidé lundi que le vieux quai sera reconstruit avant les tempêtes.</p>"
+        "<p>Lire aussi : <a href=/x>Le phare rouvre</a></p><p><a href=/abo>Abonnez-vous à notre lettre</a></p><p>Les travaux commenceront au printemps et dureront deux ans selon la mairie.</p>"
+        "<h3>Sur le même sujet</h3><ul><li><a href=/a>Un autre article</a></li></ul></main><footer>Mentions légales</footer></body></html>"
+    )
+    assert main_text.main_body(french)[0].split("\n\n") == ["Le port", "Le conseil a décidé lundi que le vieux quai sera reconstruit avant les tempêtes.", "Les travaux commenceront au printemps et dureront deux ans selon la mairie."]
+    assert main_text.main_body(f"<html><body><div><h2>Quay news</h2><p>{P}</p><p>{P} More.</p></div></body></html>")[0].startswith("Quay news")
+    assert main_text.main_body(f"<html><body><main><article><h1>One</h1><p>{P}</p></article><article><h1>Two</h1><p>{P}</p></article></main></body></html>")[0].split("\n\n") == ["One", P, "Two", P]
+    assert main_text.main_body(f"<html><body><div><h1>T</h1><p title=\"{'a>' * 2500}\">{P}</p></div></body></html>")[0] == f"T\n\n{P}"
