@@ -2,7 +2,7 @@
 
 Each round rakes all leaves into their parents and splices an independent set
 of unary nodes out of their chains (a node goes if its salted hash is less than
-its parent's and its only child's). Each round is two aggregations by node id:
+its parent's and its only child's). Each round is one job of two aggregations by node id:
 messages to a parent are combined before the shuffle, so a parent of a third of
 all nodes is no hot task. What is removed is recorded; when only roots are left,
 and loops shrunk to one node that is its own parent, the records are reversed
@@ -38,20 +38,17 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
     work = Workspace(spark, "hierarchy")
     rows = edges.select(F.col(node).cast("string").alias("id"), F.col(parent).cast("string").alias("parent")).where("id is not null")
     alive = work.write(first_messages(rows.groupBy("id").agg(F.max("parent").alias("parent"))), "alive")
-    records: list[tuple[bool, DataFrame]] = []
+    records: list[list[tuple[bool, DataFrame]]] = []
     done: list[DataFrame] = []
     for k in range(max_rounds):
-        raked = work.write(rake(alive), f"raked{k}", partition_by="part")
-        work.drop("alive" if k == 0 else f"spliced{k - 1}/part=kept")
-        if work.has(f"raked{k}/part=leaf"):
-            records.append((False, raked.where("part = 'leaf'")))
-        spliced = work.write(splice(raked.where("part = 'kept'"), k, paths), f"spliced{k}", partition_by="part")
-        work.drop(f"raked{k}/part=kept")
-        if work.has(f"spliced{k}/part=cut"):
-            records.append((True, spliced.where("part = 'cut'")))
-        done.append(spliced.where("part = 'end'"))
-        alive = spliced.where("part = 'kept'").drop("part")
-        if not work.has(f"spliced{k}/part=kept"):
+        kept, leaves = rake(alive)
+        # Raking and splicing go in one job, which writes what each of them leaves.
+        after = work.write(splice(kept, k, paths).unionByName(leaves), f"round{k}", partition_by="part")
+        work.drop("alive" if k == 0 else f"round{k - 1}/part=kept")
+        records.append([(cut, after.where(f"part = '{part}'")) for part, cut in (("cut", True), ("leaf", False)) if work.has(f"round{k}/part={part}")])
+        done.append(after.where("part = 'end'"))
+        alive = after.where("part = 'kept'").drop("part")
+        if not work.has(f"round{k}/part=kept"):
             break
     else:
         raise RuntimeError(f"a hierarchy was not contracted in {max_rounds} rounds")
@@ -68,14 +65,15 @@ def hierarchy(edges: DataFrame, node: str, parent: str, paths: bool = False, max
         (~loop).alias("has_root"),
         *([F.when(~loop, F.array("id")).alias("path")] if paths else []),
     )
-    for k, (cut, removed) in enumerate(reversed(records)):
-        resolved = work.write(expand(removed, resolved, cut, paths), f"resolved{k}")
+    for k, removed in enumerate(reversed(records)):
+        for cut, rows in removed:
+            resolved = expand(rows, resolved, cut, paths)
+        resolved = work.write(resolved, f"resolved{k}")
         if k:
             work.drop(f"resolved{k - 1}")
     # Only the last table is read from here on.
     for k in range(len(done)):
-        work.drop(f"raked{k}")
-        work.drop(f"spliced{k}")
+        work.drop(f"round{k}")
     counted = resolved.withColumn("n_descendants", F.when(~F.col("on_loop"), F.col("n_descendants")))
     return counted.withColumnRenamed("id", node)
 
@@ -103,8 +101,8 @@ def first_messages(rows: DataFrame) -> DataFrame:
     )
 
 
-def rake(alive: DataFrame) -> DataFrame:
-    """Leaves as records ('leaf'), and the others ('kept') with what the leaves gave them and their children counted anew.
+def rake(alive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The others with what the leaves gave them and their children counted anew, and the leaves as records ('leaf').
 
     One aggregation by id: each node that stays sends itself its state, and
     each node sends its parent either its size (a leaf) or its name.
@@ -119,9 +117,9 @@ def rake(alive: DataFrame) -> DataFrame:
     )
     grouped = own.unionByName(told).groupBy("id").agg(F.max("own").alias("own"), F.sum("gain").alias("gain"), F.count("kid").alias("kids"), F.min("kid").alias("kid"))
     kept = grouped.select(
-        "id", "own.parent", "own.w", "own.least", "own.inner", (F.col("own.below") + F.col("gain")).alias("below"), "own.between", "kids", "kid", F.lit("kept").alias("part")
+        "id", "own.parent", "own.w", "own.least", "own.inner", (F.col("own.below") + F.col("gain")).alias("below"), "own.between", "kids", "kid"
     )
-    return kept.unionByName(alive.where(leaf).select(*NODE, F.lit("leaf").alias("part")))
+    return kept, alive.where(leaf).select(*NODE, F.lit("leaf").alias("part"))
 
 
 def rank(column: str, salt: int):
@@ -139,9 +137,9 @@ def splice(kept: DataFrame, salt: int, paths: bool) -> DataFrame:
     goes = F.col("parent").isNotNull() & ~loop & (F.col("kids") == 1) & (rank("id", salt) < rank("parent", salt)) & (rank("id", salt) < rank("kid", salt))
     marked = kept.select(*NODE).withColumn("part", F.when(end, "end").when(F.coalesce(goes, F.lit(False)), "cut").otherwise("kept"))
     sends = F.col("part") == "cut"
-    messages = marked.where("part <> 'end'").select(
+    messages = marked.select(
         F.when(sends, F.col("kid")).otherwise(F.col("id")).alias("id"),
-        F.when(~sends, F.struct(*STATE, "kids", "kid")).alias("own"),
+        F.when(~sends, F.struct(*STATE, "kids", "kid", "part")).alias("own"),
         F.when(sends, F.struct(F.col("id").alias("was"), *STATE)).alias("via"),
     )
     grouped = messages.groupBy("id").agg(F.max("own").alias("own"), F.max("via").alias("via"))
@@ -158,7 +156,7 @@ def splice(kept: DataFrame, salt: int, paths: bool) -> DataFrame:
         at(F.col("own.between") + 1 + F.col("via.below") + F.col("via.between"), F.col("own.between")).alias("between"),
         F.col("own.kids").alias("kids"),
         F.col("own.kid").alias("kid"),
-        F.lit("kept").alias("part"),
+        F.col("own.part").alias("part"),
     )
     record = F.struct(
         F.col("via.was").alias("id"),
@@ -172,8 +170,7 @@ def splice(kept: DataFrame, salt: int, paths: bool) -> DataFrame:
         F.col("id").alias("kid"),
         F.lit("cut").alias("part"),
     )
-    both = grouped.select(F.explode(F.when(moved, F.array(rest, record)).otherwise(F.array(rest))).alias("x")).select("x.*")
-    return both.unionByName(marked.where("part = 'end'"))
+    return grouped.select(F.explode(F.when(moved, F.array(rest, record)).otherwise(F.array(rest))).alias("x")).select("x.*")
 
 
 def expand(removed: DataFrame, resolved: DataFrame, cut: bool, paths: bool) -> DataFrame:

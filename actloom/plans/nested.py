@@ -167,18 +167,6 @@ d AS (SELECT document_id, max(target_id) AS parent_id FROM documents GROUP BY 1)
 e AS (SELECT t.target_id, t.depth, CASE WHEN p.target_id IS NULL THEN NULL ELSE d.parent_id END AS parent_id
   FROM t LEFT JOIN c ON t.pd IS NULL AND c.chunk_id = t.pc LEFT JOIN d ON d.document_id = coalesce(t.pd, c.cd) LEFT JOIN t p ON p.target_id = d.parent_id)"""
 
-# Without a root, a walk passes every node of its loop within as many steps as there are nodes that reach no root.
-P3_SQL = f"""
-WITH RECURSIVE {EDGES_SQL},
-down AS (SELECT target_id, target_id AS root_id, 0 AS steps FROM e WHERE parent_id IS NULL
-  UNION ALL SELECT e.target_id, down.root_id, down.steps + 1 FROM e JOIN down ON e.parent_id = down.target_id),
-lost AS (SELECT * FROM e WHERE target_id NOT IN (SELECT target_id FROM down)),
-walk(target_id, here, n) AS (SELECT target_id, parent_id, 1 FROM lost UNION ALL SELECT w.target_id, l.parent_id, n + 1 FROM walk w JOIN lost l ON l.target_id = w.here WHERE n < 400),
-looped AS (SELECT target_id, min(here) AS root_id FROM walk WHERE n > 200 GROUP BY 1)
-SELECT e.target_id, down.root_id FROM e JOIN down USING (target_id) WHERE e.depth IS NOT NULL AND e.depth <> down.steps
-UNION ALL SELECT target_id, root_id FROM looped
-"""
-
 ANCESTORS_SQL = f"""
 WITH RECURSIVE {EDGES_SQL},
 down(target_id, root_id, depth, path) AS (SELECT target_id, target_id, CAST(0 AS BIGINT), target_id FROM e WHERE parent_id IS NULL
@@ -191,7 +179,17 @@ entered AS (SELECT target_id, min(a) AS root_id FROM anc WHERE a IN (SELECT targ
 SELECT e.target_id, coalesce(down.root_id, entered.root_id) AS root_id, down.depth, down.path, CASE WHEN l.target_id IS NULL THEN coalesce(n.n, 0) END AS n_descendants, l.target_id IS NOT NULL AS on_loop, down.root_id IS NOT NULL AS has_root
 FROM e LEFT JOIN down USING (target_id) LEFT JOIN entered USING (target_id) LEFT JOIN onloop l USING (target_id) LEFT JOIN n ON n.a = e.target_id
 """
-P3_DESCENDANTS_SQL = f"{ANCESTORS_SQL} SELECT a AS ancestor_id, anc.target_id, d.depth - u.depth AS steps FROM anc JOIN down d ON d.target_id = anc.target_id JOIN down u ON u.target_id = anc.a"
+LOOPS = """onloop AS (SELECT target_id FROM anc WHERE target_id = a), entered AS (SELECT target_id, min(a) AS root_id FROM anc WHERE a IN (SELECT target_id FROM onloop) GROUP BY 1)"""
+P3_SQL = f"""{ANCESTORS_SQL}, {LOOPS}
+SELECT e.target_id, down.root_id FROM e JOIN down USING (target_id) WHERE e.depth IS NOT NULL AND e.depth <> down.depth
+UNION ALL SELECT target_id, root_id FROM entered WHERE target_id NOT IN (SELECT target_id FROM down)
+"""
+# Without a root, a target's ancestors are walked until one comes again.
+P3_DESCENDANTS_SQL = f"""{ANCESTORS_SQL},
+up(target_id, a, steps, seen) AS (SELECT target_id, parent_id, CAST(1 AS BIGINT), [target_id] FROM e WHERE target_id NOT IN (SELECT target_id FROM down)
+  UNION ALL SELECT up.target_id, e.parent_id, steps + 1, list_append(seen, a) FROM up JOIN e ON e.target_id = up.a WHERE NOT list_contains(seen, a))
+SELECT a AS ancestor_id, anc.target_id, d.depth - u.depth AS steps FROM anc JOIN down d ON d.target_id = anc.target_id JOIN down u ON u.target_id = anc.a
+UNION ALL SELECT a, target_id, min(steps) FROM up WHERE a <> target_id GROUP BY 1, 2"""
 
 
 def pivot_sql(group: str, columns: tuple[str, ...]) -> str:
