@@ -282,7 +282,7 @@ SELECT CAST(query_id AS VARCHAR) AS source_id, id AS chunk_id, score, new AS ran
 BAND = "SELECT '{m}' AS metric, CASE WHEN {m} IS NULL THEN NULL WHEN {m} {o} {g} THEN 'good' WHEN {m} {o} {b} THEN 'mid' ELSE 'bad' END AS band FROM p"
 
 SQL = {
-    "l2_normalize": f"SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS length, CASE WHEN list_dot_product(v, v) = 0 THEN 0.0 ELSE 1.0 END AS unit FROM {V}",
+    "l2_normalize": f"SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS length, CAST(CASE WHEN list_dot_product(v, v) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit FROM {V}",
     "hash_embed": f"SELECT id AS query_id, CAST(i - 1 AS INT) AS component, e[i] AS value FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')}), LATERAL unnest(range(1, 65)) AS u(i)",
     "dense_topk_cosine": COSINE,
     "dense_topk_dot": dense_sql("list_dot_product(q.v, c.v)", "DESC"),
