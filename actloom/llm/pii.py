@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from math import prod
 
@@ -62,6 +62,20 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+class Spans:
+    """Places that don't overlap, in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.all = sorted(spans)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_right(self.all, (start, start))
+        return (not at or self.all[at - 1][1] <= start) and (at == len(self.all) or self.all[at][0] >= end)
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.all, (start, end))
+
+
 # --- e-mail ------------------------------------------------------------------
 AT = re.compile(r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", re.I)
 PLAIN_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,24}(?![\w-])")
@@ -101,6 +115,7 @@ PHONE = re.compile(
     r"|\d{3} \d{4} \d{3}"
     r")(?![\w/-]*\d)(?!-\w)"
 )
+PHONE_LABELS = ("tel", "phone", "mobile", "call")
 LABELLED_PHONE = re.compile(r"\b(?:tel|telefon|phone|mobile|call|telephone)[.:=]*\s*((?:\+|\(|\d)[\d ()/.-]{5,18}\d)", re.I)
 DOCUMENT_NUMBER = re.compile(r"(?<![A-Za-z\d])[A-Z]{2}[ -]?\d{7}(?!\d)(?![ -]\d{4}(?!\d))")
 PERSONAL_CODE = re.compile(r"(?<![\w+./-])(?<!\d )([1-9] ?\d{6}[ -]?\d{4})(?![\d/]|[-.]\d)")
@@ -119,8 +134,14 @@ def checks(code: str) -> bool:
     return digits[10] == 0
 
 
+#: Seven digits with at most six signs between any two: what every phone and identity number has.
+MANY_DIGITS = re.compile(r"\d(?:[^\w\n]{0,6}\d){6}")
+
+
 def id_numbers(text: str) -> list[tuple[int, int]]:
     out = []
+    if not MANY_DIGITS.search(text):
+        return out
     for m in DOCUMENT_NUMBER.finditer(text):
         if m[0][:2] in ("ID", "NO", "NR") and m[0][2] == " " or NOT_A_PERSON.search(text, max(0, m.start() - 16), m.start()):
             continue
@@ -138,12 +159,15 @@ def id_numbers(text: str) -> list[tuple[int, int]]:
 
 def phones(text: str) -> list[tuple[int, int]]:
     out = []
+    if not MANY_DIGITS.search(text):
+        return out
     for m in PHONE.finditer(text):
         if not NOT_A_PERSON.search(text, max(0, m.start() - 16), m.start()):
             out.append(m.span())
-    for m in LABELLED_PHONE.finditer(text):
+    low, taken = lowered(text), Spans(out)
+    for m in (LABELLED_PHONE.finditer(text) if any(x in low for x in PHONE_LABELS) else ()):
         s, e = m.span(1)
-        if not any(a < e and s < b for a, b in out) and 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+        if taken.free(s, e) and 7 <= sum(c.isdigit() for c in m[1]) <= 15:
             out.append((s, e))
     return out
 
@@ -182,7 +206,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
         if m.start() < upto:
             continue
         start, end = m.span()
-        before = STREET_BEFORE.search(text, words_back(text, upto, start, 4), start) if text[start - 1 : start] in (" ", "\n") and start else None
+        before = STREET_BEFORE.search(text, words_back(text, upto, start, 4), start) if start > 1 and text[start - 1] in " \n\xa0" and (text[start - 2].isalpha() or text[start - 2] == ".") else None
         if before and not NOT_A_STREET.search(text, max(0, start - 20), start):
             start = before.start()
             if text.startswith(("Korteri ", "Der ", "Die ", "The "), start):
@@ -251,11 +275,13 @@ def names(text: str, beside: Sequence[int] = ()) -> list[tuple[int, int]]:
             start = out[-1][1]
             continue
         out.append((start, end))
+    taken = Spans(out)
     for m in LABELLED_NAME.finditer(text):
         s, e = m.span(1)
-        if m[1].split()[0].rstrip(".") in NOT_NAMES or any(a < e and s < b for a, b in out) or FIRM.match(text, e):
+        if m[1].split()[0].rstrip(".") in NOT_NAMES or not taken.free(s, e) or FIRM.match(text, e):
             continue
         out.append((s, e))
+        taken.add(s, e)
     return out + unlisted_names(text, low, out, beside)
 
 
@@ -289,6 +315,7 @@ VERBS = (
 ).split("|")
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Judge|Herrn?|Frau|Hr|Pr)\.?"
 AFTER_ROLE = re.compile(rf":?[ \n\xa0](?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
+SURNAME_BEFORE = re.compile(rf"(?<![\w.@-])({WORD}(?:-{WORD})?),[ \n\xa0]\Z")
 BEFORE_VERB = re.compile(rf"(?<![\w@.-])({FULL_NAME})[ \n\xa0]\Z")
 JOINED_NAME = re.compile(rf",?[ \n\xa0](?:and|to|und|ja|an|v|vs\.|gegen|versus)[ \n\xa0](?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
 VERSUS_NAME = re.compile(rf"(?<=\) v )(?:{TITLE}[ \n\xa0])?({FULL_NAME})(?![\w-])")
@@ -298,7 +325,8 @@ BESIDE_NAME = re.compile(
 BY_CONTEXT = (AFTER_ROLE, BEFORE_VERB, VERSUS_NAME, BESIDE_NAME)
 # Given names, roles and verbs are looked for at once; the rules then start only where one stands.
 CUES = ahocorasick.Automaton()
-for _kind, _words in (("given", [*GENDER]), ("role", ROLES + ROLE_LABELS), ("verb", VERBS)):
+TITLES = "mr mrs ms miss dr prof judge herr herrn frau hr pr härra proua".split()
+for _kind, _words in (("given", [*GENDER]), ("role", ROLES + ROLE_LABELS), ("verb", VERBS), ("title", TITLES)):
     for _x in _words:
         CUES.add_word(_x, (len(_x), _kind))
 CUES.make_automaton()
@@ -313,6 +341,10 @@ def cued(text: str, low: str) -> Iterator[tuple[re.Pattern, re.Match | None]]:
         if kind == "given":
             if text[start].isupper():
                 yield GIVEN_CONTEXT, GIVEN_CONTEXT.match(text, start)
+                if start > 1 and text[start - 2] == "," and (m := SURNAME_BEFORE.search(text, words_back(text, 0, start, 2), start)):
+                    yield REVERSED_NAME, REVERSED_NAME.match(text, m.start(1))
+        elif kind == "title":
+            yield TITLED_NAME, TITLED_NAME.match(text, start)
         elif kind == "role":
             yield AFTER_ROLE, AFTER_ROLE.match(text, end)
         elif start and text[start - 1] in " \n\xa0":
@@ -336,9 +368,10 @@ RUSSIAN_NAME = re.compile(
 def unlisted_names(text: str, low: str, found: list[tuple[int, int]], beside: Sequence[int] = ()) -> list[tuple[int, int]]:
     """Names that no list holds, beside those found; `beside` has where other personal data begin."""
     out: list[tuple[int, int]] = []
+    taken = Spans(found)
 
     def person(s: int, e: int) -> bool:
-        if any(a < e and s < b for a, b in found) or any(a < e and s < b for a, b in out):
+        if not taken.free(s, e):
             return False
         if FIRM.match(text, e) or STREET_SUFFIX.match(low, e) or VESSEL_NUMBER.match(text, e) or BEFORE_NOT_A_PERSON.search(text, max(0, s - 8), s):
             return False
@@ -348,14 +381,14 @@ def unlisted_names(text: str, low: str, found: list[tuple[int, int]], beside: Se
     scripts = []
     if not text.isascii():
         scripts = [x for x, letters in ((RUSSIAN_NAME, CYRILLIC), (HAN_NAME, HAN)) if letters.search(text)]
-    begun: dict[re.Pattern, list[re.Match]] = {GIVEN_CONTEXT: [], AFTER_ROLE: [], BEFORE_VERB: []}
+    begun: dict[re.Pattern, list[re.Match]] = {TITLED_NAME: [], GIVEN_CONTEXT: [], AFTER_ROLE: [], BEFORE_VERB: [], REVERSED_NAME: []}
     for rule, m in cued(text, low):
         if m:
             begun[rule].append(m)
     near = (m for at in beside if (m := BESIDE_NAME.search(text, words_back(text, 0, at, 6), at)))
     ordered = [(x, begun[x]) for x in (GIVEN_CONTEXT, AFTER_ROLE, BEFORE_VERB)] + [(BESIDE_NAME, near)]
     scanned = lambda rules: [(x, x.finditer(text)) for x in rules]
-    for rule, matches in scanned([TITLED_NAME, *scripts]) + ordered + scanned([INITIALED_NAME, REVERSED_NAME, VERSUS_NAME]):
+    for rule, matches in [(TITLED_NAME, begun[TITLED_NAME])] + scanned(scripts) + ordered + scanned([INITIALED_NAME]) + [(REVERSED_NAME, begun[REVERSED_NAME])] + scanned([VERSUS_NAME]):
         for m in matches:
             s, e = m.span(m.lastindex)
             if rule is TITLED_NAME and not person(s, e) and " " in m[1]:
@@ -364,10 +397,12 @@ def unlisted_names(text: str, low: str, found: list[tuple[int, int]], beside: Se
                 continue  # among capitals, and over a line end, two words are no name yet
             if person(s, e):
                 out.append((s, e))
+                taken.add(s, e)
     for _, end in sorted([*found, *out]):  # a person named with one found
         m = JOINED_NAME.match(text, end)
         while m and person(*m.span(1)) and "\n" not in m[1]:
             out.append(m.span(1))
+            taken.add(*m.span(1))
             m = JOINED_NAME.match(text, m.end())
     # The same persons again, by their full name or surname alone, also without a title.
     forms = {text[s:e] for s, e in out}
@@ -377,6 +412,7 @@ def unlisted_names(text: str, low: str, found: list[tuple[int, int]], beside: Se
         for m in again.finditer(text):
             if m[0][0].isupper() and person(*m.span()):
                 out.append(m.span())
+                taken.add(*m.span())
     return out
 
 
