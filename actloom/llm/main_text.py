@@ -168,6 +168,7 @@ def prune(block: Block) -> None:
     bad = {k for k, parts in by_line.items() if (t := " ".join("".join(parts).split())) and (BYLINE.match(t) or len(t) < 120 and PROMPT.match(t))}
     if bad:
         block.pieces = [x for x in block.pieces if x[0] not in bad]
+        block.changed()
 
 
 def html_body(page: str) -> tuple[list[Block], set[int]]:

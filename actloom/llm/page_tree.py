@@ -154,22 +154,30 @@ def close(top: Node, tag: str) -> Node:
 class Block:
     """A rendered block: its pieces as (line, text, inside a link), its element and its kind."""
 
-    __slots__ = ("node", "pieces", "kind", "depth")
+    __slots__ = ("node", "pieces", "kind", "depth", "_text", "_linked")
 
     def __init__(self, node: Node, kind: str, depth: int):
         self.node, self.kind, self.depth, self.pieces = node, kind, depth, []
+        self._text = self._linked = None
+
+    def changed(self) -> None:
+        """To be called after pieces were taken out of a block that was read."""
+        self._text = self._linked = None
 
     @property
     def text(self) -> str:
-        if self.kind == "pre":
-            return "".join(x for _, x, _ in self.pieces).strip("\n")
-        return SPACE.sub(" ", "".join(x for _, x, _ in self.pieces)).strip()
+        if self._text is None:
+            whole = "".join(x for _, x, _ in self.pieces)
+            self._text = whole.strip("\n") if self.kind == "pre" else SPACE.sub(" ", whole).strip()
+        return self._text
 
     @property
     def linked(self) -> float:
         """Share of the text that stands in links."""
-        inside = sum(len(x.strip()) for _, x, link in self.pieces if link)
-        return inside / max(1, sum(len(x.strip()) for _, x, _ in self.pieces))
+        if self._linked is None:
+            inside = sum(len(x.strip()) for _, x, link in self.pieces if link)
+            self._linked = inside / max(1, sum(len(x.strip()) for _, x, _ in self.pieces)) if inside else 0.0
+        return self._linked
 
     @property
     def lines(self) -> set[int]:
