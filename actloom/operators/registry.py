@@ -136,3 +136,57 @@ def register_functions(spark) -> None:
 
     for own in chunkers().listed():
         spark.udtf.register(f"chunk_{own.name}", table_function(own))
+
+
+def discover(package, kind: str) -> Registry:
+    """The strategies that the modules of a package hold, by walking through it; a module that can't be imported is logged and left out.
+
+    Modules and their names are gone through in order, and the first of a name wins.
+    """
+    import importlib
+    import pkgutil
+
+    out = Registry(kind)
+    for info in sorted(pkgutil.walk_packages(package.__path__, f"{package.__name__}."), key=lambda x: x.name):
+        try:
+            module = importlib.import_module(info.name)
+        except Exception:  # noqa: BLE001 - a broken plugin must not break the others
+            log.exception("%s could not be loaded", info.name)
+            continue
+        for name in sorted(vars(module)):
+            if isinstance(own := getattr(module, name), Strategy):
+                out.add(lambda own=own: own)
+    return out
+
+
+KEYWORDS = (Field("enabled", "checkbox", False), Field("include_keywords", "text", ""), Field("exclude_keywords", "text", ""))
+
+
+def listed_keywords(text: str | None) -> list[str]:
+    """Keywords of a setting, parted by commas or line ends."""
+    return [x.strip() for x in (text or "").replace("\n", ",").split(",") if x.strip()]
+
+
+def registries() -> dict[str, Registry]:
+    """All kinds of strategies: sources, validators, filters, parsers, chunkers and embedders, each by its names."""
+    from actloom.functions.text import relevant, strip
+    from actloom.operators import providers, stages
+    from actloom.operators.links import same_origin
+    from actloom.sources import fetch, files, parsers
+
+    def filtering(enabled=False, include_keywords="", exclude_keywords=""):
+        return lambda title, text: relevant(title, text, enabled, listed_keywords(include_keywords), listed_keywords(exclude_keywords))
+
+    made = {
+        "source": (Strategy("web", "Web pages", lambda: fetch.fetch), Strategy("local", "Local acts", lambda: files.read_acts)),
+        "validator": (Strategy("web", "Same origin", lambda: same_origin), Strategy("local", "Local file", lambda: stages.validated_local)),
+        "filter": (Strategy("keyword", "Keywords", filtering, KEYWORDS),),
+        "parser": (Strategy("plain", "Plain text", lambda: strip), Strategy("html", "HTML", lambda: parsers.html_text), Strategy("xml", "XML", lambda: parsers.xml_text)),
+        "embedder": (Strategy("standard", "Model of a provider", lambda provider=None: providers.Embedder(providers.target_of(provider))),),
+    }
+    out = {"chunker": chunkers()}
+    for kind, own in made.items():
+        out[kind] = Registry(kind)
+        for x in own:
+            out[kind].add(lambda x=x: x)
+    return out

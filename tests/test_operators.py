@@ -141,14 +141,23 @@ def test_sources(spark, tmp_path):
         files.inside_root(str(tmp_path), "../x")
     assert files.read_acts(spark, str(tmp_path)).first()["content"] == "<a>�</a>"
 
-    def getter(url):
+    def getter(url, timeouts):
+        assert timeouts == (5.0, 30.0)
         if "slow" in url:
             raise TimeoutError("late")
-        return (503 if "bad" in url else 200, "image/png" if "png" in url else "text/html", b"x" * (9 if "big" in url else 1), url)
+        if url in ("moved", "loop", "back"):
+            return fetch.Response(302, location={"moved": "ok", "loop": "back", "back": "loop"}[url])
+        if url == "endless":
+            return fetch.Response(200, "text/html", iter(lambda: b"xx", None))
+        return fetch.Response(503 if "bad" in url else 200, "image/png" if "png" in url else "text/html", [b"x"], 9 if "stated" in url else None)
 
-    urls = spark.createDataFrame([("slow",), ("bad",), ("png",), ("big",), ("ok",)], "normalized_url string")
-    got = {r["url"]: r["status"] for r in fetch.fetch(urls, getter, most=5).collect()}
-    assert got == {"slow": "failed_transient", "bad": "failed_transient", "png": "skipped_unsupported", "big": "failed_permanent", "ok": "fetched"}
+    urls = spark.createDataFrame([("slow",), ("bad",), ("png",), ("endless",), ("stated",), ("ok",), ("moved",), ("loop",), (None,)], "normalized_url string")
+    rows = {r["url"]: r for r in fetch.fetch(urls, getter, most=5).collect()}
+    assert {k: r["status"] for k, r in rows.items()} == {
+        "slow": "failed_transient", "bad": "failed_transient", "png": "skipped_unsupported", "endless": "failed_permanent", "stated": "failed_permanent",
+        "ok": "fetched", "moved": "fetched", "loop": "failed_permanent", None: "failed_permanent",
+    }
+    assert rows["moved"]["final_url"] == "ok" and rows["moved"]["redirect_chain"] == ["moved"] and rows["ok"]["redirect_chain"] == []
 
 
 def test_parsers(spark):
@@ -191,3 +200,22 @@ def test_compatible_searches_and_formats(spark):
     chunkers.check_format("any", (), "text")
     with pytest.raises(ValueError):
         chunkers.check_format("legal_xml", ("xml",), "html")
+
+
+def test_discovery_and_registries(tmp_path, monkeypatch):
+    package = tmp_path / "plugins_of_a_test"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    (package / "a.py").write_text("from actloom.operators.registry import Strategy\nfirst = Strategy('x', 'first', lambda: 1)\n")
+    (package / "b.py").write_text("from actloom.operators.registry import Strategy\nsecond = Strategy('x', 'second', lambda: 2)\nother = Strategy('y', 'other', lambda: 3)\n")
+    (package / "broken.py").write_text("raise RuntimeError\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    import plugins_of_a_test
+
+    own = registry.discover(plugins_of_a_test, "plugin")
+    assert [(s.name, s.label) for s in own.listed()] == [("x", "first"), ("y", "other")] and own.build("x") == 1
+    every = registry.registries()
+    assert {k: sorted(r.items) for k, r in every.items() if k != "chunker"} == {"source": ["local", "web"], "validator": ["local", "web"], "filter": ["keyword"], "parser": ["html", "plain", "xml"], "embedder": ["standard"]}
+    assert registry.listed_keywords("a, b\n c,,") == ["a", "b", "c"] and every["parser"].build("html")("<p>x") == "x"
+    with pytest.raises(ValueError):
+        every["parser"].get("pdf")
