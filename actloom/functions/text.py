@@ -36,8 +36,11 @@ def keyword_pattern(keywords: list[str]) -> str | None:
         return None
     inner = r"[\p{L}\p{N}_]"
     word = lambda c: c.isalnum() or c == "_"
-    one = lambda k: (f"(?<!{inner})" if word(k[0]) else f"(?<={inner})") + re.sub(r"([^\w\s])", r"\\\1", k) + (f"(?!{inner})" if word(k[-1]) else f"(?={inner})")
-    return "(?iu)(?:" + "|".join(map(one, words)) + ")"
+    alike: dict[tuple[bool, bool], list[str]] = {}  # keywords by whether they begin and end with such a character
+    for k in words:
+        alike.setdefault((word(k[0]), word(k[-1])), []).append(re.sub(r"([^\w\s])", r"\\\1", k))
+    parts = [(f"(?<!{inner})" if a else f"(?<={inner})") + "(?:" + "|".join(own) + ")" + (f"(?!{inner})" if b else f"(?={inner})") for (a, b), own in alike.items()]
+    return "(?iu)" + ("(?:" + "|".join(parts) + ")" if len(parts) > 1 else parts[0])
 
 
 def included(title: Column, text: Column, keywords: list[str]) -> Column:

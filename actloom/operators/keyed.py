@@ -43,6 +43,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
     return joined.select(*[value(c).alias(c) for c in old.columns])
 
 
+def appended(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows after the old ones, as they are: no key is looked at; columns that one side lacks are NULL there, and those that only the new rows have are dropped."""
+    return old.unionByName(new.select(*[F.col(f"`{c}`") for c in new.columns if c in old.columns]), allowMissingColumns=True)
+
+
 def new_only(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose key the existing rows lack; keys with a NULL never match and stay."""
     return candidates.join(existing.select(*keys).distinct(), keys, "left_anti")

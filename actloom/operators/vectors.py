@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -94,22 +93,61 @@ def hash_embedding(text: Column, dim: int = 64, normalize: bool = True) -> Colum
 def compare(sources: DataFrame, candidates: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
     """Every source with every candidate of one request (`id string, vector`), with the metrics asked for.
 
-    A comparison is this product; the candidates go into the plan in blocks of
-    bounded size, so no side is broadcast as it is. Ordered by falling cosine
-    (as they come where it is not asked for), then by the ids.
+    A comparison is this product. The candidates go to the tasks in blocks of
+    bounded size, and a batch of sources is compared with a block by matrix
+    products. Metrics are NULL where a vector is NULL, holds a NULL or has
+    another dimension, and the cosine where one has no length. Ordered by
+    falling cosine (as they come where it is not asked for), then by the ids.
     """
-    known = {"cosine": cosine, "dot": dot, "euclid": euclidean, "manhattan": manhattan}
+    asked = [m for m in metrics if m in METRICS]
+    schema = ", ".join(["source_id string", "candidate_id string", *[f"{m} double" for m in asked]])
     out = None
     for block in blocks(candidates, "string"):
-        held = F.from_json(F.lit(json.dumps([{"id": k, "vector": [float(x) for x in v]} for k, v in block])), "array<struct<id:string,vector:array<double>>>")
-        pairs = sources.select(F.col("id").cast("string").alias("source_id"), "vector", F.explode(held).alias("c"))
-        part = pairs.select("source_id", F.col("c.id").alias("candidate_id"), *[known[m](F.col("vector"), F.col("c.vector")).alias(m) for m in metrics if m in known])
-        out = part if out is None else out.unionByName(part)
+        sent = sources.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            block = sent.value
+            for pdf in batches:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    made = {m: np.full((len(part), len(block)), np.nan) for m in asked}
+                    for dim in {len(v) for _, v in block}:
+                        rows = [i for i, v in enumerate(part["vector"]) if usable(v, dim)]
+                        columns = [i for i, (_, v) in enumerate(block) if usable(v, dim)]
+                        if rows and columns:
+                            a, b = np.array([part["vector"].iloc[i] for i in rows], dtype=np.float64), np.array([block[i][1] for i in columns], dtype=np.float64)
+                            for m in asked:
+                                made[m][np.ix_(rows, columns)] = pair_metric(m, a, b)
+                    yield pd.DataFrame({"source_id": np.repeat(part["id"].to_numpy(), len(block)), "candidate_id": [k for k, _ in block] * len(part), **{m: pd.array(v.ravel(), dtype="Float64") for m, v in made.items()}})
+
+        found = sources.select(F.col("id").cast("string").alias("id"), "vector").mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
     if out is None:
-        return sources.sparkSession.createDataFrame([], "source_id string, candidate_id string, " + ", ".join(f"{m} double" for m in metrics if m in known))
-    return out.orderBy(F.desc_nulls_last("cosine"), "source_id", "candidate_id") if "cosine" in metrics else out
+        return sources.sparkSession.createDataFrame([], schema)
+    out = out.select("source_id", "candidate_id", *[F.nanvl(m, F.lit(None).cast("double")).alias(m) for m in asked])
+    return out.orderBy(F.desc_nulls_last("cosine"), "source_id", "candidate_id") if "cosine" in asked else out
 
 
+def usable(vector, dim: int) -> bool:
+    return vector is not None and len(vector) == dim and not any(x is None or x != x for x in vector)
+
+
+def pair_metric(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of one matrix with rows of another; NaN for a cosine without length."""
+    if metric == "dot":
+        return a @ b.T
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            length = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+            return np.where(length > 0, (a @ b.T) / length, np.nan)
+    out = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):  # a component at a time, so no more than the pairs are held
+        apart = a[:, d : d + 1] - b[:, d][None, :]
+        out += apart * apart if metric == "euclid" else np.abs(apart)
+    return np.sqrt(out) if metric == "euclid" else out
+
+
+# The bounds of good and of middling by metric, and whether high is good.
 BANDS = {"cosine": (0.8, 0.5, True), "dot": (0.8, 0.5, True), "euclid": (0.5, 1.0, False), "manhattan": (3.0, 6.0, False)}
 
 

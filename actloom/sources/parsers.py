@@ -6,6 +6,7 @@ content never fails: HTML is repaired, malformed XML gives its stripped text.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -84,6 +85,18 @@ def xml_text(content: str | None) -> str:
     return f"{title}\n\n{body}" if title else body
 
 
+def as_document(parsed: object, name: str = "", most_bytes: int = 262_144) -> dict:
+    """What a parser gave, as a document: an older parser's bare text has no metadata; ValueError for other things or metadata too large."""
+    out = {"text": parsed} if isinstance(parsed, str) else dict(parsed) if isinstance(parsed, dict) else None
+    if out is None or not isinstance(out.get("text"), str):
+        raise ValueError(f"no text from the parser {name or '(unnamed)'}")
+    out = {"parser_name": name, "parser_version": PARSER_VERSION, "metadata": {}, "intermediate": {}} | out
+    for part in ("metadata", "intermediate"):
+        if len(json.dumps(out[part], ensure_ascii=False, separators=(",", ":")).encode()) > most_bytes:
+            raise ValueError(f"the {part} of a document are too large")
+    return out
+
+
 def parser_name(content_type: Column, chosen: str = "auto") -> Column:
     """plain, html or xml: a known choice wins, else by media type; NULL for types without a parser."""
     if chosen in ("plain", "html", "xml"):

@@ -219,3 +219,12 @@ def test_discovery_and_registries(tmp_path, monkeypatch):
     assert registry.listed_keywords("a, b\n c,,") == ["a", "b", "c"] and every["parser"].build("html")("<p>x") == "x"
     with pytest.raises(ValueError):
         every["parser"].get("pdf")
+
+
+def test_bare_texts_as_documents_and_plain_inserts(spark):
+    assert parsers.as_document("t", "plain")["metadata"] == {} and parsers.as_document({"text": "t", "metadata": {"a": 1}})["metadata"] == {"a": 1}
+    for bad in (None, {}, {"text": "t", "metadata": {"a": "x" * 300_000}}):
+        with pytest.raises(ValueError):
+            parsers.as_document(bad)
+    old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, 9)], "k int, other int")
+    assert sorted(map(tuple, keyed.appended(old, new).collect()), key=str) == [(1, "a"), (1, None)]
