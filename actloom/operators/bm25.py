@@ -67,10 +67,23 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
     query are candidates; NULL and empty texts have no terms. Statistics are
     those of all chunks also where `scope`, a table of chunk ids, limits the
     candidates. `distinct` says that there is one row per chunk, with a text.
+    Chunks that :func:`analyzed` has read are taken as they are, and no text is
+    read again; they must be of the same analyzer.
     """
     terms = ANALYZERS[analyzer]
     spark = chunks.sparkSession
-    unique = chunks.select("chunk_id", "text") if distinct else distinct_texts(chunks)
+    ready = "terms" in chunks.columns
+    unique = chunks.select("chunk_id", *FORM) if ready else chunks.select("chunk_id", "text") if distinct else distinct_texts(chunks)
+
+    def read(pdf: pd.DataFrame) -> Iterator[tuple]:
+        """Distinct terms, their counts, and the number of all terms of each chunk."""
+        if ready:
+            yield from zip(pdf["terms"], pdf["counts"], pdf["length"])
+            return
+        for text in pdf["text"]:
+            own = Counter(terms(text))
+            yield own.keys(), own.values(), own.total()
+
     candidates = unique if scope is None else unique.join(scope.select("chunk_id").where("chunk_id is not null").distinct(), "chunk_id", "left_semi")
     kind = dict(queries.dtypes)["query_id"]
     best = None
@@ -81,15 +94,14 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
             df: Counter[str] = Counter()
             n = length = 0
             for pdf in batches:
-                for text in pdf["text"]:
-                    own = terms(text)
-                    n, length = n + 1, length + len(own)
+                for own, _, size in read(pdf):
+                    n, length = n + 1, length + int(size)
                     df.update(vocabulary.value.intersection(own))
             # The empty term carries the number of chunks, a blank the sum of their lengths.
             yield pd.DataFrame({"term": ["", " ", *df], "n": [n, length, *df.values()]})
 
         # A row per term of a block of queries reaches the driver.
-        found = {r["term"]: r["n"] for r in unique.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        found = {r["term"]: r["n"] for r in unique.drop("chunk_id").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         total, mean = found.get("", 0), found.get(" ", 0) / max(1, found.get("", 0))
         idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in found.items() if t.strip()}
         place = {t: i for i, t in enumerate(sorted(idf))}
@@ -109,10 +121,9 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
                     part = pdf.iloc[start : start + 1024].sort_values("chunk_id")  # a stable sort by score breaks ties by id
                     names = part["chunk_id"].to_numpy()
                     scores = np.zeros((len(part), len(ids)))
-                    for row, text in enumerate(part["text"]):
-                        own = terms(text)
-                        flat = K1 * (1 - B + B * len(own) / mean) if mean else K1
-                        found = [(place[t], tf * (K1 + 1) / (tf + flat)) for t, tf in Counter(own).items() if t in place]
+                    for row, (own, counts, size) in enumerate(read(part)):
+                        flat = K1 * (1 - B + B * size / mean) if mean else K1
+                        found = [(place[t], tf * (K1 + 1) / (tf + flat)) for t, tf in zip(own, counts) if t in place]
                         if found:
                             at, tf = zip(*found)
                             scores[row] = np.array(tf) @ weights[list(at)]
@@ -133,6 +144,22 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, analyzer: str
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "chunk_id")).cast("long")).where(F.col("rank") <= k)
 
 
+FORM = ("terms", "counts", "length")
+
+
+def analyzed(chunks: DataFrame, analyzer: str = "simple", distinct: bool = False) -> DataFrame:
+    """(chunk_id, terms, counts, length) of each chunk: what a search needs of its text, to be kept and searched again and again."""
+    terms = ANALYZERS[analyzer]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [Counter(terms(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "terms": [list(x) for x in own], "counts": [list(x.values()) for x in own], "length": [x.total() for x in own]})
+
+    unique = chunks.select("chunk_id", "text") if distinct else distinct_texts(chunks)
+    return unique.mapInPandas(run, "chunk_id string, terms array<string>, counts array<int>, length int")
+
+
 def distinct_texts(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text): one row per chunk that has a text, the longest of those given."""
     return pick(chunks.select("chunk_id", "text").where("chunk_id is not null and text is not null"), ["chunk_id"], [F.length("text")], last=True)

@@ -176,18 +176,32 @@ def semantic(queries: DataFrame, unique: DataFrame, k: int = DEFAULT_TOP_K, dim:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, method=None, top_k=None, reranker_top_k=None, scorer=overlap_score) -> DataFrame:
+def stored_hits(queries: DataFrame, strategy: str, k: int, vectors_of: DataFrame, terms_of: DataFrame, dim: int = 64) -> DataFrame:
+    """(query_id, id, score, rank) from stored vectors (`chunk_id, vector`) and analyzed chunks: no text is read."""
+    embedded = queries.select(F.col("query_id").alias("id"), vectors.hash_embedding(F.col("text"), dim).alias("vector"))
+    dense = lambda: vectors.dense_top_k(embedded, vectors_of.select(F.col("chunk_id").alias("id"), "vector"), k)
+    lexical = lambda: bm25.bm25_top_k(queries, terms_of, k).withColumnRenamed("chunk_id", "id")
+    if strategy == "hybrid":
+        return fuse([dense().select("query_id", "id", "rank"), lexical().select("query_id", "id", "rank")], top=k, digits=6)
+    return lexical() if strategy == "keyword" else dense()
+
+
+def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, method=None, top_k=None, reranker_top_k=None, scorer=overlap_score, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Result rows of all queries under a strategy, reranked where asked for; ValueError for parameters that are none.
 
-    Hits are found once and written before they are looked up.
+    Hits are found once and written before they are looked up. `stored` has
+    the vectors and the analyzed chunks of a collection; with them only the
+    texts of hits are read.
     """
     strategy, k = parse_strategy(method), parse_top_k(top_k)
     if strategy is None or k is None:
         raise ValueError(f"no such search: method {method!r}, topK {top_k!r}")
     # Read several times: reduced to one row per chunk once, and kept in the shared folder.
     work = Workspace(chunks.sparkSession, "search")
-    unique = work.write(bm25.distinct_texts(chunks), "texts")
-    if strategy == "keyword":
+    unique = work.write(bm25.distinct_texts(chunks), "texts") if stored is None else None
+    if stored is not None:
+        hits = stored_hits(queries, strategy, k, *stored)
+    elif strategy == "keyword":
         hits = bm25.bm25_top_k(queries, unique, k, distinct=True).withColumnRenamed("chunk_id", "id")
     elif strategy == "semantic":
         hits = semantic(queries, unique, k)

@@ -11,7 +11,7 @@ from actloom.functions import text as T
 from actloom.functions import urls as U
 from actloom.io import table
 from actloom.lineage import Workspace
-from actloom.operators import chunkers, history, keyed, lifecycle, links, providers, runs, search, stages, state, tables, vectors
+from actloom.operators import bm25, chunkers, history, keyed, lifecycle, links, providers, runs, search, stages, state, tables, vectors
 from actloom.operators.acts import Config
 from actloom.plans import pipeline, retrieval
 from actloom.plans.pipeline import CHUNKS, CURRENT, DOCS, EXTRACT, INCLUDE, KW, MEDIA, PARTS, SENTENCE_SQL, SLUG, act_xml, url_sql
@@ -186,6 +186,15 @@ def stored_search(spark, folder):
     return store.search("own", queries, TOP_K)
 
 
+def hybrid_stored(spark, folder):
+    """The hybrid search over a collection's stored vectors and analyzed chunks."""
+    work = Workspace(spark, "stored")
+    chunks = table(spark, folder, "chunks")
+    stored = work.write(stage_vectors(spark, folder).select("chunk_id", "vector"), "vectors"), work.write(bm25.analyzed(chunks), "terms")
+    found = search.search(questions(spark, folder), chunks, table(spark, folder, "documents"), "hybrid", TOP_K, stored=stored)
+    return found.select("source_id", "chunk_id", "document_id", "chunk_index", "source_url", "score", "rank")
+
+
 def tls_policy(spark, folder):
     """Hosts of links with whether their TLS is relaxed."""
     own = table(spark, folder, "links").where("raw_url is not null").select("raw_url").distinct()
@@ -318,7 +327,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fetch_stage, artifact_files, upsert_documents, upsert_links, validate_local, validate_stage, filter_acts, parse_stage, json_guard, chunk_stage, chunk_stage_sentences, chunk_stage_documents,
-        inspection, act_report, act_chunk_types, embed_stage, embed_client, stored_search, tls_policy, collection_names, state_changes, claim_targets, retry_failures, stamp_processed, dispatch_outbox, count_new_events,
+        inspection, act_report, act_chunk_types, embed_stage, embed_client, stored_search, hybrid_stored, tls_policy, collection_names, state_changes, claim_targets, retry_failures, stamp_processed, dispatch_outbox, count_new_events,
         document_chunks, discovered_targets, target_lookup, targets_page_full, valid_ids, run_chunkers, persisted_searches, search_detail, compatible_searches, compare_labelled,
     )
 }
@@ -374,6 +383,7 @@ FROM (SELECT *, CASE WHEN {MEDIA} IN ('text/html', 'application/xhtml+xml') THEN
     "embed_client": f"SELECT id AS query_id, CAST(i - 1 AS INT) AS component, round(v[i], 6) AS value FROM (SELECT id, {UNIT} AS v FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')})), LATERAL unnest(range(1, 65)) AS u(i)",
     "stored_search": f"""SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.id AS query_id, c.chunk_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score
 FROM (SELECT id, {UNIT} AS v FROM ({embed_sql('(SELECT item_id AS id, text FROM eval_items)')})) q, {VECTORS} c WHERE list_dot_product(c.v, c.v) > 0)) WHERE rank <= {TOP_K}""",
+    "hybrid_stored": retrieval.hydrated(HYBRID),
     "tls_policy": rf"SELECT DISTINCT raw_url, regexp_replace(regexp_replace(lower(regexp_extract(raw_url, '{PARTS}', 2)), '^.*@', ''), ':\d*$', '') IN ({', '.join(repr(x) for x in RELAXED)}) AS relaxed FROM links WHERE raw_url IS NOT NULL",
     "collection_names": "SELECT pipeline_id, 'kb_' || dataset.name || '_qwen_embed_8b' AS collection FROM runs",
     "state_changes": f"""WITH s AS (SELECT target_id, status, lag(status) OVER w AS old_status, row_number() OVER w AS step FROM (SELECT DISTINCT target_id, status, updated_at, created_at FROM targets WHERE target_id IS NOT NULL) WINDOW w AS (PARTITION BY target_id ORDER BY updated_at NULLS FIRST, created_at NULLS FIRST, status NULLS FIRST))

@@ -228,3 +228,20 @@ def test_bare_texts_as_documents_and_plain_inserts(spark):
             parsers.as_document(bad)
     old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, 9)], "k int, other int")
     assert sorted(map(tuple, keyed.appended(old, new).collect()), key=str) == [(1, "a"), (1, None)]
+
+
+def test_stored_vectors_and_terms_give_the_same_hits(spark):
+    from actloom.operators import stages
+
+    rows = [(f"c{i}", f"d{i % 3}", i, ["port fee order", "harbour fee and fee", "the port of the harbour", None, "", "order order order port"][i % 6] if i < 30 else "port") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string")
+    documents = spark.createDataFrame([("d0", "u0"), ("d1", None)], "document_id string, source_url string")
+    queries = spark.createDataFrame([(1, "port fee"), (2, "nothing known"), (3, None), (4, "harbour")], "query_id long, text string")
+    payload = chunks.where("text is not null").select("*", *[F.lit(None).cast("string").alias(c) for c in ("chunk_type", "pipeline_run_id", "metadata")])
+    stored = stages.embedded(payload).select("chunk_id", "vector"), bm25.analyzed(chunks)
+    for method in ("keyword", "hybrid"):
+        plain = search.search(queries.where("query_id <> 3"), chunks, documents, method, 5)
+        kept = search.search(queries.where("query_id <> 3"), chunks, documents, method, 5, stored=stored)
+        pick = lambda df: sorted((r["source_id"], r["rank"], r["chunk_id"], r["score"], r["document_id"]) for r in df.where("source_id <> '2'").collect())
+        assert pick(plain) == pick(kept) and pick(kept)
+    assert bm25.bm25_top_k(queries, bm25.analyzed(chunks.limit(0)), 3).count() == 0
