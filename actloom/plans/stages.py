@@ -50,9 +50,12 @@ def artifact_files(spark, folder):
     named = rows.join(table(spark, folder, "runs").select("pipeline_id", U.run_folder(F.col("pipeline_id"), F.col("name")).alias("run_folder")), "pipeline_id", "left")
     path = stages.artifact_path(F.col("run_folder"), F.col("target_id"), F.lit("raw"), U.extension(F.col("content_type")))
     work = Workspace(spark, "artifacts")
-    kept = work.write(named.select("target_id", "pipeline_id", F.lit("raw").alias("kind"), path.alias("path"), "content"), "files", partition_by="pipeline_id")
-    gone = table(spark, folder, "runs").agg(F.min("pipeline_id")).first()[0]
-    work.drop(f"files/pipeline_id={gone}")
+    part = lambda run: F.coalesce(F.md5(run), F.lit("no_run"))  # noqa: E731 - ids may be empty or have signs that folders escape
+    files = named.select("target_id", "pipeline_id", F.lit("raw").alias("kind"), path.alias("path"), "content", part(F.col("pipeline_id")).alias("run"))
+    work.write(files, "files", partition_by="run")
+    gone = table(spark, folder, "runs").agg(part(F.min("pipeline_id"))).first()[0]
+    work.drop(f"files/run={gone}")
+    kept = work.read("files", files)  # only now, as files are listed when a table is opened
     return kept.select("target_id", "pipeline_id", "kind", "path", T.content_hash(F.col("content")).alias("content_hash"))
 
 

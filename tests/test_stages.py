@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from actloom.operators import lifecycle, providers, stages, tables
 from actloom.operators.registry import InvalidSetting
+from actloom.plans import catalog
 
 
 def test_local_validation(spark):
@@ -33,6 +35,25 @@ def test_fetch_and_filter(spark):
     assert {r["status"] for r in stages.filtered(pages, False, ["port"], []).collect()} == {"filtered"}
 
 
+@pytest.mark.parametrize("runs", [["a", "b"], ["", "b"], ["a:1/x=%41", "b"], []])
+def test_files_of_the_first_run_are_gone(spark, duck, tmp_path, runs):
+    ids = ["a", "b", "", "a:1/x=%41", None]
+    fetches = [(str(k), f"http://x/{k}", None, 200, "text/html", f"text {k}", None, 1) for k in range(len(ids))] + [("0", None, None, 200, "text/plain", "old", None, 0), ("9", None, None, 200, None, "no target", None, 1)]
+    made = {
+        "fetches": spark.createDataFrame(fetches, "target_id string, source_url string, final_url string, http_status int, content_type string, content string, raw_content_path string, fetched_at int"),
+        "targets": spark.createDataFrame([(str(k), run, 0, 0) for k, run in enumerate(ids)], "target_id string, pipeline_id string, updated_at int, created_at int"),
+        "runs": spark.createDataFrame([(run, "First Run") for run in runs], "pipeline_id string, name string"),
+    }
+    sql = catalog.SQL["artifact_files"]
+    for name, rows in made.items():
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        sql = re.sub(rf"(?i)\b(from) {name}\b", rf"\1 '{tmp_path}/{name}.parquet/*.parquet'", sql)
+    got = catalog.QUERIES["artifact_files"](spark, str(tmp_path))
+    left = set(ids) - {min(runs, default=None)}
+    assert {r["pipeline_id"] for r in got.collect()} == left and got.count() == len(left)
+    assert {tuple(r) for r in got.collect()} == set(duck.execute(sql).fetchall())
+
+
 def test_chunk_stage(spark):
     act = "<oigusakt><pealkiri>T</pealkiri><paragrahv><kuvatavNr>§ 1.</kuvatavNr><sisuTekst>Text</sisuTekst></paragrahv></oigusakt>"
     cfg = lambda **x: json.dumps({"chunk_document": x})
